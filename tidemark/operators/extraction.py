@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.json_values import as_array, as_object, field, scalar
 from tidemark.functions.money import normalise_currency, to_minor_units
@@ -19,7 +20,13 @@ JSON_LD_BLOCK = r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["']
 # JSON nested deeper than this goes on in the Python walk; nothing is dropped.
 JVM_DEPTH = 12
 
-CANDIDATES = "array<struct<prices:array<string>,currencies:array<string>,availability:string,is_range:boolean>>"
+CANDIDATES = T.ArrayType(
+    T.StructType()
+    .add("prices", T.ArrayType(T.StringType()))
+    .add("currencies", T.ArrayType(T.StringType()))
+    .add("availability", T.StringType())
+    .add("is_range", T.BooleanType())
+)
 
 # Candidate readers in order of preference, by the name they are recorded under.
 READERS = ("json-ld", "microdata")
@@ -57,7 +64,7 @@ def _json_ld_candidate(node: Column) -> Column:
     )
 
 
-@F.pandas_udf(f"struct<micro:{CANDIDATES},deep:array<string>>")
+@F.pandas_udf(T.StructType().add("micro", CANDIDATES).add("deep", T.ArrayType(T.StringType())))
 def _python_readers(html: pd.Series, rest: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(
         {

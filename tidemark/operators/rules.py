@@ -91,12 +91,24 @@ def prices(observations: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def window_low(observations: DataFrame, rules: Sequence[Rule], history_keys: Sequence[str] = LISTING) -> DataFrame:
-    """A verdict for every observation and rule over the observation's own trailing window."""
-    rows = prices(observations)
+def window_low(
+    observations: DataFrame,
+    rules: Sequence[Rule],
+    history_keys: Sequence[str] = LISTING,
+    only: DataFrame | None = None,
+) -> DataFrame:
+    """A verdict for every observation and rule over the observation's own trailing window.
+
+    `only` names the observations to judge, where they are few against the
+    history `observations`; history is then read at their instants alone.
+    """
+    history = prices(observations)
+    rows = history if only is None else prices(only)
     judged = []
     for width, group in _by_window(rules).items():
-        window = trailing(rows, history_keys, "at_ms", width, _window_measures())
+        window = trailing(
+            history, history_keys, "at_ms", width, _window_measures(), probes=None if only is None else rows
+        )
         seen = rows.join(window, [*history_keys, "at_ms"], "left")
         judged.append(seen.select(*rows.columns, _verdicts(group).alias("v")).select(*rows.columns, "v.*"))
     return _union(judged)
