@@ -1,59 +1,61 @@
-"""Reading loosely typed JSON through VARIANT columns."""
+"""Reading loosely typed JSON, as SQL text over VARIANT expressions.
+
+These are pieces of SQL rather than columns because they are used inside lambdas
+and nest deeply: one parsed string keeps a plan quick to build.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from tidemark.functions.text import WHITESPACE
+
+BLANKS = "'" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "'"
+
 
-from tidemark.functions.text import trim_all
+def trim_sql(text: str) -> str:
+    """Trim every kind of whitespace."""
+    return f"btrim({text}, {BLANKS})"
 
 
-def field(node: Column, name: str) -> Column:
+def field(node: str, name: str) -> str:
     """A member of a JSON object as a variant; null when absent or when it is no object."""
-    return F.try_variant_get(node, f'$["{name}"]', "variant")
+    return f"""try_variant_get({node}, '$["{name}"]', 'variant')"""
 
 
-def as_object(node: Column) -> Column:
+def as_object(node: str) -> str:
     """A JSON object as a map, null for anything else."""
-    return node.try_cast("map<string,variant>")
+    return f"try_cast({node} AS map<string,variant>)"
 
 
-def as_array(node: Column) -> Column:
+def as_array(node: str) -> str:
     """A JSON array as an array, null for anything else."""
-    return node.try_cast("array<variant>")
+    return f"try_cast({node} AS array<variant>)"
 
 
-def kind(node: Column) -> Column:
-    """`string`, `number`, `boolean` for a scalar; null for anything else."""
-    shape = F.schema_of_variant(node)
-    return (
-        F.when(shape == "STRING", F.lit("string"))
-        .when(shape.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|TINYINT|SMALLINT|INT)"), F.lit("number"))
-        .when(shape == "BOOLEAN", F.lit("boolean"))
-    )
+def is_kind(node: str, kind: str) -> str:
+    """Whether a value is a JSON `string`, `number` or `boolean`; false for null."""
+    shapes = {"string": "STRING", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL|TINYINT|SMALLINT|INT)", "boolean": "BOOLEAN"}
+    return f"coalesce(schema_of_variant({node}) RLIKE '^{shapes[kind]}', false)"
 
 
-def number_text(number: Column) -> Column:
+def number_text(number: str) -> str:
     """A double in plain shortest form; null where that form needs an exponent."""
-    size = F.abs(number)
-    plain = F.regexp_replace(number.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
-    return F.when(number == 0, F.lit("0")).when((size < 1e21) & (size >= 1e-6), plain)
+    plain = f"regexp_replace(cast(try_cast({number} AS decimal(38,18)) AS string), '[.]?0+$', '')"
+    return f"CASE WHEN {number} = 0 THEN '0' WHEN abs({number}) >= 1e-6 AND abs({number}) < 1e21 THEN {plain} END"
 
 
-def plain_scalar(node: Column) -> Column:
+def plain_scalar(node: str) -> str:
     """A trimmed non-empty string, or a number in plain form."""
-    text = trim_all(node.try_cast("string"))
     return (
-        F.when(kind(node) == "string", F.nullif(text, F.lit("")))
-        .when(kind(node) == "number", number_text(node.try_cast("double")))
+        f"CASE WHEN {is_kind(node, 'string')} THEN nullif({trim_sql(f'try_cast({node} AS string)')}, '') "
+        f"WHEN {is_kind(node, 'number')} THEN {number_text(f'try_cast({node} AS double)')} END"
     )
 
 
-def scalar(node: Column) -> Column:
+def scalar(node: str) -> str:
     """A plain scalar, or the one inside `{"@id": …}` or `{"@value": …}`."""
-    named = field(node, "@id")
-    return F.coalesce(
-        plain_scalar(node),
-        F.when(kind(named) == "string", trim_all(named.try_cast("string"))),
-        plain_scalar(field(node, "@value")),
+    named, inner = field(node, "@id"), field(node, "@value")
+    return (
+        f"coalesce({plain_scalar(node)}, "
+        f"CASE WHEN {is_kind(named, 'string')} THEN {trim_sql(f'try_cast({named} AS string)')} END, "
+        f"{plain_scalar(inner)})"
     )

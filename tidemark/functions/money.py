@@ -26,15 +26,19 @@ CURRENCY_SYMBOLS = "$€£¥₩₹₽₦₱฿₪"
 PLAIN_OR_GROUPED = r"\A(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d+)?\z"
 
 
+# Every code followed by its exponent, so that one search answers for a code.
+_PLACES = " ".join(
+    code + str(places)
+    for places, codes in enumerate((EXPONENT_0, (), EXPONENT_2, EXPONENT_3, EXPONENT_4))
+    for code in codes
+)
+
+
 def minor_unit_exponent(code: Column) -> Column:
     """Decimal places of a currency, or null for a code that is not recognised."""
     known = F.upper(trim_all(code))
-    return (
-        F.when(known.isin(EXPONENT_2), F.lit(2))
-        .when(known.isin(EXPONENT_0), F.lit(0))
-        .when(known.isin(EXPONENT_3), F.lit(3))
-        .when(known.isin(EXPONENT_4), F.lit(4))
-    )
+    found = F.when(known.rlike(r"\A[A-Z]{3}\z"), F.instr(F.lit(_PLACES), known))
+    return F.when(found > 0, F.substr(F.lit(_PLACES), found + 3, F.lit(1)).cast("int"))
 
 
 def normalise_currency(code: Column) -> Column:

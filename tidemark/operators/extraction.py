@@ -7,18 +7,17 @@ an expression over them, and no page text is ever shuffled.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.json_values import as_array, as_object, field, scalar
+from tidemark.functions.json_values import as_array, as_object, field, scalar, trim_sql
 from tidemark.functions.money import normalise_currency, to_minor_units
-from tidemark.functions.text import trim_all
 from tidemark.operators.microdata import OFFER_NAMES, deep_offers, offers
 
 JSON_LD_BLOCK = r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
 # JSON nested deeper than this goes on in the Python walk; nothing is dropped.
-JVM_DEPTH = 12
+JVM_DEPTH = 8
 
 CANDIDATES = T.ArrayType(
     T.StructType()
@@ -32,36 +31,29 @@ CANDIDATES = T.ArrayType(
 READERS = ("json-ld", "microdata")
 
 
-def _children(node: Column) -> Column:
-    members = F.map_values(F.map_filter(as_object(node), lambda key, _: key != "@context"))
-    return F.coalesce(as_array(node), members, F.array().cast("array<variant>"))
-
-
-def _is_container(node: Column) -> Column:
-    return as_array(node).isNotNull() | as_object(node).isNotNull()
-
-
-def _is_offer(node: Column) -> Column:
-    types = field(node, "@type")
-    names = F.coalesce(as_array(types), F.array(types))
-    return F.exists(
-        names,
-        lambda name: F.coalesce(
-            F.lower(F.substring_index(name.try_cast("string"), "/", -1)).isin(*OFFER_NAMES), F.lit(False)
-        ),
-    )
-
-
-def _json_ld_candidate(node: Column) -> Column:
-    price, low, high = (scalar(field(node, name)) for name in ("price", "lowPrice", "highPrice"))
-    currency = F.upper(trim_all(scalar(field(node, "priceCurrency"))))
-    stated = F.coalesce(price, F.when(low == high, low))
-    return F.struct(
-        F.array_compact(F.array(stated)).alias("prices"),
-        F.array_compact(F.array(currency)).alias("currencies"),
-        F.coalesce(scalar(field(node, "availability")), F.lit("")).alias("availability"),
-        (stated.isNull() & (low.isNotNull() | high.isNotNull())).alias("is_range"),
-    )
+NO_NODES = "cast(array() AS array<variant>)"
+CONTAINER = f"{as_array('n')} IS NOT NULL OR {as_object('n')} IS NOT NULL"
+MEMBERS = f"map_values(map_filter({as_object('n')}, (k, v) -> k <> '@context'))"
+CHILDREN = f"filter(flatten(transform(_nodes, n -> coalesce({as_array('n')}, {MEMBERS}, {NO_NODES}))), n -> {CONTAINER})"
+TYPES = field("n", "@type")
+OFFER = (
+    f"exists(coalesce({as_array(TYPES)}, array({TYPES})), t -> "
+    f"coalesce(lower(substring_index(try_cast(t AS string), '/', -1)) IN {OFFER_NAMES}, false))"
+)
+# What one JSON-LD offer node states. A range whose ends agree is a price.
+STATED = f"""
+transform({{nodes}}, n -> named_struct(
+  'price', {scalar(field('n', 'price'))},
+  'low', {scalar(field('n', 'lowPrice'))},
+  'high', {scalar(field('n', 'highPrice'))},
+  'currency', upper({trim_sql(scalar(field('n', 'priceCurrency')))}),
+  'availability', coalesce({scalar(field('n', 'availability'))}, '')))"""
+CANDIDATE = """
+transform({stated}, s -> named_struct(
+  'prices', array_compact(array(coalesce(s.price, CASE WHEN s.low = s.high THEN s.low END))),
+  'currencies', array_compact(array(s.currency)),
+  'availability', s.availability,
+  'is_range', s.price IS NULL AND coalesce(s.low <> s.high, s.low IS NOT NULL OR s.high IS NOT NULL)))"""
 
 
 @F.pandas_udf(T.StructType().add("micro", CANDIDATES).add("deep", T.ArrayType(T.StringType())))
@@ -81,30 +73,28 @@ def offer_candidates(pages: DataFrame) -> DataFrame:
     """
     kept = [name for name in pages.columns if name != "html"]
     blocks = F.regexp_extract_all("html", F.lit(JSON_LD_BLOCK), F.lit(1))
-    parsed = F.filter(F.transform(blocks, lambda text: F.try_parse_json(text)), lambda node: node.isNotNull())
-    walk = pages.select(*kept, "html", parsed.alias("_nodes")).withColumn(
-        "_offers", F.filter("_nodes", _is_offer)
+    walk = pages.select(*kept, "html", blocks.alias("_blocks")).selectExpr(
+        *kept, "html", "filter(transform(_blocks, b -> try_parse_json(b)), n -> n IS NOT NULL) AS _nodes",
+        f"{NO_NODES} AS _offers",
     )
     for _ in range(JVM_DEPTH):
-        walk = walk.withColumn("_nodes", F.flatten(F.transform("_nodes", _children))).withColumn(
-            "_offers", F.concat("_offers", F.filter("_nodes", _is_offer))
+        walk = walk.selectExpr(
+            *kept, "html", f"{CHILDREN} AS _nodes", f"concat(_offers, filter(_nodes, n -> {OFFER})) AS _offers"
         )
-    below = F.filter(F.flatten(F.transform("_nodes", _children)), _is_container)
-    walk = walk.select(*kept, "html", "_offers", F.transform(below, lambda node: F.to_json(node)).alias("_rest"))
-    undecided = (F.size("_offers") == 0) & F.contains(F.lower("html"), F.lit("itemtype"))
-    walk = walk.select(
+    # Python sees the few documents that go deeper, and the markup of pages without a JSON-LD offer.
+    walk = walk.selectExpr(
         *kept, "_offers",
-        F.when(undecided, F.col("html")).alias("_html"),
-        F.when(F.size("_rest") > 0, F.col("_rest")).alias("_rest"),
+        "CASE WHEN size(_offers) = 0 AND contains(lower(html), 'itemtype') THEN html END AS _html",
+        "CASE WHEN size(_nodes) > 0 THEN transform(_nodes, n -> to_json(n)) END AS _rest",
     )
     read = walk.select(*kept, "_offers", _python_readers("_html", "_rest").alias("_more"))
-    stated = F.concat("_offers", F.transform("_more.deep", lambda text: F.try_parse_json(text)))
-    json_ld = read.select(*kept, F.transform(stated, _json_ld_candidate).cast(CANDIDATES).alias("_ld"), "_more.micro")
-    has_json_ld = F.size("_ld") > 0
-    return json_ld.select(
+    nodes = "concat(_offers, transform(_more.deep, d -> try_parse_json(d)))"
+    stated = read.selectExpr(*kept, "_more.micro AS _micro", f"{STATED.format(nodes=nodes)} AS _stated")
+    found = stated.select(*kept, "_micro", F.expr(CANDIDATE.format(stated="_stated")).cast(CANDIDATES).alias("_ld"))
+    return found.selectExpr(
         *kept,
-        F.array_distinct(F.when(has_json_ld, F.col("_ld")).otherwise(F.col("micro"))).alias("candidates"),
-        F.when(has_json_ld, F.lit(READERS[0])).when(F.size("micro") > 0, F.lit(READERS[1])).alias("reader"),
+        "array_distinct(CASE WHEN size(_ld) > 0 THEN _ld ELSE _micro END) AS candidates",
+        f"CASE WHEN size(_ld) > 0 THEN '{READERS[0]}' WHEN size(_micro) > 0 THEN '{READERS[1]}' END AS reader",
     )
 
 

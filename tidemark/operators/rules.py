@@ -19,23 +19,48 @@ from tidemark.session import cut_lineage
 LISTING = ("listing_id",)
 
 
+# A price and its instant as one number that orders by both: 16 digits of time.
+_TIME_DIGITS = 10**16
+_TIME_SHIFT = 10**15
+
+
+def _price_at() -> Column:
+    price = F.col("amount_minor_units").cast("decimal(19,0)") * F.lit(_TIME_DIGITS).cast("decimal(17,0)")
+    return (price + (F.col("at_ms") + _TIME_SHIFT).cast("decimal(16,0)")).cast("decimal(38,0)")
+
+
+def _code_number(code: Column) -> Column:
+    """A three-letter code as an integer; the guard of the history lets nothing else in."""
+    letters = [F.ascii(F.substring(code, place, 1)) for place in (1, 2, 3)]
+    packed = (letters[0] * 256 + letters[1]) * 256 + letters[2]
+    return F.when(F.length(code) == 3, packed).otherwise(F.raise_error(F.concat(F.lit("not a currency code: "), code)).cast("int"))
+
+
+def _code_text(number: Column) -> Column:
+    return F.concat(*[F.char(F.shiftright(number, bits) % 256) for bits in (16, 8, 0)])
+
+
 def _window_measures() -> dict[str, tuple[str, Column]]:
-    """What a window has to tell a rule. All of it merges across partial windows."""
+    """What a window has to tell a rule. All of it merges across partial windows.
+
+    Fixed-width numbers only, so every merge is a hash aggregate.
+    """
     return {
         "n": ("sum", F.lit(1).cast("long")),
-        "low": ("min", F.struct(F.col("amount_minor_units").alias("amount"), F.col("at_ms").alias("at_ms"))),
-        "cur_lo": ("min", F.col("currency")),
-        "cur_hi": ("max", F.col("currency")),
+        "low": ("min", F.col("amount_minor_units")),
+        "low_at": ("min", _price_at()),
+        "cur_lo": ("min", F.col("code")),
+        "cur_hi": ("max", F.col("code")),
     }
 
 
 def _window_low_verdict(rule: Rule) -> Column:
-    """The ordered refusals of one rule over `amount_minor_units`, `currency` and the window columns."""
+    """The ordered refusals of one rule over the price columns and the window columns."""
     count = F.coalesce(F.col("n"), F.lit(0).cast("long"))
-    mismatch = (F.col("cur_lo") != F.col("currency")) | (F.col("cur_hi") != F.col("currency"))
-    other = F.when(F.col("cur_lo") != F.col("currency"), F.col("cur_lo")).otherwise(F.col("cur_hi"))
+    mismatch = (F.col("cur_lo") != F.col("code")) | (F.col("cur_hi") != F.col("code"))
+    other = F.when(F.col("cur_lo") != F.col("code"), F.col("cur_lo")).otherwise(F.col("cur_hi"))
     # Compared as decimals: an amount next to the 64-bit limit must not overflow.
-    reached = F.col("amount_minor_units").cast("decimal(20,0)") + rule.improvement_minor_units <= F.col("low.amount")
+    reached = F.col("amount_minor_units").cast("decimal(20,0)") + rule.improvement_minor_units <= F.col("low")
     status = (
         F.when(count == 0, F.lit("empty-window"))
         .when(mismatch, F.lit("currency-mismatch"))
@@ -44,13 +69,14 @@ def _window_low_verdict(rule: Rule) -> Column:
         .otherwise(F.lit("not-lower"))
     )
     judged = status.isin("fired", "not-lower")
+    low_at = F.col("low_at") - F.col("low").cast("decimal(19,0)") * F.lit(_TIME_DIGITS).cast("decimal(17,0)")
     return F.struct(
         F.lit(rule.rule_id).alias("rule_id"),
         status.alias("status"),
         count.alias("window_count"),
-        F.when(judged, F.col("low.amount")).alias("reference_amount"),
-        F.when(judged, F.col("low.at_ms")).alias("reference_at_ms"),
-        F.when(status == "currency-mismatch", other).alias("mismatch_currency"),
+        F.when(judged, F.col("low")).alias("reference_amount"),
+        F.when(judged, low_at.cast("long") - _TIME_SHIFT).alias("reference_at_ms"),
+        F.when(status == "currency-mismatch", _code_text(other)).alias("mismatch_currency"),
     )
 
 
@@ -91,6 +117,10 @@ def prices(observations: DataFrame, *extra: str) -> DataFrame:
     )
 
 
+def _coded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("code", _code_number(F.col("currency")))
+
+
 def window_low(
     observations: DataFrame,
     rules: Sequence[Rule],
@@ -102,15 +132,16 @@ def window_low(
     `only` names the observations to judge, where they are few against the
     history `observations`; history is then read at their instants alone.
     """
-    history = prices(observations)
-    rows = history if only is None else prices(only)
+    history = _coded(prices(observations))
+    rows = history if only is None else _coded(prices(only))
+    shown = [name for name in rows.columns if name != "code"]
     judged = []
     for width, group in _by_window(rules).items():
         window = trailing(
             history, history_keys, "at_ms", width, _window_measures(), probes=None if only is None else rows
         )
         seen = rows.join(window, [*history_keys, "at_ms"], "left")
-        judged.append(seen.select(*rows.columns, _verdicts(group).alias("v")).select(*rows.columns, "v.*"))
+        judged.append(seen.select(*shown, _verdicts(group).alias("v")).select(*shown, "v.*"))
     return _union(judged)
 
 
@@ -173,8 +204,8 @@ def evaluate_alerts(
         last = last.drop("source_id")
     judged = []
     for width, group in _by_window(rules).items():
-        window = trailing(prices(recent), history_keys, "at_ms", width, _window_measures(), probes=last)
-        seen = last.join(window, [*history_keys, "at_ms"], "left")
+        window = trailing(_coded(prices(recent)), history_keys, "at_ms", width, _window_measures(), probes=last)
+        seen = _coded(last).join(window, [*history_keys, "at_ms"], "left")
         judged.append(seen.select(*last.columns, _verdicts(group).alias("v")).select(*last.columns, "v.*"))
     verdicts = _union(judged)
 

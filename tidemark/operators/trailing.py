@@ -16,6 +16,8 @@ the number of rows, and every frame is a running one.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -63,7 +65,8 @@ def _carried(points: DataFrame, keys: Sequence[str], first: int | None, measures
     chunks = points.groupBy(*keys, "_chunk").agg(*_combine(measures))
     ordered = W.partitionBy(*keys).orderBy("_chunk")
     frame = ordered.rowsBetween(W.unboundedPreceding, -1) if first is None else ordered.rangeBetween(-first, -1)
-    return chunks.select(*keys, "_chunk", *_over(measures, frame))
+    carried = chunks.select(*keys, "_chunk", *_over(measures, frame))
+    return carried.where(reduce(or_, [F.col(name).isNotNull() for name in measures]))
 
 
 def trailing(

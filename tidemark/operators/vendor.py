@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Registry
 from tidemark.functions.instants import vendor_timestamp_ms
-from tidemark.functions.json_values import as_array, as_object, field, kind, number_text
+from tidemark.functions.json_values import as_array, as_object, field, is_kind, number_text, trim_sql
 from tidemark.functions.money import minor_unit_exponent, to_minor_units
 from tidemark.functions.text import RAW_CONTEXT_ADAPTER, bound_text, redact_credentials, summarise, trim_all
 
@@ -16,20 +16,20 @@ ATTRIBUTES = ("sku", "name", "salePrice", "regularPrice", "onSale", "priceUpdate
 SKU = r"\A[0-9]{1,12}\z"
 
 
-def _price_text(value: Column) -> Column:
-    """The text of a price field: numbers in plain form, strings as they are."""
-    return F.when(kind(value) == "number", number_text(value.try_cast("double"))).when(
-        kind(value) == "string", value.try_cast("string")
-    )
+NODE = "CASE WHEN _products IS NULL THEN _object ELSE try_element_at(_products, 1) END"
+
+
+def _text_of(name: str) -> str:
+    """The text of a price or key field: numbers in plain form, strings as they are."""
+    number, text = number_text(f"try_cast({name} AS double)"), f"try_cast({name} AS string)"
+    return f"CASE WHEN {is_kind(name, 'number')} THEN {number} WHEN {is_kind(name, 'string')} THEN {text} END"
 
 
-def _price_fault(value: Column, amount: Column, currency: Column) -> Column:
+def _price_fault(readable: str, amount: str) -> Column:
     """Why a price field gives no amount; null where it gives one."""
-    readable = kind(value).isin("number", "string")
     return F.when(
-        amount.isNull(),
-        F.when(F.coalesce(readable, F.lit(False)) & minor_unit_exponent(currency).isNull(), F.lit("no-currency"))
-        .otherwise(F.lit("no-price")),
+        F.col(amount).isNull(),
+        F.when(F.col(readable).isNotNull() & F.col("_places").isNull(), F.lit("no-currency")).otherwise(F.lit("no-price")),
     )
 
 
@@ -39,53 +39,46 @@ def map_payloads(payloads: DataFrame) -> DataFrame:
     Both document shapes are read: a product, or `{"products": [one product]}`.
     """
     kept = [name for name in payloads.columns if name not in ("body", "currency", "time_zone")]
-    root = payloads.withColumn("_root", F.try_parse_json("body")).withColumn(
-        "_object", F.when(F.startswith(trim_all(F.col("body")), F.lit("{")), F.col("_root"))
-    )
-    listed = as_array(field(F.col("_object"), "products"))
-    products = root.withColumn("_products", F.filter(listed, lambda node: as_object(node).isNotNull()))
-    node = F.when(F.col("_products").isNull(), F.col("_object")).otherwise(F.try_element_at("_products", F.lit(1)))
     # Only the requested attributes leave the document.
-    read = products.select(
-        *kept,
-        F.upper(trim_all(F.col("currency"))).alias("_currency"), "time_zone",
-        F.col("_object").isNull().alias("_no_document"),
-        F.size("_products").alias("_count"),
-        *[field(node, name).alias(f"_{name}") for name in ATTRIBUTES],
-    )
-    sku = F.when(kind(F.col("_sku")) == "number", number_text(F.col("_sku").try_cast("double"))).otherwise(
-        trim_all(F.col("_sku").try_cast("string"))
-    )
-    priced = read.select(
-        "*", sku.alias("_sku_text"),
-        to_minor_units(_price_text(F.col("_salePrice")), F.col("_currency")).alias("_sale"),
-        to_minor_units(_price_text(F.col("_regularPrice")), F.col("_currency")).alias("_regular"),
+    read = (
+        payloads.selectExpr("*", f"CASE WHEN startswith({trim_sql('body')}, '{{') THEN try_parse_json(body) END AS _object")
+        .selectExpr("*", f"filter({as_array(field('_object', 'products'))}, n -> {as_object('n')} IS NOT NULL) AS _products")
+        .selectExpr("*", f"{NODE} AS _node")
+        .selectExpr(
+            *kept, f"upper({trim_sql('currency')}) AS _currency", "time_zone", "_object IS NULL AS _no_document",
+            "size(_products) AS _count", *[f"{field('_node', name)} AS _{name}" for name in ATTRIBUTES],
+        )
+        .selectExpr(
+            *kept, "_currency", "time_zone", "_no_document", "_count",
+            f"coalesce({_text_of('_sku')}, try_cast(_sku AS string)) AS _sku",
+            f"{_text_of('_salePrice')} AS _sale_text", f"{_text_of('_regularPrice')} AS _regular_text",
+            f"CASE WHEN {is_kind('_onSale', 'boolean')} THEN try_cast(_onSale AS boolean) END AS _on_sale",
+            f"CASE WHEN {is_kind('_priceUpdateDate', 'string')} THEN try_cast(_priceUpdateDate AS string) END AS _stamp",
+        )
     )
-    reason = (
-        F.when(F.col("_no_document"), F.lit("no-offer"))
-        .when(F.col("_count") == 0, F.lit("no-offer"))
+    judged = read.select(
+        "*",
+        minor_unit_exponent(F.col("_currency")).alias("_places"),
+        to_minor_units(F.col("_sale_text"), F.col("_currency")).alias("_sale"),
+        to_minor_units(F.col("_regular_text"), F.col("_currency")).alias("_regular"),
+    ).withColumn(
+        "reason",
+        F.when(F.col("_no_document") | (F.col("_count") == 0), F.lit("no-offer"))
         .when(F.col("_count") > 1, F.lit("ambiguous-offer"))
-        .when(F.col("_sku_text").isNull(), F.lit("no-offer"))
-        .when(F.col("_sku_text") != trim_all(F.col("listing_id")), F.lit("no-offer"))
-        .otherwise(
-            F.coalesce(
-                _price_fault(F.col("_salePrice"), F.col("_sale"), F.col("_currency")),
-                _price_fault(F.col("_regularPrice"), F.col("_regular"), F.col("_currency")),
-            )
-        )
+        .when(F.coalesce(trim_all(F.col("_sku")) != trim_all(F.col("listing_id")), F.lit(True)), F.lit("no-offer"))
+        .otherwise(F.coalesce(_price_fault("_sale_text", "_sale"), _price_fault("_regular_text", "_regular"))),
     )
-    judged = priced.withColumn("reason", reason)
+    shown = {
+        "amount_minor_units": F.col("_sale"),
+        "regular_minor_units": F.col("_regular"),
+        "currency": F.col("_currency"),
+        "on_sale": F.col("_sale") < F.col("_regular"),
+        "vendor_on_sale": F.col("_on_sale"),
+        "vendor_updated_ms": vendor_timestamp_ms(F.col("_stamp"), F.col("time_zone")),
+    }
     ok = F.col("reason").isNull()
-    stamp = F.when(kind(F.col("_priceUpdateDate")) == "string", F.col("_priceUpdateDate").try_cast("string"))
     return judged.select(
-        *kept,
-        ok.alias("ok"), "reason",
-        F.when(ok, F.col("_sale")).alias("amount_minor_units"),
-        F.when(ok, F.col("_regular")).alias("regular_minor_units"),
-        F.when(ok, F.col("_currency")).alias("currency"),
-        F.when(ok, F.col("_sale") < F.col("_regular")).alias("on_sale"),
-        F.when(ok & (kind(F.col("_onSale")) == "boolean"), F.col("_onSale").try_cast("boolean")).alias("vendor_on_sale"),
-        F.when(ok, vendor_timestamp_ms(stamp, F.col("time_zone"))).alias("vendor_updated_ms"),
+        *kept, ok.alias("ok"), "reason", *[F.when(ok, value).alias(name) for name, value in shown.items()]
     )
 
 
