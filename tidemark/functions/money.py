@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import WHITESPACE, trim_all
@@ -26,25 +26,39 @@ CURRENCY_SYMBOLS = "$€£¥₩₹₽₦₱฿₪"
 PLAIN_OR_GROUPED = r"\A(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d+)?\z"
 
 
+_PLACES = "map({})".format(
+    ", ".join(
+        f"'{code}', {places}"
+        for places, codes in ((2, EXPONENT_2), (0, EXPONENT_0), (3, EXPONENT_3), (4, EXPONENT_4))
+        for code in codes
+    )
+)
+
+
+def clean_code(code: Column) -> Column:
+    """A currency code as it is looked up: trimmed, in upper case."""
+    return F.upper(trim_all(code))
+
+
 def minor_unit_exponent(code: Column) -> Column:
     """Decimal places of a currency, or null for a code that is not recognised."""
-    known = F.upper(trim_all(code))
-    return (
-        F.when(known.isin(EXPONENT_2), F.lit(2))
-        .when(known.isin(EXPONENT_0), F.lit(0))
-        .when(known.isin(EXPONENT_3), F.lit(3))
-        .when(known.isin(EXPONENT_4), F.lit(4))
-    )
+    return F.try_element_at(F.expr(_PLACES), clean_code(code))
 
 
 def normalise_currency(code: Column) -> Column:
     """The upper-case code, or null for one that is not recognised."""
-    return F.when(minor_unit_exponent(code).isNotNull(), F.upper(trim_all(code)))
+    return F.when(minor_unit_exponent(code).isNotNull(), clean_code(code))
 
 
-def strip_decoration(price: Column, currency: Column) -> Column:
-    """Price text without whitespace, outer symbols and one copy of the code on each side."""
-    code = F.upper(trim_all(currency))
+def with_code(df: DataFrame, currency: Column) -> DataFrame:
+    """`df` with `_code` and `_places`, so that the expressions below look them up once per row."""
+    return df.withColumn("_code", clean_code(currency)).withColumn(
+        "_places", F.try_element_at(F.expr(_PLACES), F.col("_code"))
+    )
+
+
+def strip_decoration(price: Column, code: Column) -> Column:
+    """Price text without whitespace, outer symbols and one copy of the clean code on each side."""
     has_code = F.length(code) == 3
     text = F.btrim(F.translate(price, WHITESPACE, ""), F.lit(CURRENCY_SYMBOLS))
     starts = has_code & (F.upper(F.left(text, F.lit(3))) == code)
@@ -53,14 +67,16 @@ def strip_decoration(price: Column, currency: Column) -> Column:
     return F.when(ends, F.left(text, F.length(text) - 3)).otherwise(text)
 
 
-def to_minor_units(price: Column, currency: Column) -> Column:
+def to_minor_units(
+    price: Column, currency: Column, code: Column | None = None, places: Column | None = None
+) -> Column:
     """Exact minor units, or null where the text or the currency allows none.
 
     Digits past the exponent must be zeros; nothing is rounded and no sign is
     accepted. An amount beyond 64 bits is null as well.
     """
-    exponent = minor_unit_exponent(currency)
-    text = strip_decoration(price, currency)
+    exponent = minor_unit_exponent(currency) if places is None else places
+    text = strip_decoration(price, clean_code(currency) if code is None else code)
     digits = F.translate(text, ",", "")
     whole = F.substring_index(digits, ".", 1)
     fraction = F.substr(digits, F.length(whole) + 2)
@@ -70,13 +86,15 @@ def to_minor_units(price: Column, currency: Column) -> Column:
     return F.when(exact, F.concat(whole, kept).try_cast("bigint"))
 
 
-def format_minor_units(amount: Column, currency: Column) -> Column:
+def format_minor_units(
+    amount: Column, currency: Column, code: Column | None = None, places: Column | None = None
+) -> Column:
     """Minor units as `CODE 12.99`, placed by the currency's own exponent."""
-    code = F.upper(trim_all(currency))
-    exponent = minor_unit_exponent(currency)
+    code = clean_code(currency) if code is None else code
+    exponent = minor_unit_exponent(currency) if places is None else places
     plain = amount.cast("string")
     sign = F.when(amount < 0, F.lit("-")).otherwise(F.lit(""))
-    digits = F.regexp_replace(plain, "^-", "")
+    digits = F.ltrim(plain, F.lit("-"))
     padded = F.lpad(digits, F.greatest(F.length(digits), exponent + 1), "0")
     point = F.length(padded) - exponent
     return (
@@ -86,3 +104,14 @@ def format_minor_units(amount: Column, currency: Column) -> Column:
             F.concat(code, F.lit(" "), sign, F.left(padded, point), F.lit("."), F.right(padded, exponent))
         )
     )
+
+
+def shown(amount: str) -> Column:
+    """An amount of a table that `with_code` has prepared, as text."""
+    return format_minor_units(F.col(amount), F.col("_code"), F.col("_code"), F.col("_places"))
+
+
+def exact(price: str | Column) -> Column:
+    """A price text of a table that `with_code` has prepared, as minor units."""
+    text = F.col(price) if isinstance(price, str) else price
+    return to_minor_units(text, F.col("_code"), F.col("_code"), F.col("_places"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import attach
+
 KEY = ["source_id", "listing_id", "rule_id"]
 # Statuses that refuse the credential rather than the notification.
 CREDENTIAL_REFUSALS = (401, 403)
@@ -25,12 +27,12 @@ def reconcile_deliveries(outbox: DataFrame, run: str = "run_id", order: Sequence
     """`outbox` rows with their response `status`, and what each of them came to.
 
     After the first credential refusal of a run nothing more is attempted. That
-    instant is one aggregate per run, so a run of any size stays spread out.
+    place is one aggregate per run, so a run of any size stays spread out.
     """
     place = F.struct(*order)
     stopped = F.col("status").isin(*CREDENTIAL_REFUSALS)
-    first = outbox.groupBy(run).agg(F.min(F.when(stopped, place)).alias("_stop"))
-    rows = outbox.join(first, run, "left")
+    first = outbox.groupBy(run).agg(F.min(F.when(stopped, place)).alias("_stop"), F.count("*").alias("_n"))
+    rows = attach(outbox, first, [run], "_n")
     outcome = F.when(place > F.col("_stop"), F.lit("not-attempted")).otherwise(delivery_class(F.coalesce(F.col("status"), F.lit(0))))
     return rows.withColumn("outcome", outcome).drop("_stop")
 

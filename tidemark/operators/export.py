@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Registry
-from tidemark.functions.money import format_minor_units
+from tidemark.functions.money import shown, with_code
 from tidemark.functions.text import is_blank, iso_millis
 
 
@@ -21,7 +21,8 @@ def attributed(observations: DataFrame, registry: Registry) -> DataFrame:
         registry.frame(observations.sparkSession).select("source_id", "attribution_required", "attribute_to", "notice")
     )
     rows = observations.join(terms, "source_id", "left")
-    return rows.withColumn("attribution", F.when(F.col("attribution_required"), F.col("notice"))).drop("notice")
+    noted = rows.withColumn("attribution", F.when(F.col("attribution_required"), F.col("notice"))).drop("notice")
+    return with_code(noted, F.col("currency"))
 
 
 def attribution_violation() -> Column:
@@ -41,14 +42,14 @@ def violations(items: DataFrame) -> DataFrame:
 
 
 def listing_line() -> Column:
-    """One observation as a line of text."""
+    """One observation of an `attributed` table as a line of text."""
     updated = F.coalesce(
         F.concat(F.lit("vendor price updated "), iso_millis(F.col("vendor_price_updated_at"))),
         F.lit("vendor price-update instant not published"),
     )
     return F.concat(
         iso_millis(F.col("observed_at")), F.lit("  "), F.col("listing_id"), F.lit("  "),
-        format_minor_units(F.col("amount_minor_units"), F.col("currency")), F.lit("  ("), updated, F.lit(")"),
+        shown("amount_minor_units"), F.lit("  ("), updated, F.lit(")"),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.json_values import as_array, as_object, field, scalar, trim_sql
-from tidemark.functions.money import normalise_currency, to_minor_units
+from tidemark.functions.money import exact, with_code
 from tidemark.operators.microdata import OFFER_NAMES, deep_offers, offers
 
 JSON_LD_BLOCK = r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
@@ -106,17 +106,15 @@ def extract_offers(pages: DataFrame) -> DataFrame:
     (several amounts).
     """
     found = offer_candidates(pages)
-    offer = F.try_element_at("candidates", F.lit(1))
-    code = normalise_currency(F.try_element_at(offer["currencies"], F.lit(1)))
-    priced = found.select("*", offer.alias("_offer"), code.alias("_code")).withColumn(
-        "_amounts", F.array_distinct(F.transform("_offer.prices", lambda price: to_minor_units(price, F.col("_code"))))
-    )
+    offer = found.select("*", F.try_element_at("candidates", F.lit(1)).alias("_offer"))
+    coded = with_code(offer, F.try_element_at("_offer.currencies", F.lit(1)))
+    priced = coded.withColumn("_amounts", F.array_distinct(F.transform("_offer.prices", exact)))
     reason = (
         F.when(F.size("candidates") == 0, F.lit("no-offer"))
         .when(F.size("candidates") > 1, F.lit("ambiguous-offer"))
         .when(F.col("_offer.is_range") | (F.size("_offer.currencies") > 1), F.lit("ambiguous-offer"))
         .when(F.size("_offer.prices") == 0, F.lit("no-price"))
-        .when(F.col("_code").isNull(), F.lit("no-currency"))
+        .when(F.col("_places").isNull(), F.lit("no-currency"))
         .when(F.exists("_amounts", lambda amount: amount.isNull()), F.lit("no-price"))
         .when(F.size("_amounts") > 1, F.lit("ambiguous-offer"))
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Allowance, BreakerSettings, Ceiling, Source, by_source
 from tidemark.functions.instants import hold_ms, is_failure, millis, period_start
+from tidemark.operators.skew import attach
 from tidemark.operators.trailing import running, trailing
 from tidemark.session import cut_lineage
 
@@ -92,12 +93,12 @@ def failure_rate(requests: DataFrame, settings: BreakerSettings, failure: Column
     )
     total = F.coalesce("n", F.lit(0)) + F.col("own_n")
     bad = F.coalesce("bad", F.lit(0)) + F.col("own_bad")
-    rates = window.select("source_id", "at_ms", total.alias("outcomes"), bad.alias("failures"))
+    rates = window.select("source_id", "at_ms", "own_n", total.alias("outcomes"), bad.alias("failures"))
     share = F.lit(str(settings.failure_rate_threshold)).cast("decimal(10,9)")
     tripping = (F.col("outcomes") >= settings.minimum_outcomes) & (
         F.col("failures").cast("decimal(20,0)") >= share * F.col("outcomes").cast("decimal(18,0)")
     )
-    return log.join(rates, ["source_id", "at_ms"]).select(
+    return attach(log, rates, ["source_id", "at_ms"], "own_n").select(
         "source_id", "request_id", "at_ms", "outcomes", "failures", tripping.alias("tripping")
     )
 
@@ -182,8 +183,8 @@ def hold_audit(requests: DataFrame, default_ms: int, chunk_ms: int = 3_600_000)
     at = millis(F.col("at"))
     until = at + hold_ms(F.col("status"), F.col("retry_after"), at, default_ms)
     log = requests.select("host", "request_id", at.alias("at_ms"), until.alias("until"))
-    held = running(log, ["host"], "at_ms", chunk_ms, {"held": ("max", F.col("until"))})
-    rows = log.join(held.select("host", "at_ms", "held"), ["host", "at_ms"])
+    held = running(log, ["host"], "at_ms", chunk_ms, {"held": ("max", F.col("until")), "n": _one()})
+    rows = attach(log, held.select("host", "at_ms", "held", "own_n"), ["host", "at_ms"], "own_n")
     inside = F.coalesce(F.col("held") > F.col("at_ms"), F.lit(False))
     return rows.select("host", "request_id", "at_ms", F.when(inside, F.col("held")).alias("held_until_ms"), inside.alias("inside_hold"))
 
@@ -256,7 +257,7 @@ def breaker_replay(
     Slice i is final after at most i rounds, and mostly after two or three, since a
     quiet stretch forgets the past. No task ever holds more than one slice.
     """
-    width = slice_ms or max(4 * (settings.window_ms + settings.pause_ms), 86_400_000)
+    width = slice_ms or 4 * (settings.window_ms + settings.pause_ms)
     failed = is_failure(F.col("status")) if failure is None else failure
     log = outcomes.select(
         "source_id", "request_id", millis(F.col("at")).alias("at_ms"), failed.cast("int").alias("failed")

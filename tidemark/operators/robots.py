@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.instants import robots_status_class
 from tidemark.functions.text import trim_all, url_origin
+from tidemark.operators.skew import HOT_ROWS, attach
 
 # Field names, the path that is always open, and the octets that need no escape.
 AGENT_FIELDS = ("user-agent", "useragent")
@@ -104,7 +105,7 @@ def selected_rules(robots: DataFrame, token: str) -> DataFrame:
     return rows.where(applies & ~F.col("is_agent")).select("origin", "line_no", "kind", F.col("value").alias("pattern"))
 
 
-def robots_decide(urls: DataFrame, robots: DataFrame, token: str) -> DataFrame:
+def robots_decide(urls: DataFrame, robots: DataFrame, token: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """`allowed`, `disallowed`, `unreachable` or `unfetched` for every row of `urls` (column `url`).
 
     The rules of an origin come as one array bounded by its file, so a URL meets
@@ -123,7 +124,8 @@ def robots_decide(urls: DataFrame, robots: DataFrame, token: str) -> DataFrame:
     tail = F.regexp_replace(F.regexp_replace("url", r"(?s)#.*\z", ""), r"\A[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", "")
     path = F.when(F.startswith(tail, F.lit("/")), tail).otherwise(F.concat(F.lit("/"), tail))
     asked = urls.withColumn("origin", url_origin(F.col("url"))).withColumn("path", normalise_path(path))
-    rows = asked.join(files, "origin", "left")
+    sizes = asked.groupBy("origin").agg(F.count("*").alias("_n"))
+    rows = attach(asked, files.join(sizes, "origin"), ["origin"], "_n", hot_rows)
     matching = F.filter("rules", lambda r: F.rlike(F.col("path"), r["regex"]))
     # The most octets win, and an allow wins a tie.
     rows = rows.withColumn("best", F.array_max(matching))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Rule
 from tidemark.functions.instants import millis
-from tidemark.functions.money import format_minor_units
+from tidemark.functions.money import shown, with_code
 from tidemark.functions.text import iso_millis, single_line, usable_link
+from tidemark.operators.skew import HOT_ROWS, attach
 from tidemark.operators.trailing import running, trailing
 from tidemark.session import cut_lineage
 
@@ -126,6 +127,7 @@ def window_low(
     rules: Sequence[Rule],
     history_keys: Sequence[str] = LISTING,
     only: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """A verdict for every observation and rule over the observation's own trailing window.
 
@@ -134,14 +136,19 @@ def window_low(
     """
     history = _coded(prices(observations))
     rows = history if only is None else _coded(prices(only))
-    shown = [name for name in rows.columns if name != "code"]
+    kept = [name for name in rows.columns if name != "code"]
     judged = []
     for width, group in _by_window(rules).items():
         window = trailing(
             history, history_keys, "at_ms", width, _window_measures(), probes=None if only is None else rows
         )
-        seen = rows.join(window, [*history_keys, "at_ms"], "left")
-        judged.append(seen.select(*shown, _verdicts(group).alias("v")).select(*shown, "v.*"))
+        on = [*history_keys, "at_ms"]
+        if only is None:
+            window = window.drop("own_low", "own_low_at", "own_cur_lo", "own_cur_hi")
+            seen = attach(rows, window, on, "own_n", hot_rows)
+        else:
+            seen = rows.join(window, on, "left")
+        judged.append(seen.select(*kept, _verdicts(group).alias("v")).select(*kept, "v.*"))
     return _union(judged)
 
 
@@ -197,8 +204,7 @@ def evaluate_alerts(
     """
     widest = max(rule.window_ms for rule in rules)
     listed = watchlist.where("enabled").select("source_id", "listing_id", "listing_url")
-    watched = listed.select(*history_keys).distinct()
-    recent = between(observations, as_of_ms - 2 * widest, as_of_ms).join(watched, list(history_keys), "left_semi")
+    recent = between(observations, as_of_ms - 2 * widest, as_of_ms)
     last = latest(recent, as_of_ms, widest, history_keys)
     if "source_id" not in history_keys:
         last = last.drop("source_id")
@@ -255,8 +261,7 @@ def clearance_tag(alerts: DataFrame, endings: DataFrame) -> DataFrame:
 
 def compose_alerts(alerts: DataFrame) -> DataFrame:
     """The outbox: a title and a self-explaining body for every deliverable alert."""
-    observed = format_minor_units(F.col("amount_minor_units"), F.col("currency"))
-    reference = format_minor_units(F.col("reference_amount"), F.col("currency"))
+    observed, reference = shown("amount_minor_units"), shown("reference_amount")
     subject = F.concat_ws("/", "source_id", "listing_id")
     body = F.concat_ws(
         "\n",
@@ -280,7 +285,8 @@ def compose_alerts(alerts: DataFrame) -> DataFrame:
         ),
     )
     title = F.concat(observed, F.lit(" on "), F.col("listing_id"), F.lit(" ("), F.col("rule_id"), F.lit(")"))
-    return alerts.where(F.col("status") == "deliverable").select(
+    ready = with_code(alerts.where(F.col("status") == "deliverable"), F.col("currency"))
+    return ready.select(
         "rule_id", "source_id", "listing_id", single_line(title).alias("title"), body.alias("body"), "link",
         F.col("amount_minor_units").alias("observed_amount"), "reference_amount", "currency", "clearance_ending",
         "at_ms",

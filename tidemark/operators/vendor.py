@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Registry
 from tidemark.functions.instants import vendor_timestamp_ms
 from tidemark.functions.json_values import as_array, as_object, field, is_kind, number_text, trim_sql
-from tidemark.functions.money import minor_unit_exponent, to_minor_units
+from tidemark.functions.money import exact, with_code
 from tidemark.functions.text import RAW_CONTEXT_ADAPTER, bound_text, redact_credentials, summarise, trim_all
 
 # The attributes that are read, and the shape of a listing id.
@@ -45,7 +45,7 @@ def map_payloads(payloads: DataFrame) -> DataFrame:
         .selectExpr("*", f"filter({as_array(field('_object', 'products'))}, n -> {as_object('n')} IS NOT NULL) AS _products")
         .selectExpr("*", f"{NODE} AS _node")
         .selectExpr(
-            *kept, f"upper({trim_sql('currency')}) AS _currency", "time_zone", "_object IS NULL AS _no_document",
+            *kept, "currency AS _currency", "time_zone", "_object IS NULL AS _no_document",
             "size(_products) AS _count", *[f"{field('_node', name)} AS _{name}" for name in ATTRIBUTES],
         )
         .selectExpr(
@@ -56,11 +56,8 @@ def map_payloads(payloads: DataFrame) -> DataFrame:
             f"CASE WHEN {is_kind('_priceUpdateDate', 'string')} THEN try_cast(_priceUpdateDate AS string) END AS _stamp",
         )
     )
-    judged = read.select(
-        "*",
-        minor_unit_exponent(F.col("_currency")).alias("_places"),
-        to_minor_units(F.col("_sale_text"), F.col("_currency")).alias("_sale"),
-        to_minor_units(F.col("_regular_text"), F.col("_currency")).alias("_regular"),
+    judged = with_code(read, F.col("_currency")).select(
+        "*", exact("_sale_text").alias("_sale"), exact("_regular_text").alias("_regular")
     ).withColumn(
         "reason",
         F.when(F.col("_no_document") | (F.col("_count") == 0), F.lit("no-offer"))
@@ -71,7 +68,7 @@ def map_payloads(payloads: DataFrame) -> DataFrame:
     shown = {
         "amount_minor_units": F.col("_sale"),
         "regular_minor_units": F.col("_regular"),
-        "currency": F.col("_currency"),
+        "currency": F.col("_code"),
         "on_sale": F.col("_sale") < F.col("_regular"),
         "vendor_on_sale": F.col("_on_sale"),
         "vendor_updated_ms": vendor_timestamp_ms(F.col("_stamp"), F.col("time_zone")),

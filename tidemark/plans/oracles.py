@@ -566,3 +566,15 @@ SELECT event_id, zone, stamp, CASE
   WHEN form = 2 THEN epoch_ms(sec) WHEN form = 3 THEN epoch_ms(sec) - 19800000
   WHEN form = 4 AND day(ts) = 1 THEN epoch_ms(date_trunc('month', sec)) + 2592000000 + epoch_ms(sec) % 86400000 END AS at_ms
 FROM s"""
+
+# -- streams: what the batch statements say ---------------------------------------
+
+ORACLES["stream_period_counts"] = ORACLES["period_counts"]
+ORACLES["stream_window_low"] = f"""
+WITH {OBS}, {judged(RR, 1)} SELECT listing_id, obs_id, at_ms, status, window_count, reference_amount FROM v1"""
+ORACLES["stream_cooldowns"] = f"""
+SELECT listing_id, at_ms, obs_id, rule_id, amount_minor_units FROM ({ORACLES["alert_replay"]})"""
+ORACLES["stream_breaker"] = ORACLES["breaker_replay"]
+ORACLES["stream_ingest"] = f"""
+WITH {FAULTY}
+SELECT source_id, listing_id, amount_minor_units, currency, coalesce(refusal, 'history') AS state FROM g"""

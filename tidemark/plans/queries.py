@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.config import DAY_MS, HOUR_MS, by_source
 from tidemark.functions import instants, money, text
@@ -13,6 +14,8 @@ from tidemark.operators import (
     delivery, export, extraction, history, requestlog, robots, rules, vendor, watchlist,
 )
 from tidemark.plans import views
+from tidemark.session import scratch_path
+from tidemark.streaming import batches, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -189,11 +192,11 @@ def minor_units(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("l_linenumber") % 5 == 3, F.concat(F.lit("1,234,"), F.substring(F.concat(F.lit("00"), "plain"), -6, 6)))
         .otherwise(F.concat(F.lit("-"), "plain"))
     )
-    priced = rows.withColumn("price", shown)
+    priced = money.with_code(rows.withColumn("price", shown), F.col("currency"))
     return priced.select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "price",
-        money.normalise_currency(F.col("currency")).alias("currency"),
-        money.to_minor_units(F.col("price"), F.col("currency")).alias("amount_minor_units"),
+        F.when(F.col("_places").isNotNull(), F.col("_code")).alias("currency"),
+        money.exact("price").alias("amount_minor_units"),
     )
 
 
@@ -203,15 +206,20 @@ def format_money(spark: SparkSession, sf_dir: str) -> DataFrame:
         "listing_id", "obs_id", "amount_minor_units",
         "element_at(array('USD', 'JPY', 'KWD', 'ZZZ', 'UYW'), cast(amount_minor_units % 5 AS int) + 1) AS currency",
     )
-    return rows.select("*", money.format_minor_units(F.col("amount_minor_units"), F.col("currency")).alias("shown"))
+    coded = money.with_code(rows, F.col("currency"))
+    return coded.select("*", money.shown("amount_minor_units").alias("shown")).drop("_code", "_places")
 
 
 # -- history ------------------------------------------------------------------
 
 
 def _faulty_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes from the observations, some of them broken in every way the guard knows."""
-    return views.observations(spark, sf_dir).selectExpr(
+    return _faulty(views.observations(spark, sf_dir))
+
+
+def _faulty(observations: DataFrame) -> DataFrame:
+    """Outcomes from observations, some of them broken in every way the guard knows."""
+    return observations.selectExpr(
         "CASE WHEN amount_minor_units % 23 = 0 THEN ' ' ELSE source_id END AS source_id",
         "CASE WHEN amount_minor_units % 29 = 1 THEN '' ELSE listing_id END AS listing_id",
         "CASE WHEN amount_minor_units % 31 = 2 THEN 'store-1' END AS store_id",
@@ -465,3 +473,61 @@ def vendor_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
            ELSE date_format(ts, 'dd.MM.yyyy') END AS stamp""",
     )
     return rows.select("event_id", "zone", "stamp", instants.vendor_timestamp_ms(F.col("stamp"), F.col("zone")).alias("at_ms"))
+
+
+# -- streams: the given tables read as files, run until they are used up --------
+
+
+def _run(writer: DataStreamWriter, checkpoint: str) -> None:
+    running = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    running.awaitTermination()
+
+
+@query
+def stream_period_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = views.requests_of(views.stream(spark, sf_dir, "events"))
+    counts = scratch_path(spark, "counts")
+    _run(batches.stream_period_counts(log, "1 day", counts), scratch_path(spark, "checkpoint"))
+    return batches.latest_counts(spark.read.parquet(counts))
+
+
+@query
+def stream_window_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arriving = views.observations_of(views.stream(spark, sf_dir, "lineitem"))
+    history_path, verdicts = scratch_path(spark, "history"), scratch_path(spark, "verdicts")
+    _run(batches.stream_window_low(arriving, views.REPLAY_RULES, history_path, verdicts), scratch_path(spark, "checkpoint"))
+    return spark.read.parquet(verdicts).select(
+        "listing_id", "obs_id", "at_ms", "status", "window_count", "reference_amount"
+    )
+
+
+@query
+def stream_cooldowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arriving, kept = scratch_path(spark, "firings"), scratch_path(spark, "kept")
+    firings = _firings(spark, sf_dir).select("source_id", "listing_id", "rule_id", "at_ms", "obs_id", "amount_minor_units")
+    # A cooldown is kept per listing here, as the batch replay keeps it.
+    firings.withColumn("source_id", F.lit("any")).write.parquet(arriving)
+    rows = spark.readStream.schema(firings.schema).parquet(arriving)
+    stream = stateful.stream_cooldowns(rows, views.REPLAY_RULES)
+    _run(stream.writeStream.format("parquet").option("path", kept), scratch_path(spark, "checkpoint"))
+    return spark.read.parquet(kept).select("listing_id", "at_ms", "obs_id", "rule_id", "amount_minor_units")
+
+
+@query
+def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = views.requests_of(views.stream(spark, sf_dir, "events"))
+    outcomes = log.selectExpr("source_id", "request_id", "unix_millis(at) AS at_ms", "int(status >= 400) AS failed")
+    pauses = scratch_path(spark, "pauses")
+    stream = stateful.stream_breaker(outcomes, views.BREAKER)
+    _run(stream.writeStream.format("parquet").option("path", pauses), scratch_path(spark, "checkpoint"))
+    return spark.read.schema(stateful.PAUSES).parquet(pauses)
+
+
+@query
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arriving = _faulty(views.observations_of(views.stream(spark, sf_dir, "lineitem")))
+    kept, aside = scratch_path(spark, "history"), scratch_path(spark, "quarantine")
+    _run(batches.stream_ingest(arriving, views.REGISTRY, kept, aside), scratch_path(spark, "checkpoint"))
+    columns = ["source_id", "listing_id", "amount_minor_units", "currency"]
+    written = spark.read.parquet(kept).select(*columns, F.lit("history").alias("state"))
+    return written.unionByName(spark.read.parquet(aside).select(*columns, F.col("refusal").alias("state")))

@@ -100,9 +100,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables as a stream of its files, a bounded amount per trigger."""
+    schema = table(spark, sf_dir, name).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return reader.option("maxBytesPerTrigger", 1 << 30).parquet(sf_dir)
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price history from the line items: a listing per part, a source per supplier group."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return observations_of(table(spark, sf_dir, "lineitem"))
+
+
+def observations_of(lineitem: DataFrame) -> DataFrame:
+    """The same, of a batch or a stream of line items."""
+    return lineitem.selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_suppkey) AS obs_id",
         "concat('src-', l_suppkey % 5) AS source_id",
         "cast(l_partkey AS string) AS listing_id",
@@ -147,7 +159,12 @@ def cooldowns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request log from the events: a source and a host per user group, statuses and back-off headers by id."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return requests_of(table(spark, sf_dir, "events"))
+
+
+def requests_of(events: DataFrame) -> DataFrame:
+    """The same, of a batch or a stream of events."""
+    return events.selectExpr(
         "event_id AS request_id", "concat('src-', user_id % 7) AS source_id",
         "concat('h', user_id % 11, '.example') AS host", "cast(ts AS timestamp) AS at",
         """CASE WHEN event_type <> 'error' THEN 200 WHEN event_id % 5 = 0 THEN 403 WHEN event_id % 5 = 1 THEN 429

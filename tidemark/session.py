@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +26,25 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of `df` in the folder the cluster names."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor sees, as the cluster names it; a local one only in local mode."""
     context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running this operator")
-        shared = context.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        named = tempfile.mkdtemp(prefix="tidemark-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(named)
+    return named
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path nobody has used yet, in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of `df` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
