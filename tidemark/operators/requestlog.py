@@ -294,4 +294,4 @@ def breaker_replay(
         )
         if todo.isEmpty():
             return done.where("tripped_ms is not null").drop("slice", "exit_ms")
-        entries = cut_lineage(expected)
+        entries = expected
