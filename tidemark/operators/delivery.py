@@ -31,8 +31,8 @@ def reconcile_deliveries(outbox: DataFrame, run: str = "run_id", order: Sequence
     """
     place = F.struct(*order)
     stopped = F.col("status").isin(*CREDENTIAL_REFUSALS)
-    first = outbox.groupBy(run).agg(F.min(F.when(stopped, place)).alias("_stop"), F.count("*").alias("_n"))
-    rows = attach(outbox, first, [run], "_n")
+    first = outbox.groupBy(run).agg(F.min(F.when(stopped, place)).alias("_stop"))
+    rows = attach(outbox, first, [run])
     outcome = F.when(place > F.col("_stop"), F.lit("not-attempted")).otherwise(delivery_class(F.coalesce(F.col("status"), F.lit(0))))
     return rows.withColumn("outcome", outcome).drop("_stop")
 

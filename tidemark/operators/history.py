@@ -118,8 +118,16 @@ def snapshot(observations: DataFrame) -> DataFrame:
 
 
 def history_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that one history holds more often than the other; empty when they agree."""
-    a, b = snapshot(left), snapshot(right).select(*left.columns)
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(
-        b.exceptAll(a).withColumn("side", F.lit("right"))
-    )
+    """Rows that one history holds more often than the other; empty when they agree.
+
+    One count per distinct row settles both directions, and equal copies are merged
+    before the shuffle.
+    """
+    names = left.columns
+    both = snapshot(left).withColumn("_n", F.lit(1)).unionByName(snapshot(right.select(*names)).withColumn("_n", F.lit(-1)))
+    surplus = both.groupBy(*names).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    return surplus.select(
+        *names,
+        F.when(F.col("_n") > 0, F.lit("left")).otherwise(F.lit("right")).alias("side"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n"))).alias("_copy"),
+    ).drop("_copy")

@@ -93,12 +93,12 @@ def failure_rate(requests: DataFrame, settings: BreakerSettings, failure: Column
     )
     total = F.coalesce("n", F.lit(0)) + F.col("own_n")
     bad = F.coalesce("bad", F.lit(0)) + F.col("own_bad")
-    rates = window.select("source_id", "at_ms", "own_n", total.alias("outcomes"), bad.alias("failures"))
+    rates = window.select("source_id", "at_ms", total.alias("outcomes"), bad.alias("failures"))
     share = F.lit(str(settings.failure_rate_threshold)).cast("decimal(10,9)")
     tripping = (F.col("outcomes") >= settings.minimum_outcomes) & (
         F.col("failures").cast("decimal(20,0)") >= share * F.col("outcomes").cast("decimal(18,0)")
     )
-    return attach(log, rates, ["source_id", "at_ms"], "own_n").select(
+    return attach(log, rates, ["source_id", "at_ms"], ["source_id"]).select(
         "source_id", "request_id", "at_ms", "outcomes", "failures", tripping.alias("tripping")
     )
 
@@ -183,8 +183,8 @@ def hold_audit(requests: DataFrame, default_ms: int, chunk_ms: int = 3_600_000)
     at = millis(F.col("at"))
     until = at + hold_ms(F.col("status"), F.col("retry_after"), at, default_ms)
     log = requests.select("host", "request_id", at.alias("at_ms"), until.alias("until"))
-    held = running(log, ["host"], "at_ms", chunk_ms, {"held": ("max", F.col("until")), "n": _one()})
-    rows = attach(log, held.select("host", "at_ms", "held", "own_n"), ["host", "at_ms"], "own_n")
+    held = running(log, ["host"], "at_ms", chunk_ms, {"held": ("max", F.col("until"))})
+    rows = attach(log, held.select("host", "at_ms", "held"), ["host", "at_ms"], ["host"])
     inside = F.coalesce(F.col("held") > F.col("at_ms"), F.lit(False))
     return rows.select("host", "request_id", "at_ms", F.when(inside, F.col("held")).alias("held_until_ms"), inside.alias("inside_hold"))
 

@@ -124,8 +124,7 @@ def robots_decide(urls: DataFrame, robots: DataFrame, token: str, hot_rows: int
     tail = F.regexp_replace(F.regexp_replace("url", r"(?s)#.*\z", ""), r"\A[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", "")
     path = F.when(F.startswith(tail, F.lit("/")), tail).otherwise(F.concat(F.lit("/"), tail))
     asked = urls.withColumn("origin", url_origin(F.col("url"))).withColumn("path", normalise_path(path))
-    sizes = asked.groupBy("origin").agg(F.count("*").alias("_n"))
-    rows = attach(asked, files.join(sizes, "origin"), ["origin"], "_n", hot_rows)
+    rows = attach(asked, files, ["origin"], hot_rows=hot_rows)
     matching = F.filter("rules", lambda r: F.rlike(F.col("path"), r["regex"]))
     # The most octets win, and an allow wins a tie.
     rows = rows.withColumn("best", F.array_max(matching))

@@ -144,8 +144,7 @@ def window_low(
         )
         on = [*history_keys, "at_ms"]
         if only is None:
-            window = window.drop("own_low", "own_low_at", "own_cur_lo", "own_cur_hi")
-            seen = attach(rows, window, on, "own_n", hot_rows)
+            seen = attach(rows, window.select(*on, *_window_measures()), on, history_keys, hot_rows)
         else:
             seen = rows.join(window, on, "left")
         judged.append(seen.select(*kept, _verdicts(group).alias("v")).select(*kept, "v.*"))

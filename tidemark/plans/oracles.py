@@ -332,7 +332,7 @@ f AS (
     CASE amount % 41 WHEN 5 THEN 'usd' WHEN 6 THEN 'USD' || chr(10) ELSE currency END AS currency,
     CASE WHEN amount % 43 <> 7 THEN at_ms END AS at_ms,
     CASE amount % 11 WHEN 0 THEN 'extraction-failed' WHEN 1 THEN 'source-error' ELSE 'observed' END AS kind,
-    repeat(coalesce(raw_context, '-'), CAST(amount % 1500 AS BIGINT)) AS raw, availability
+    repeat(coalesce(raw_context, '-'), CASE WHEN amount % 50 = 0 THEN 1300 ELSE amount % 9 END) AS raw, availability
   FROM obs),
 g AS (
   SELECT *, CASE WHEN source_id NOT IN ('src-0', 'src-1', 'src-2', 'src-3') THEN 'unknown-source'

@@ -230,7 +230,7 @@ def _faulty(observations: DataFrame) -> DataFrame:
         "CASE amount_minor_units % 11 WHEN 0 THEN 'extraction-failed' WHEN 1 THEN 'source-error' ELSE 'observed' END AS kind",
         "CASE WHEN amount_minor_units % 11 = 0 THEN 'no-price' END AS reason",
         "unix_millis(vendor_price_updated_at) AS vendor_updated_ms",
-        "repeat(coalesce(raw_context, '-'), cast(amount_minor_units % 1500 AS int)) AS raw_context",
+        "repeat(coalesce(raw_context, '-'), CASE WHEN amount_minor_units % 50 = 0 THEN 1300 ELSE cast(amount_minor_units % 9 AS int) END) AS raw_context",
         "coalesce(availability, '') AS availability",
     )
 
