@@ -9,7 +9,7 @@ from tidemark.functions.instants import (
 )
 from tidemark.functions.money import format_minor_units, minor_unit_exponent, normalise_currency, to_minor_units
 from tidemark.functions.text import (
-    bound_text, carries_userinfo, channel_origin, host_key, redact_credentials, scrub, single_line, summarise,
+    bound_text, carries_userinfo, channel_origin, hide_password, host_key, redact_credentials, scrub, single_line, summarise,
     url_origin, usable_link,
 )
 from tidemark.operators.robots import normalise_path, path_regex
@@ -138,6 +138,12 @@ def test_redaction(spark):
     assert got == ["posted https://hook.example, then https://hook.example. key [redacted] $1"]
 
 
+def test_connection_passwords(spark):
+    rows = [("postgres://me:pw@db:5432/x",), ("postgres://db/x",), ("postgres://me@db/x",)]
+    want = ["postgres://me:***@db:5432/x", "postgres://db/x", "postgres://me@db/x"]
+    assert column(spark, rows, "u string", hide_password(F.col("u"))) == want
+
+
 def test_links(spark):
     cases = [
         (None, None), ("", None), ("  ", None), ("/item/1", None), ("javascript:alert(1)", None), ("ftp://h/x", None),

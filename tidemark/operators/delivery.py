@@ -49,3 +49,10 @@ def update_cooldowns(cooldowns: DataFrame, reconciled: DataFrame) -> DataFrame:
         .agg(F.max(cells).alias("c"))
         .select(*KEY, "c.*")
     )
+
+
+def run_report(statuses: DataFrame, reconciled: DataFrame) -> DataFrame:
+    """Per source: how many alerts ended in each status, what became of the deliverable ones included."""
+    quiet = statuses.where("status <> 'deliverable'").select("source_id", "status")
+    sent = reconciled.select("source_id", F.col("outcome").alias("status"))
+    return quiet.unionByName(sent).groupBy("source_id", "status").agg(F.count("*").alias("n"))

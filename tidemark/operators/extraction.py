@@ -105,7 +105,12 @@ def extract_offers(pages: DataFrame) -> DataFrame:
     currencies), no-price, no-currency, no-price (inexact), ambiguous-offer
     (several amounts).
     """
-    found = offer_candidates(pages)
+    return judge_candidates(offer_candidates(pages))
+
+
+def judge_candidates(found: DataFrame) -> DataFrame:
+    """The verdict over any reader's `candidates` (and `reader`), beside the other columns it kept."""
+    kept = [name for name in found.columns if name not in ("candidates", "reader")]
     offer = found.select("*", F.try_element_at("candidates", F.lit(1)).alias("_offer"))
     coded = with_code(offer, F.try_element_at("_offer.currencies", F.lit(1)))
     priced = coded.withColumn("_amounts", F.array_distinct(F.transform("_offer.prices", exact)))
@@ -118,7 +123,6 @@ def extract_offers(pages: DataFrame) -> DataFrame:
         .when(F.exists("_amounts", lambda amount: amount.isNull()), F.lit("no-price"))
         .when(F.size("_amounts") > 1, F.lit("ambiguous-offer"))
     )
-    kept = [name for name in pages.columns if name != "html"]
     judged = priced.withColumn("reason", reason)
     ok = F.col("reason").isNull()
     return judged.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,11 +81,14 @@ def map_payloads(payloads: DataFrame) -> DataFrame:
     )
 
 
-def response_outcomes(responses: DataFrame, registry: Registry) -> DataFrame:
+def response_outcomes(
+    responses: DataFrame, registry: Registry, mapper: Callable[[DataFrame], DataFrame] = map_payloads
+) -> DataFrame:
     """Saved responses to outcomes: observed, limit-exceeded, governor-refused, extraction-failed, source-error.
 
     `responses` has `source_id, listing_id, status, body, received_at` and may have
-    `refusal`, the reason a request was never sent. Credentials are hidden in
+    `refusal`, the reason a request was never sent. Another vendor's documents need
+    only another `mapper` with the result columns of `map_payloads`. Credentials are hidden in
     everything that is kept.
     """
     if "refusal" not in responses.columns:
@@ -91,7 +96,7 @@ def response_outcomes(responses: DataFrame, registry: Registry) -> DataFrame:
     known = registry.frame(responses.sparkSession).select("source_id", "currency", "time_zone", "limit_statuses")
     # The registry is bounded by MAX_CONFIG_ROWS.
     rows = responses.join(F.broadcast(known), "source_id", "left")
-    mapped = map_payloads(rows.withColumn("_body", F.col("body")))
+    mapped = mapper(rows.withColumn("_body", F.col("body")))
     sent = trim_all(F.col("listing_id")).rlike(SKU)
     success = F.col("status").between(200, 299)
     outcome = (

@@ -162,6 +162,16 @@ SELECT rule_id, source_id, listing_id, {usd('amount')} || ' on ' || listing_id |
   link, amount AS observed_amount, reference_amount, currency, ending AS clearance_ending
 FROM d"""
 
+ORACLES["alert_run_report"] = f"""
+WITH {STATUS},
+d AS (SELECT source_id, listing_id, rule_id, amount, coalesce(max(CASE WHEN amount % 29 = 0 THEN 1 ELSE 0 END) OVER (
+        ORDER BY source_id, listing_id, rule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped
+      FROM st WHERE status = 'deliverable'),
+e AS (SELECT source_id, CASE WHEN stopped = 1 THEN 'not-attempted' WHEN amount % 29 = 0 THEN 'refused'
+        WHEN amount % 5 = 0 THEN 'failed' ELSE 'delivered' END AS status FROM d
+      UNION ALL SELECT source_id, status FROM st WHERE status <> 'deliverable')
+SELECT source_id, status, count(*) AS n FROM e GROUP BY ALL"""
+
 ORACLES["alert_replay"] = f"""
 WITH RECURSIVE {FIRED},
 p AS MATERIALIZED (SELECT * EXCLUDE (r) FROM (
