@@ -52,6 +52,7 @@ CASES = {
     "other types are no offers": (ld('{"@type":"SpecialOffer",' + PRICED + "}"), "no-offer"),
     "context is not walked": (ld('{"@context":' + offer(PRICED) + "}"), "no-offer"),
     "malformed block is skipped": (ld("{broken") + ld(offer(PRICED)), (*OK, "https://schema.org/InStock")),
+    "a block with something after its value is malformed": (ld(offer(PRICED) + "]"), "no-offer"),
     "only a malformed block": (ld("{broken"), "no-offer"),
     "last of a repeated key": (ld('{"@type":"Offer","price":"1","price":"129.99","priceCurrency":"USD"}'), (*OK, "")),
     "deeper than the walk": (ld('{"a":' * 40 + offer(PRICED) + "}" * 40), (*OK, "https://schema.org/InStock")),

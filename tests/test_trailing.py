@@ -25,12 +25,12 @@ def _expect(rows, inside):
 
 
 def test_trailing_matches_brute_force(spark):
-    for seed, width in ((1, 960), (2, 97), (3, 1), (4, 64)):
+    for seed, width, shortest in ((1, 960, 1), (2, 97, 1), (3, 1, 1), (4, 64, 20), (7, 500, 3_600_000)):
         rows = _rows(seed)
         df = spark.createDataFrame(rows, "k string, at long, v long")
         got = {
             (r.k, r.at): (r.n, tuple(r.lo) if r.lo else None, r.hi, r.own_n)
-            for r in trailing(df, ["k"], "at", width, measures()).collect()
+            for r in trailing(df, ["k"], "at", width, measures(), shortest_chunk_ms=shortest).collect()
         }
         assert len(got) == len({(k, t) for k, t, _ in rows})
         for k, t in got:
@@ -44,7 +44,7 @@ def test_trailing_at_given_instants(spark):
     df = spark.createDataFrame(rows, "k string, at long, v long")
     asked = [("hot", t) for t in range(-5000, 5000, 137)] + [("nobody", 7)]
     probes = spark.createDataFrame(asked, "k string, at long")
-    got = {(r.k, r.at): (r.n, tuple(r.lo) if r.lo else None, r.hi) for r in trailing(df, ["k"], "at", width, measures(), probes).collect()}
+    got = {(r.k, r.at): (r.n, tuple(r.lo) if r.lo else None, r.hi) for r in trailing(df, ["k"], "at", width, measures(), probes, 10).collect()}
     assert set(got) == set(asked)
     for k, t in asked:
         inside = [(t2, v) for k2, t2, v in rows if k2 == k and t - width < t2 < t]
@@ -54,7 +54,7 @@ def test_trailing_at_given_instants(spark):
 def test_running_matches_brute_force(spark):
     rows = _rows(6)
     df = spark.createDataFrame(rows, "k string, at long, v long")
-    got = {(r.k, r.at): (r.n, tuple(r.lo) if r.lo else None, r.hi) for r in running(df, ["k"], "at", 250, measures()).collect()}
+    got = {(r.k, r.at): (r.n, tuple(r.lo) if r.lo else None, r.hi) for r in running(df, ["k"], "at", measures(), 250).collect()}
     assert len(got) == len({(k, t) for k, t, _ in rows})
     for k, t in got:
         inside = [(t2, v) for k2, t2, v in rows if k2 == k and t2 < t]

@@ -32,6 +32,9 @@ CASES = [
     (product(sku=...), "no-offer"), (product(sku=None), "no-offer"), ('[{"sku":1234567}]', "no-offer"), ("17", "no-offer"),
     ("null", "no-offer"), ("<html>", "no-offer"), ("", "no-offer"), (None, "no-offer"), ('{"products":[]}', "no-offer"),
     (json.dumps({"products": [json.loads(product())] * 2}), "ambiguous-offer"),
+    # A document is one JSON value and nothing else.
+    (product() + " x", "no-offer"), (product() + product(), "no-offer"), (product() + "}", "no-offer"), (product() + ",1", "no-offer"),
+    (" \n" + product() + "\t", (True, None, 799, 999, True, True, ZONED)),
 ]
 
 

@@ -11,6 +11,20 @@ from tidemark.functions.text import WHITESPACE
 BLANKS = "'" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "'"
 
 
+def wrapped(text: str) -> str:
+    """A document inside an array that ends in a marker.
+
+    The parser stops after the first value and ignores what follows it; with the
+    marker missing or misplaced, `unwrapped` knows that the text was not one value.
+    """
+    return f"""try_cast(try_parse_json(concat('[', {text}, ',"end"]')) AS array<variant>)"""
+
+
+def unwrapped(array: str) -> str:
+    """The document of a `wrapped` array; null where its text was not exactly one value."""
+    return f"CASE WHEN size({array}) = 2 AND try_cast({array}[1] AS string) = 'end' THEN {array}[0] END"
+
+
 def trim_sql(text: str) -> str:
     """Trim every kind of whitespace."""
     return f"btrim({text}, {BLANKS})"

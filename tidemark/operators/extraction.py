@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.json_values import as_array, as_object, field, scalar, trim_sql
+from tidemark.functions.json_values import as_array, as_object, field, scalar, trim_sql, unwrapped, wrapped
 from tidemark.functions.money import exact, with_code
 from tidemark.operators.microdata import OFFER_NAMES, deep_offers, offers
 
@@ -74,7 +74,7 @@ def offer_candidates(pages: DataFrame) -> DataFrame:
     kept = [name for name in pages.columns if name != "html"]
     blocks = F.regexp_extract_all("html", F.lit(JSON_LD_BLOCK), F.lit(1))
     walk = pages.select(*kept, "html", blocks.alias("_blocks")).selectExpr(
-        *kept, "html", "filter(transform(_blocks, b -> try_parse_json(b)), n -> n IS NOT NULL) AS _nodes",
+        *kept, "html", f"filter(transform(transform(_blocks, b -> {wrapped('b')}), a -> {unwrapped('a')}), n -> n IS NOT NULL) AS _nodes",
         f"{NO_NODES} AS _offers",
     )
     for _ in range(JVM_DEPTH):

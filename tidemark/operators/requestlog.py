@@ -7,7 +7,7 @@ needs it, `status` and `retry_after`. Instants are compared in milliseconds.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.config import Allowance, BreakerSettings, Ceiling, Source, by_source
+from tidemark.config import MAX_CONFIG_ROWS, Allowance, BreakerSettings, Ceiling, Registry, Source
 from tidemark.functions.instants import hold_ms, is_failure, millis, period_start
 from tidemark.operators.skew import attach
-from tidemark.operators.trailing import running, trailing
+from tidemark.operators.trailing import RUN_CHUNK_MS, running, trailing
 from tidemark.session import cut_lineage
 
 # Why a request may be refused before it is sent.
@@ -37,6 +37,13 @@ def _chunk(period_ms: int, most: int = 1024) -> int:
     return max(1, -(-period_ms // most))
 
 
+def small(frame: DataFrame, rows: Sequence) -> DataFrame:
+    """Configuration rows, marked for broadcasting after a check of their number."""
+    if len(rows) > MAX_CONFIG_ROWS:
+        raise ValueError("too many configuration rows")
+    return F.broadcast(frame)
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -55,28 +62,25 @@ def allowance_usage(requests: DataFrame, allowances: Mapping[str, Allowance]) ->
     Requests beyond the limit are refused and consume nothing. Sources without
     an allowance are not counted.
     """
-    by_period: dict[int, list[str]] = {}
-    for source, allowance in allowances.items():
-        by_period.setdefault(allowance.period_ms, []).append(source)
-    limit = by_source({s: a.limit for s, a in allowances.items()}, F.col("source_id"))
-    warn = by_source({s: a.warn_count for s, a in allowances.items()}, F.col("source_id"))
-    frames = []
-    for period_ms, sources in by_period.items():
-        log = requests.where(F.col("source_id").isin(sources)).select("source_id", millis(F.col("at")).alias("at_ms"))
-        log = log.withColumn("period_start_ms", period_start(F.col("at_ms"), period_ms))
-        counted = running(log, ["source_id", "period_start_ms"], "at_ms", _chunk(period_ms), {"n": _one()})
-        reached = F.coalesce("n", F.lit(0)) + F.col("own_n")
-        frames.append(
-            counted.groupBy("source_id", "period_start_ms").agg(
-                F.sum("own_n").alias("requests"),
-                F.min(F.when(reached >= warn, F.col("at_ms"))).alias("warned_ms"),
-                F.min(F.when(reached >= limit, F.col("at_ms"))).alias("stopped_ms"),
-            )
-        )
-    return _union(frames).select(
-        "source_id", "period_start_ms",
-        F.least("requests", limit).alias("consumed"),
-        F.greatest(F.col("requests") - limit, F.lit(0)).alias("refused"),
+    spark = requests.sparkSession
+    schema = "source_id string, period_ms long, most long, warn long"
+    rows = [(source, a.period_ms, a.limit, a.warn_count) for source, a in allowances.items()]
+    limits = small(spark.createDataFrame(rows, schema), rows)
+    log = requests.select("source_id", millis(F.col("at")).alias("at_ms")).join(limits, "source_id")
+    log = log.withColumn("period_start_ms", period_start(F.col("at_ms"), F.col("period_ms")))
+    chunk_ms = _chunk(min(a.period_ms for a in allowances.values()))
+    keys = ["source_id", "period_start_ms"]
+    counted = running(log, keys, "at_ms", {"n": _one()}, chunk_ms).join(limits, "source_id")
+    reached = F.coalesce("n", F.lit(0)) + F.col("own_n")
+    used = counted.groupBy(*keys, "most").agg(
+        F.sum("own_n").alias("requests"),
+        F.min(F.when(reached >= F.col("warn"), F.col("at_ms"))).alias("warned_ms"),
+        F.min(F.when(reached >= F.col("most"), F.col("at_ms"))).alias("stopped_ms"),
+    )
+    return used.select(
+        *keys,
+        F.least("requests", "most").alias("consumed"),
+        F.greatest(F.col("requests") - F.col("most"), F.lit(0)).alias("refused"),
         "warned_ms", "stopped_ms",
     )
 
@@ -121,47 +125,53 @@ def ceiling_audit(requests: DataFrame, default: Ceiling, hosts: Mapping[str, Cei
     interval is in excess, and so is every further one.
     """
     special = dict(hosts or {})
-    frames = []
-    log = requests.select("host", millis(F.col("at")).alias("at_ms"))
-    for ceiling in {default, *special.values()}:
-        named = [host for host, own in special.items() if own == ceiling]
-        mine = F.col("host").isin(named) if named else F.lit(False)
-        if ceiling == default:
-            others = [host for host in special if host not in named]
-            mine = ~F.col("host").isin(others) if others else F.lit(True)
-        rows = log.where(mine)
-        rate = trailing(rows, ["host"], "at_ms", ceiling.interval_ms, {"n": _one(), "last": ("max", F.col("at_ms"))})
-        if ceiling.min_delay_ms <= ceiling.interval_ms:
-            near = F.col("last") > F.col("at_ms") - ceiling.min_delay_ms
-        else:
-            close = trailing(rows, ["host"], "at_ms", ceiling.min_delay_ms, {"near": _one()})
-            rate = rate.join(close.select("host", "at_ms", "near"), ["host", "at_ms"])
-            near = F.col("near") > 0
-        prior = F.coalesce("n", F.lit(0))
-        excess = F.least(F.col("own_n"), F.greatest(F.lit(0), prior + F.col("own_n") - ceiling.max_requests))
-        crowded = F.col("own_n") - 1 if ceiling.min_delay_ms > 0 else F.lit(0)
-        frames.append(
-            rate.groupBy("host").agg(
-                F.sum("own_n").alias("requests"),
-                F.sum(excess).alias("over_ceiling"),
-                F.sum(crowded + F.when(near, 1).otherwise(0)).alias("too_close"),
-            )
+    spark = requests.sparkSession
+    schema = "host string, most long, span long, gap long"
+    rows = [(host, c.max_requests, c.interval_ms, c.min_delay_ms) for host, c in special.items()]
+    own = small(spark.createDataFrame(rows, schema), rows)
+    log = requests.select("host", millis(F.col("at")).alias("at_ms")).join(own, "host", "left").select(
+        "host", "at_ms",
+        F.coalesce("most", F.lit(default.max_requests)).alias("most"),
+        F.coalesce("span", F.lit(default.interval_ms)).alias("span"),
+        F.coalesce("gap", F.lit(default.min_delay_ms)).alias("gap"),
+    )
+    # A window has one width, so hosts are taken together by their interval. Whatever
+    # the hosts, the ceiling itself comes along as a measure.
+    carried = {name: ("max", F.col(name)) for name in ("most", "gap")}
+    spans = {default.interval_ms, *(c.interval_ms for c in special.values())}
+    rates = [
+        trailing(log.where(F.col("span") == span), ["host"], "at_ms", span, {"n": _one(), **carried}).select(
+            "host", "at_ms", "n", "own_n", "own_most", "own_gap"
         )
-    return _union(frames)
+        for span in spans
+    ]
+    previous = running(log, ["host"], "at_ms", {"last": ("max", F.col("at_ms"))}).select("host", "at_ms", "last")
+    rate = _union(rates).join(previous, ["host", "at_ms"])
+    excess = F.least(
+        F.col("own_n"), F.greatest(F.lit(0), F.coalesce("n", F.lit(0)) + F.col("own_n") - F.col("own_most"))
+    )
+    near = F.col("at_ms") - F.col("last") < F.col("own_gap")
+    crowded = F.when(F.col("own_gap") > 0, F.col("own_n") - 1).otherwise(F.lit(0))
+    return rate.groupBy("host").agg(
+        F.sum("own_n").alias("requests"),
+        F.sum(excess).alias("over_ceiling"),
+        F.sum(crowded + F.when(near, 1).otherwise(0)).alias("too_close"),
+    )
 
 
 def documented_limit_audit(requests: DataFrame, sources: list[Source]) -> DataFrame:
     """Sources whose traffic exceeded what their vendor documents, per trailing second and per day."""
     log = requests.select("source_id", millis(F.col("at")).alias("at_ms"))
-    per_second = by_source({s.source_id: s.documented_per_second for s in sources if s.documented_per_second}, F.col("source_id"))
-    per_day = by_source({s.source_id: s.documented_per_day for s in sources if s.documented_per_day}, F.col("source_id"))
     seconds = trailing(log, ["source_id"], "at_ms", 1000, {"n": _one()})
     peak = seconds.groupBy("source_id").agg(F.max(F.coalesce("n", F.lit(0)) + F.col("own_n")).alias("peak_per_second"))
     days = period_counts(requests, 86_400_000).groupBy("source_id").agg(F.max("requests").alias("peak_per_day"))
-    return peak.join(days, "source_id").select(
+    known = Registry(tuple(sources)).frame(requests.sparkSession)
+    terms = F.broadcast(known.select("source_id", "documented_per_second", "documented_per_day"))
+    over = lambda peak, limit: F.coalesce(F.col(peak) > F.col(limit), F.lit(False))
+    return peak.join(days, "source_id").join(terms, "source_id", "left").select(
         "source_id", "peak_per_second", "peak_per_day",
-        F.coalesce(F.col("peak_per_second") > per_second, F.lit(False)).alias("over_per_second"),
-        F.coalesce(F.col("peak_per_day") > per_day, F.lit(False)).alias("over_per_day"),
+        over("peak_per_second", "documented_per_second").alias("over_per_second"),
+        over("peak_per_day", "documented_per_day").alias("over_per_day"),
     )
 
 
@@ -174,7 +184,7 @@ def holds(responses: DataFrame, default_ms: int) -> DataFrame:
     )
 
 
-def hold_audit(requests: DataFrame, default_ms: int, chunk_ms: int = 3_600_000) -> DataFrame:
+def hold_audit(requests: DataFrame, default_ms: int, chunk_ms: int = RUN_CHUNK_MS) -> DataFrame:
     """Every request with the hold its host was under when it was sent.
 
     A hold is never shortened by a later one: what counts is the latest end among
@@ -183,7 +193,7 @@ def hold_audit(requests: DataFrame, default_ms: int, chunk_ms: int = 3_600_000)
     at = millis(F.col("at"))
     until = at + hold_ms(F.col("status"), F.col("retry_after"), at, default_ms)
     log = requests.select("host", "request_id", at.alias("at_ms"), until.alias("until"))
-    held = running(log, ["host"], "at_ms", chunk_ms, {"held": ("max", F.col("until"))})
+    held = running(log, ["host"], "at_ms", {"held": ("max", F.col("until"))}, chunk_ms)
     rows = attach(log, held.select("host", "at_ms", "held"), ["host", "at_ms"], ["host"])
     inside = F.coalesce(F.col("held") > F.col("at_ms"), F.lit(False))
     return rows.select("host", "request_id", "at_ms", F.when(inside, F.col("held")).alias("held_until_ms"), inside.alias("inside_hold"))

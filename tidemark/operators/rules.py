@@ -313,9 +313,7 @@ def _next_at_or_after(points: DataFrame, keys: Sequence[str], gap_ms: int) -> Da
             )
         ).alias("m"),
     ).select(*keys, "m.*")
-    found = running(
-        moments, keys, "back", gap_ms, {"nxt": ("min", F.col("value")), "asks": ("max", F.col("asks"))}
-    )
+    found = running(moments, keys, "back", {"nxt": ("min", F.col("value")), "asks": ("max", F.col("asks"))})
     return found.where("own_asks = 1").select(*keys, (1 - F.col("back") - gap_ms).alias("at_ms"), "nxt")
 
 

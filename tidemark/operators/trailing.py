@@ -23,17 +23,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# How many chunks at most make up one window. More chunks mean smaller groups
-# for hot keys and longer chunk frames.
-CHUNKS_PER_WINDOW = 32
+# At most this many chunks make up one window. More chunks mean smaller groups for
+# hot keys and longer frames over whole chunks.
+CHUNKS_PER_WINDOW = 64
+# No chunk need be shorter than this: a group holds at most its milliseconds, and
+# a key has at most one carried row per chunk of its whole span.
+RUN_CHUNK_MS = 3_600_000
 
 Measure = tuple[str, Column]
 _COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def _chunks(width: int) -> int:
-    """The largest number of equal chunks a window splits into."""
-    return max(n for n in range(1, CHUNKS_PER_WINDOW + 1) if width % n == 0)
+def _chunks(width: int, shortest: int) -> int:
+    """Into how many equal chunks a window is cut; a short window is one chunk."""
+    return max(n for n in range(1, CHUNKS_PER_WINDOW + 1) if n == 1 or (width % n == 0 and width // n >= shortest))
 
 
 def _chunk_of(at: str, chunk_ms: int) -> Column:
@@ -76,6 +79,7 @@ def trailing(
     width_ms: int,
     measures: Mapping[str, Measure],
     probes: DataFrame | None = None,
+    shortest_chunk_ms: int = RUN_CHUNK_MS,
 ) -> DataFrame:
     """Aggregates over `at - width < t < at`, open at both ends, per (key, instant).
 
@@ -84,7 +88,7 @@ def trailing(
     to the instants of `df` itself; a measure of an empty window is null. With the
     default probes, `own_<name>` holds the aggregate at the instant itself.
     """
-    parts = _chunks(width_ms)
+    parts = _chunks(width_ms, shortest_chunk_ms)
     chunk_ms = width_ms // parts
     names = list(measures)
     points = _points(df, keys, at, chunk_ms, measures)
@@ -137,7 +141,7 @@ def trailing(
 
 
 def running(
-    df: DataFrame, keys: Sequence[str], at: str, chunk_ms: int, measures: Mapping[str, Measure]
+    df: DataFrame, keys: Sequence[str], at: str, measures: Mapping[str, Measure], chunk_ms: int = RUN_CHUNK_MS
 ) -> DataFrame:
     """Aggregates over everything strictly before each distinct (key, instant).
 

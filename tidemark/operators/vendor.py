@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Registry
 from tidemark.functions.instants import vendor_timestamp_ms
-from tidemark.functions.json_values import as_array, as_object, field, is_kind, number_text, trim_sql
+from tidemark.functions.json_values import as_array, as_object, field, is_kind, number_text, trim_sql, unwrapped, wrapped
 from tidemark.functions.money import exact, with_code
 from tidemark.functions.text import RAW_CONTEXT_ADAPTER, bound_text, redact_credentials, summarise, trim_all
 
@@ -43,7 +43,8 @@ def map_payloads(payloads: DataFrame) -> DataFrame:
     kept = [name for name in payloads.columns if name not in ("body", "currency", "time_zone")]
     # Only the requested attributes leave the document.
     read = (
-        payloads.selectExpr("*", f"CASE WHEN startswith({trim_sql('body')}, '{{') THEN try_parse_json(body) END AS _object")
+        payloads.selectExpr("*", f"CASE WHEN startswith({trim_sql('body')}, '{{') THEN {wrapped('body')} END AS _document")
+        .selectExpr("*", f"{unwrapped('_document')} AS _object")
         .selectExpr("*", f"filter({as_array(field('_object', 'products'))}, n -> {as_object('n')} IS NOT NULL) AS _products")
         .selectExpr("*", f"{NODE} AS _node")
         .selectExpr(

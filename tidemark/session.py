@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A skewed final join is worth one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows that go to Python may carry a whole page each.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # A repeated JSON key keeps its last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

@@ -55,7 +55,7 @@ def stream_window_low(
         _replace(batch, history, batch_id)
         arrived = spark.read.schema(batch.schema).parquet(f"{history}/batch={batch_id}")
         span = arrived.agg(F.min(millis(F.col("observed_at"))), F.max(millis(F.col("observed_at")))).first()
-        stored = spark.read.parquet(history).where(F.col("batch") <= batch_id).select(*batch.columns)
+        stored = spark.read.parquet(history).where(F.col("batch") <= batch_id)
         _replace(
             window_low(between(stored, span[0] - widest, span[1]), rules, history_keys, only=arrived), verdicts, batch_id
         )
