@@ -267,7 +267,7 @@ def breaker_replay(
     Slice i is final after at most i rounds, and mostly after two or three, since a
     quiet stretch forgets the past. No task ever holds more than one slice.
     """
-    width = slice_ms or 4 * (settings.window_ms + settings.pause_ms)
+    width = slice_ms or max(4 * (settings.window_ms + settings.pause_ms), 3_600_000)
     failed = is_failure(F.col("status")) if failure is None else failure
     log = outcomes.select(
         "source_id", "request_id", millis(F.col("at")).alias("at_ms"), failed.cast("int").alias("failed")

@@ -374,8 +374,8 @@ SHOWN = "obs_id, source_id, listing_id, amount, currency, at_ms, vendor_ms, hour
 ORACLES["history_diff"] = f"""
 WITH {OBS},
 a AS (SELECT {SHOWN}, md5(raw_context) AS raw FROM obs),
-b AS (SELECT {SHOWN}, md5(CASE WHEN amount % 17 = 0 THEN 'changed' ELSE raw_context END) AS raw FROM obs WHERE amount % 13 <> 0
-      UNION ALL SELECT {SHOWN}, md5(raw_context) FROM obs WHERE amount % 19 = 0),
+b AS (SELECT {SHOWN}, md5(CASE WHEN hours = 72 THEN 'changed' ELSE raw_context END) AS raw FROM obs WHERE raw_context IS NOT NULL
+      UNION ALL SELECT {SHOWN}, md5(raw_context) FROM obs WHERE currency = 'CAD'),
 d AS (SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
       UNION ALL SELECT 'right', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
 SELECT side, listing_id, obs_id, CAST(amount AS VARCHAR) AS amount_minor_units, raw AS raw_context,

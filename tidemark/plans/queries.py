@@ -293,10 +293,12 @@ def retention_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def history_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.observations(spark, sf_dir)
-    other = rows.where("amount_minor_units % 13 <> 0").withColumn(
-        "raw_context", F.when(F.col("amount_minor_units") % 17 == 0, F.lit("changed")).otherwise(F.col("raw_context"))
+    # A copy that lost the rows without raw content, changed some, and holds one currency twice.
+    other = rows.where("raw_context is not null").withColumn(
+        "raw_context",
+        F.when(F.col("raw_context_retention_hours") == 72, F.lit("changed")).otherwise(F.col("raw_context")),
     )
-    other = other.unionByName(rows.where("amount_minor_units % 19 = 0"))
+    other = other.unionByName(rows.where("currency = 'CAD'"))
     return history.history_diff(rows, other).select(
         "side", "listing_id", "obs_id", "amount_minor_units", "raw_context", "raw_context_retention_hours"
     )

@@ -8,7 +8,6 @@ expressions are in `oracles`.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.config import DAY_MS, HOUR_MS, Allowance, BreakerSettings, Ceiling, Registry, Rule, Source
 from tidemark.session import configure
