@@ -432,6 +432,11 @@ SELECT doc_id, md5(hidden) AS redacted_md5,
   md5(CASE WHEN length(text) <= 8192 THEN text ELSE left(text, 8192 - length(marker)) || marker END) AS bounded_md5
 FROM c"""
 
+ORACLES["scrubbed_reports"] = """
+SELECT p_partkey, 'posting ' || p_name || ' to https://hook.example, then https://hook.example. Key ' || replace(p_brand, 'Brand#1', '[redacted]')
+  || ' at http://api.example/x?a=1&Token=[redacted]#f' AS report, 'postgres://me:***@db:5432/' || p_partkey AS connection
+FROM part"""
+
 # -- export ---------------------------------------------------------------------
 
 NOTICE = "CASE source_id WHEN 'src-0' THEN 'Prices by Acme Data' WHEN 'src-2' THEN 'Data from Beta' END"
@@ -553,6 +558,8 @@ rules(file, kind, pattern, regex) AS (VALUES
   (4, 'allow', '/%65n', '^/en'), (4, 'disallow', '/en', '^/en'), (4, 'disallow', '/e*/2$', '^/e.*/2$'))"""
 ORACLES["robots_rules"] = f"""
 WITH {ORIGINS} SELECT origin, kind, pattern FROM rob JOIN rules ON rules.file = rob.file WHERE answer NOT IN (5, 6)"""
+ORACLES["robots_other_records"] = f"""
+WITH {ORIGINS} SELECT origin, 'sitemap' AS field, 'https://x/s.xml' AS value FROM rob WHERE file = 0 AND answer NOT IN (5, 6)"""
 ORACLES["robots_decisions"] = f"""
 WITH {ORIGINS},
 u AS (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1)) AS origin,

@@ -362,6 +362,20 @@ def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def scrubbed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = views.table(spark, sf_dir, "part").selectExpr(
+        "p_partkey",
+        """concat('posting ', p_name, ' to https://hook.example/topic/', p_partkey, '?auth=', p_size, ', then HTTPS://me:', p_size,
+           '@hook.example:8443/other. Key ', p_brand, ' at http://api.example/x?a=1&Token=', p_partkey, '#f') AS report""",
+        "concat('postgres://me:pw', p_size, '@db:5432/', p_partkey) AS connection",
+    )
+    return reports.select(
+        "p_partkey", text.scrub(F.col("report"), "Brand#1", "https://hook.example/topic/7").alias("report"),
+        text.hide_password(F.col("connection")).alias("connection"),
+    )
+
+
 # -- export -------------------------------------------------------------------
 
 
@@ -478,6 +492,11 @@ def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.robots_decide(urls, views.robots(spark, sf_dir), "TideBot").select("page_id", "path", "decision", "pattern")
 
 
+@query
+def robots_other_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robots.robots_other_records(views.robots(spark, sf_dir)).drop("line_no")
+
+
 # -- instants -----------------------------------------------------------------
 
 
