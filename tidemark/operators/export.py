@@ -43,6 +43,7 @@ def violations(items: DataFrame) -> DataFrame:
 
 def listing_line() -> Column:
     """One observation of an `attributed` table as a line of text."""
+    # The wording of a line.
     updated = F.coalesce(
         F.concat(F.lit("vendor price updated "), iso_millis(F.col("vendor_price_updated_at"))),
         F.lit("vendor price-update instant not published"),

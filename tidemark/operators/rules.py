@@ -260,6 +260,7 @@ def clearance_tag(alerts: DataFrame, endings: DataFrame) -> DataFrame:
 
 def compose_alerts(alerts: DataFrame) -> DataFrame:
     """The outbox: a title and a self-explaining body for every deliverable alert."""
+    # The wording of an alert.
     observed, reference = shown("amount_minor_units"), shown("reference_amount")
     subject = F.concat_ws("/", "source_id", "listing_id")
     body = F.concat_ws(

@@ -30,6 +30,10 @@ CHUNKS_PER_WINDOW = 64
 # a key has at most one carried row per chunk of its whole span.
 RUN_CHUNK_MS = 3_600_000
 
+# What a row of a chunk does: hold values, read what lies before it, read what lies
+# after it, or carry the aggregate of earlier chunks.
+POINT, UPPER, LOWER, CARRY = range(4)
+
 Measure = tuple[str, Column]
 _COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -96,40 +100,41 @@ def trailing(
     types = {f.name: f.dataType for f in points.schema.fields}
     blanks = [F.lit(None).cast(types[name]).alias(name) for name in names]
 
-    def row(chunk: Column, pos: Column, role: str, cells: Sequence[Column]) -> Column:
+    def row(chunk: Column, pos: Column, role: int, cells: Sequence[Column]) -> Column:
         return F.struct(chunk.alias("_chunk"), pos.alias("_pos"), F.lit(role).alias("_role"), *cells)
 
-    low = row(F.col("_chunk") - parts, F.col("_at") - width_ms, "lower", blanks)
+    low = row(F.col("_chunk") - parts, F.col("_at") - width_ms, LOWER, blanks)
     if probes is None:
         # A point reads what lies before it, so it is its own upper probe.
-        tagged = points.select(*keys, F.explode(F.array(row(F.col("_chunk"), F.col("_at"), "upper", values), low)).alias("_r"))
+        tagged = points.select(*keys, F.explode(F.array(row(F.col("_chunk"), F.col("_at"), UPPER, values), low)).alias("_r"))
         tagged = tagged.select(*keys, "_r.*")
         carriers = points
     else:
         asked = probes.select(
             *keys, _chunk_of(at, chunk_ms).alias("_chunk"), F.col(at).alias("_at")
         ).distinct()
-        ends = asked.select(*keys, F.explode(F.array(row(F.col("_chunk"), F.col("_at"), "upper", blanks), low)).alias("_r"))
-        plain = points.select(*keys, "_chunk", F.col("_at").alias("_pos"), F.lit("point").alias("_role"), *names)
+        ends = asked.select(*keys, F.explode(F.array(row(F.col("_chunk"), F.col("_at"), UPPER, blanks), low)).alias("_r"))
+        plain = points.select(*keys, "_chunk", F.col("_at").alias("_pos"), F.lit(POINT).alias("_role"), *names)
         tagged = plain.unionByName(ends.select(*keys, "_r.*"))
         carriers = points.unionByName(asked.select(*keys, "_chunk", "_at", *blanks))
     if parts > 1:
         carried = _carried(carriers, keys, parts - 1, measures)
         tagged = tagged.unionByName(
-            carried.select(*keys, "_chunk", (F.col("_chunk") * chunk_ms - 1).alias("_pos"), F.lit("carry").alias("_role"), *names)
+            carried.select(*keys, "_chunk", (F.col("_chunk") * chunk_ms - 1).alias("_pos"), F.lit(CARRY).alias("_role"), *names)
         )
 
     group = W.partitionBy(*keys, "_chunk")
     # A probe goes before a point of the same instant in either direction, so
     # neither end of the window is included.
-    turn = F.when(F.col("_role") == "point", 1).when((F.col("_role") == "upper") & F.lit(probes is None), 1).otherwise(0)
-    before = group.orderBy("_pos", turn).rowsBetween(W.unboundedPreceding, -1)
-    after = group.orderBy(F.col("_pos").desc(), turn).rowsBetween(W.unboundedPreceding, -1)
+    holds = (F.col("_role") == POINT) if probes is not None else F.col("_role").isin(POINT, UPPER)
+    turn = F.when(holds, 1).otherwise(0)
+    before = group.orderBy(F.col("_pos") * 2 + turn).rowsBetween(W.unboundedPreceding, -1)
+    after = group.orderBy(F.col("_pos") * -2 + turn).rowsBetween(W.unboundedPreceding, -1)
     read = tagged.select(
         *keys, "_pos", "_role", *names,
         *_over(measures, before, "_before_"), *_over(measures, after, "_after_"),
-    ).where(F.col("_role").isin("upper", "lower"))
-    is_upper = F.col("_role") == "upper"
+    ).where(F.col("_role").isin(UPPER, LOWER))
+    is_upper = F.col("_role") == UPPER
     rekeyed = read.select(
         *keys,
         F.when(is_upper, F.col("_pos")).otherwise(F.col("_pos") + width_ms).alias(at),
