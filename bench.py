@@ -38,7 +38,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
-    scale = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
+    scale = float(os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"))
     print(
         json.dumps(
             {"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": scale}
