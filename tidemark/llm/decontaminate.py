@@ -14,6 +14,8 @@ from tidemark.session import cut_lineage
 WINDOW = 13
 #: Windows of the benchmark that are broadcast; a larger set is joined by a shuffle on the window's hash.
 MAX_BROADCAST_WINDOWS = 200_000
+#: Documents with possible hits whose ids are broadcast; beyond it the join shuffles.
+MAX_BROADCAST_DOCS = 500_000
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -75,7 +77,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
         start, width = F.when(inside, at - before).otherwise(start), F.when(inside, F.lit(n)).otherwise(width)
         before = before + count
     probed = rows.where("_at > 0").select("doc_id", "_key", "hash", start.alias("_start"), width.alias("width"))
-    few = probed.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).distinct()
+    few = cut_lineage(probed.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).distinct())
+    few = F.broadcast(few) if few.count() <= MAX_BROADCAST_DOCS else few
     of = base.join(few, base["doc_id"].eqNullSafe(few["_id"]) & (base["_key"] == few["_k"]), "left_semi").dropDuplicates(["doc_id", "_key"])
     wanted = probed.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("_start", "width", "hash")).alias("_probes"))
     wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_probes")

@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame
 
 CAPACITY = 2048
 END_ID = 1
-#: Distinct pieces of text whose ids a task remembers.
-MEMORY = 400_000
+#: Distinct parts of text, and distinct words in them, whose ids a Python worker remembers from task to task.
+MAX_PARTS, MAX_WORDS = 1_200_000, 800_000
+_MARKS = ".,!?;:$%&*#"
+_LOWER = {c: c + 32 for c in range(65, 91)}
+_KNOWN: dict[str, tuple] = {}
 
 PIECES = pa.schema(
     [
@@ -29,25 +32,39 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
     The tokenizer drops white space and never joins characters across it, so the ids of a text are those of its parts.
     """
-    from tokenizers import Tokenizer
+    if path not in _KNOWN:
+        from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
+        _KNOWN[path] = Tokenizer.from_file(path), {}, {}
+    tokenizer, known, words = _KNOWN[path]
     end = np.array([END_ID], "<u4").tobytes()
 
+    def learn(parts: list[str]) -> None:
+        """A word is looked up without its capitals, which the tokenizer drops, and apart from marks after a letter."""
+        if len(known) + len(parts) > MAX_PARTS:
+            known.clear()
+        if len(words) + 2 * len(parts) > MAX_WORDS:
+            words.clear()
+        halves = []
+        for part in parts:
+            word = part.rstrip(_MARKS)
+            word = word if word and word[-1].isalpha() else part
+            halves.append((word.translate(_LOWER), part[len(word) :]))
+        new = list({w for pair in halves for w in pair if w not in words})
+        for word, coded in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            words[word] = np.array(coded.ids, "<u4").tobytes()
+        for part, (word, marks) in zip(parts, halves, strict=True):
+            known[part] = words[word] + words[marks]
+
     def encode(text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
         try:
-            ids = b"".join([known[p] for p in parts])
+            return b"".join([known[p] for p in parts]) + end
         except KeyError:
-            new = list({p for p in parts if p not in known})
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(set(parts))
-            for part, coded in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[part] = np.array(coded.ids, "<u4").tobytes()
-            ids = b"".join([known[p] for p in parts])
-        return ids + end
+            learn(list({p for p in parts if p not in known}))
+        if missing := {p for p in parts if p not in known}:  # the memory was full and has been cleared
+            learn(list(missing))
+        return b"".join([known[p] for p in parts]) + end
 
     return encode
 
