@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, packing, quality, simhash, substrings
+from tidemark.llm import decontaminate, exact_dedup, packing, quality, simhash, substrings, urls, warc
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,22 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record derived from `pages`, with what it stands for."""
+    found = warc.resolve(warc.records_of(table(spark, sf_dir, "pages")))
+    pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return found.select(
+        "record_id", "kind", F.col("key").alias("url_key"), "status", "response_id", F.array_join(pairs, ";").alias("headers"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+    )
+
+
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -92,3 +108,46 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
   doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+ORACLES["op6_url_filter"] = r"""
+WITH u AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages
+), rules(name, start, says) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fit AS (
+  SELECT page_id, arg_max(name || start, length(name || start)) AS rule, arg_max(says, length(name || start)) AS says
+  FROM u JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id
+), form AS (
+  SELECT u.*, rule, says, host || regexp_replace(path, '(\.html?|/)$', '') || coalesce('?' || nullif(array_to_string(list_filter(
+    string_split(regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's'), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_\w+|ref)=')), '&'), ''), '') AS f
+  FROM u LEFT JOIN fit USING (page_id)
+), told AS (SELECT f, bool_or(says = 'allow') AS allowed FROM form WHERE says IS NOT NULL GROUP BY f)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN NOT allowed THEN 'block' ELSE 'allow' END) AS verdict
+FROM form LEFT JOIN told ON form.f = told.f AND contains(url, '://')
+"""
+
+ORACLES["op7_warc_revisits"] = r"""
+WITH p AS (
+  SELECT page_id AS n, coalesce(html, '') AS body, html, substr(md5(coalesce(html, '')), 1, 12) AS etag,
+    lower(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')) || regexp_replace(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '(\.html?|/)$', '') AS k
+  FROM pages
+), r AS (SELECT 2 * n AS id, 60 * n AS t, k, etag, body, html, n FROM p WHERE n % 11 <> 3),
+v AS (
+  SELECT 2 * n + 1 AS id, 60 * n + 40 + 30 * (n % 4) AS t, k,
+    CASE WHEN n % 7 = 2 THEN 'changed' WHEN n % 5 <> 1 THEN etag END AS etag FROM p
+), j AS (
+  SELECT v.*, r.id AS rid, r.etag AS retag, r.html AS rhtml, length(r.body) AS size,
+    CASE WHEN r.id IS NULL THEN 'missing' WHEN v.etag IS NULL OR v.etag = r.etag THEN 'resolved' ELSE 'stale' END AS status
+  FROM v ASOF LEFT JOIN r ON v.k = r.k AND v.t > r.t
+)
+SELECT id AS record_id, 'response' AS kind, k AS url_key, 'full' AS status, id AS response_id,
+  'content-length=' || length(body) || ';date=' || t || ';etag=' || etag AS headers, sha256(html) AS payload_sha256
+FROM r UNION ALL
+SELECT id, 'revisit', k, status, rid,
+  CASE WHEN status = 'resolved' THEN 'content-length=' || size || ';date=' || t || ';etag=' || retag || ';expires=' || (t + 600)
+    ELSE 'content-length=0;date=' || t || ';expires=' || (t + 600) END,
+  CASE WHEN status = 'resolved' THEN sha256(rhtml) END
+FROM j
+"""
