@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, packing, quality, simhash, substrings, urls, warc
+from tidemark.llm import decontaminate, exact_dedup, language_model, packing, pages, quality, simhash, substrings, urls, warc
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,11 +65,21 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op3_decontamination"] = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
