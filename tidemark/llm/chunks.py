@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import doc_ids, utf8
 from tidemark.session import cut_lineage
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 MISSING = np.iinfo(np.int64).max
 SCHEMA = pa.schema([("chunk", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary()), ("data", pa.binary())])
 DDL = "chunk long, n_bytes long, ids binary, ends binary, data binary"

@@ -33,7 +33,7 @@ from tidemark.session import cut_lineage
 
 WIDTH, SAMPLE = 50, 20
 #: Names that a bucket of the first step holds on average.
-BUCKET_NAMES = 1_000_000
+BUCKET_NAMES = 250_000
 #: Different stretches of one sample, in a chunk and in a bucket, from which whole windows are dealt.
 HOT_IN_CHUNK, HOT_IN_BUCKET = 64, 50_000
 _BLOCK = 1 << 18
