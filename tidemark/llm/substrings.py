@@ -35,8 +35,9 @@ WIDTH, SAMPLE = 50, 20
 #: Names that a bucket of the first step holds on average.
 BUCKET_NAMES = 250_000
 #: Different stretches of one sample, in a chunk and in a bucket, from which whole windows are dealt.
-HOT_IN_CHUNK, HOT_IN_BUCKET = 64, 50_000
+HOT_IN_CHUNK, HOT_IN_BUCKET = 64, 5_000
 _BLOCK = 1 << 18
+_SLICE = 1 << 16
 _DICE = np.random.default_rng(20)
 _BYTE = _DICE.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -202,24 +203,33 @@ def _sort_suffixes(blobs: list[bytes]) -> list[bytes]:
     count, doc = np.concatenate(counts), np.concatenate(docs)
     text = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.cumsum(count + WIDTH - 1) - (count + WIDTH - 1)
-    which = np.repeat(np.arange(len(count)), count)
-    suffix = begin[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    eight = np.lib.stride_tricks.sliding_window_view(text, 8)
-    keys = [np.ascontiguousarray(eight[suffix + k]).view(">u8").reshape(-1).astype(np.uint64) for k in (0, 8, 16, 24, 32, 40, WIDTH - 8)]
+    which = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    suffix = (begin[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
     owner = doc[which]
-    # Suffixes are sorted by a hash of their bytes first; bytes settle which neighbours are equal.
-    mixed = keys[0]
-    for key in keys[1:]:
-        mixed = _mix(mixed * np.uint64(_BASE) + key)
+    del which, begin
+    eight, whole = (np.lib.stride_tricks.sliding_window_view(text, n) for n in (8, WIDTH))
+
+    def keys(at: np.ndarray) -> list[np.ndarray]:
+        return [np.ascontiguousarray(eight[at + k]).view(">u8").reshape(-1).astype(np.uint64) for k in (*range(0, WIDTH - 8, 8), WIDTH - 8)]
+
+    # Suffixes are sorted by a hash of their bytes first; the bytes settle which neighbours are equal. Bytes are looked
+    # at in slices, so a bucket takes some 40 bytes for each suffix.
+    mixed = np.empty(len(suffix), np.uint64)
+    for s in (slice(k, k + _SLICE) for k in range(0, len(suffix), _SLICE)):
+        found = np.zeros(len(suffix[s]), np.uint64)
+        for key in keys(suffix[s]):
+            found = _mix(found * np.uint64(_BASE) + key)
+        mixed[s] = found
     order = np.lexsort((owner, mixed))
     new = runs(mixed[order])
-    clash = np.zeros(len(order), bool)
-    for key in keys:
-        clash |= ~new & np.append(False, key[order][1:] != key[order][:-1])
-    if clash.any():  # two texts with one hash: sort by all bytes
-        order = np.lexsort((owner, *keys[::-1]))
+    del mixed
+    same = np.flatnonzero(~new)
+    at = suffix[order]
+    clash = any((whole[at[i]] != whole[at[i - 1]]).any() for i in (same[k : k + _SLICE] for k in range(0, len(same), _SLICE)))
+    if clash:  # two texts with one hash: sort by all bytes
+        order = np.lexsort((owner, *keys(suffix)[::-1]))
         new = np.zeros(len(order), bool)
-        for key in keys:
+        for key in keys(suffix):
             new |= runs(key[order])
     sorted_owner = owner[order]
     repeated = np.empty(len(order), bool)
@@ -243,7 +253,7 @@ def _open_stretches(names: Names, code: np.ndarray, buckets: int) -> tuple[np.nd
         hashed = np.zeros(len(each), np.uint64)
         for k in range(WIDTH):
             hashed = hashed * np.uint64(_BASE) + _BYTE[rows[:, k]]
-        # Every window of a hot sample goes by its own bytes; those of one text keep the smallest document of the chunk.
+        # Every window of a hot sample goes by its own bytes.
         hashed = _mix(hashed)
         bucket = np.append(bucket, ((hashed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
     name = np.append(whole, each)
