@@ -41,8 +41,6 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
     def learn(parts: list[str]) -> None:
         """A word is looked up without its capitals, which the tokenizer drops, and apart from marks after a letter."""
-        if len(known) + len(parts) > MAX_PARTS:
-            known.clear()
         if len(words) + 2 * len(parts) > MAX_WORDS:
             words.clear()
         halves = []
@@ -61,9 +59,11 @@ def encoder(path: str) -> Callable[[str], bytes]:
         try:
             return b"".join([known[p] for p in parts]) + end
         except KeyError:
-            learn(list({p for p in parts if p not in known}))
-        if missing := {p for p in parts if p not in known}:  # the memory was full and has been cleared
-            learn(list(missing))
+            new = {p for p in parts if p not in known}
+        if len(known) + len(new) > MAX_PARTS:
+            known.clear()
+            new = set(parts)
+        learn(list(new))
         return b"".join([known[p] for p in parts]) + end
 
     return encode
