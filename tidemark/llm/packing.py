@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 CAPACITY = 2048
 END_ID = 1
 #: Distinct parts of text, and distinct words in them, whose ids a Python worker remembers from task to task.
-MAX_PARTS, MAX_WORDS = 1_200_000, 800_000
+MAX_PARTS, MAX_WORDS = 2_000_000, 1_200_000
 _MARKS = ".,!?;:$%&*#"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _KNOWN: dict[str, tuple] = {}
@@ -47,7 +47,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
         for part in parts:
             word = part.rstrip(_MARKS)
             word = word if word and word[-1].isalpha() else part
-            halves.append((word.translate(_LOWER), part[len(word) :]))
+            halves.append((word.lower() if word.isascii() else word.translate(_LOWER), part[len(word) :]))
         new = list({w for pair in halves for w in pair if w not in words})
         for word, coded in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
             words[word] = np.array(coded.ids, "<u4").tobytes()
@@ -134,7 +134,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         done: list[list] = []
         for batch in rows:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = encode(text.as_py() or "")
+                raw = memoryview(encode(text.as_py() or ""))
                 start, n = 0, len(raw) // 4
                 for size in cut(n, capacity):
                     crc = zlib.crc32(raw[4 * start : 4 * (start + size)])
