@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 CAPACITY = 2048
 END_ID = 1
 #: Distinct parts of text, and distinct words in them, whose ids a Python worker remembers from task to task.
-MAX_PARTS, MAX_WORDS = 2_000_000, 1_200_000
+MAX_PARTS, MAX_WORDS = 1_000_000, 700_000
 _MARKS = ".,!?;:$%&*#"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _KNOWN: dict[str, tuple] = {}
