@@ -78,12 +78,19 @@ def test_packing(docs, nothing):
         packing.pack_documents(docs, TOKENIZER, 100)
 
 
+#: Special tokens in any case, the mark between words, capitals that become two characters, composed and lone marks.
+ODD_TEXTS = [
+    "<|endoftext|> <|ENDOFTEXT|> x<|startoftext|>y", "a|b | || A|B|", "\u0130. s\u0130... \u0130", "don't I'LL 'S x'",
+    "\u03a3\u0391\u03a3 \u1e9e \u212a \ufb01", "\u0301x A\u0301 =\u0338 e\u0301.", "\x1c\x85\u3000 12ab ab12 \u2460", "plain words, only. Plain Words!",
+]
+
+
 def test_packing_with_a_full_memory(monkeypatch):
     monkeypatch.setattr(packing, "MAX_PARTS", 5)
     monkeypatch.setattr(packing, "MAX_WORDS", 5)
     monkeypatch.setattr(packing, "_KNOWN", {})
     encode, coder = packing.encoder(TOKENIZER), brute.tokenizer()
-    for text in DOCS.values():
+    for text in [*DOCS.values(), *ODD_TEXTS]:
         want = [*coder.encode(text or "", add_special_tokens=False).ids, 1]
         assert np.frombuffer(encode(text or ""), "<u4").tolist() == want
 

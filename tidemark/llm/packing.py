@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CAPACITY = 2048
 END_ID = 1
 #: Distinct parts of text, and distinct words in them, whose ids a Python worker remembers from task to task.
-MAX_PARTS, MAX_WORDS = 1_000_000, 700_000
+MAX_PARTS, MAX_WORDS = 700_000, 500_000
+#: Words that are put to the tokenizer in one text, and the mark between them.
+TOGETHER, _BAR = 500, "|"
 _MARKS = ".,!?;:$%&*#"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _KNOWN: dict[str, tuple] = {}
@@ -27,6 +34,33 @@ PIECES = pa.schema(
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _ids(tokenizer: Tokenizer, words: list[str]) -> Iterator[bytes]:
+    """Token ids of each word, in its order.
+
+    A word of a-z alone is its own normalised form and its own pre-token, so the model takes it as it is. Others go
+    through the whole tokenizer, many in one text; between them stands a mark that is a token of its own. Words with that
+    mark, which also spell the special tokens, go alone.
+    """
+    plain = [w.isascii() and w.isalpha() and w.islower() for w in words]
+    others = [w for w, own in zip(words, plain, strict=True) if not own and _BAR not in w]
+    rest: list[bytes] = []
+    (bar,) = tokenizer.encode(_BAR, add_special_tokens=False).ids
+    for at in range(0, len(others), TOGETHER):
+        coded = tokenizer.encode(f" {_BAR} ".join(others[at : at + TOGETHER]), add_special_tokens=False).ids
+        ids = np.array(coded, "<u4")
+        rest += [part.tobytes() if k == 0 else part[1:].tobytes() for k, part in enumerate(np.split(ids, np.flatnonzero(ids == bar)))]
+    found, model = iter(rest), tokenizer.model
+    for word, own in zip(words, plain, strict=True):
+        if own:
+            coded = [token.id for token in model.tokenize(word)]
+        elif _BAR not in word:
+            yield next(found)
+            continue
+        else:
+            coded = tokenizer.encode(word, add_special_tokens=False).ids
+        yield struct.pack(f"<{len(coded)}I", *coded)
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
     """Token ids of a text and the end id, little-endian in four bytes each, with the ids of each blank-separated part remembered.
 
@@ -46,13 +80,14 @@ def encoder(path: str) -> Callable[[str], bytes]:
         halves = []
         for part in parts:
             word = part.rstrip(_MARKS)
-            word = word if word and word[-1].isalpha() else part
-            halves.append((word.lower() if word.isascii() else word.translate(_LOWER), part[len(word) :]))
+            # A capital whose small form ends in a combining mark would share a token with what follows.
+            word = word if word and word[-1].lower().isalpha() else part
+            folded = word if _BAR in word else word.lower() if word.isascii() else word.translate(_LOWER)
+            halves.append((folded, part[len(word) :]))
         new = list({w for pair in halves for w in pair if w not in words})
-        for word, coded in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            words[word] = np.array(coded.ids, "<u4").tobytes()
+        words.update(zip(new, _ids(tokenizer, new), strict=True))
         for part, (word, marks) in zip(parts, halves, strict=True):
-            known[part] = words[word] + words[marks]
+            known[part] = words[word] + words[marks] if marks else words[word]
 
     def encode(text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
