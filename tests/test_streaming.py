@@ -94,12 +94,13 @@ def test_breaker_state_matches_batch(spark, tmp_path):
 
 
 def test_period_counts_stream_matches_batch(spark, tmp_path):
+    # The oldest requests arrive last, a week and more behind the newest.
     log = spark.range(500).selectExpr(
-        "concat('s', id % 3) AS source_id", "id AS request_id", "timestamp_millis(id * 3600000L) AS at"
+        "concat('s', id % 3) AS source_id", "id AS request_id", "timestamp_millis((499 - id) * 3600000L) AS at"
     )
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
     _files(log, source, "request_id", 3)
-    _drain(stream_period_counts(_stream(spark, source, log.schema), "1 day", out), checkpoint)
+    _drain(stream_period_counts(_stream(spark, source, log.schema), DAY_MS, out), checkpoint)
     columns = ("source_id", "period_start_ms", "requests")
     assert _rows(latest_counts(spark.read.parquet(out)), *columns) == _rows(period_counts(log, DAY_MS), *columns)
 

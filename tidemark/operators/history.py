@@ -40,6 +40,12 @@ def ingest(outcomes: DataFrame, registry: Registry) -> DataFrame:
     )
     if "store_id" not in outcomes.columns:
         outcomes = outcomes.withColumn("store_id", F.lit(None).cast("string"))
+    # An outcome without an id of its own gets one from what it says, so a repeated run gives the same.
+    told = ("source_id", "listing_id", "amount_minor_units", "currency", "kind", "raw_context")
+    own_id = F.md5(F.to_json(F.struct(*told, millis(F.col("received_at")).alias("at"))))
+    if "obs_id" in outcomes.columns:
+        own_id = F.coalesce(F.col("obs_id").cast("string"), own_id)
+    outcomes = outcomes.withColumn("obs_id", own_id)
     # The registry is bounded by MAX_CONFIG_ROWS.
     rows = outcomes.join(F.broadcast(known), "source_id", "left").withColumn("observed_at", F.col("received_at"))
     refusal = (
@@ -48,7 +54,7 @@ def ingest(outcomes: DataFrame, registry: Registry) -> DataFrame:
         .otherwise(observation_fault())
     )
     return rows.select(
-        "source_id", "listing_id", "store_id", "amount_minor_units", "currency", "observed_at", "source_time_zone",
+        "obs_id", "source_id", "listing_id", "store_id", "amount_minor_units", "currency", "observed_at", "source_time_zone",
         F.timestamp_millis("vendor_updated_ms").alias("vendor_price_updated_at"), "raw_context_retention_hours",
         bound_text(F.col("raw_context"), RAW_CONTEXT_STORED).alias("raw_context"),
         F.nullif(F.col("availability"), F.lit("")).alias("availability"),

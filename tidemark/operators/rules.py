@@ -13,6 +13,7 @@ from tidemark.config import Rule
 from tidemark.functions.instants import millis
 from tidemark.functions.money import shown, with_code
 from tidemark.functions.text import iso_millis, single_line, usable_link
+from tidemark.operators.history import CURRENCY_SHAPE
 from tidemark.operators.skew import HOT_ROWS, attach
 from tidemark.operators.trailing import running, trailing
 from tidemark.session import cut_lineage
@@ -31,10 +32,10 @@ def _price_at() -> Column:
 
 
 def _code_number(code: Column) -> Column:
-    """A three-letter code as an integer; the guard of the history lets nothing else in."""
+    """A three-letter code as an integer; anything else, which the guard of the history keeps out, counts as `???`."""
+    code = F.when(code.rlike(CURRENCY_SHAPE), code).otherwise(F.lit("???"))
     letters = [F.ascii(F.substring(code, place, 1)) for place in (1, 2, 3)]
-    packed = (letters[0] * 256 + letters[1]) * 256 + letters[2]
-    return F.when(F.length(code) == 3, packed).otherwise(F.raise_error(F.concat(F.lit("not a currency code: "), code)).cast("int"))
+    return (letters[0] * 256 + letters[1]) * 256 + letters[2]
 
 
 def _code_text(number: Column) -> Column:
@@ -172,7 +173,8 @@ def between(observations: DataFrame, after_ms: int, until_ms: int) -> DataFrame:
     )
     if "observed_date" in observations.columns:
         first, last = (dt.datetime.fromtimestamp(ms / 1000, dt.timezone.utc).date() for ms in (after_ms, until_ms))
-        rows = rows.where(F.col("observed_date").between(F.lit(first), F.lit(last)))
+        # Files that were written without the partition column are read for their instants alone.
+        rows = rows.where(F.col("observed_date").isNull() | F.col("observed_date").between(F.lit(first), F.lit(last)))
     return rows
 
 

@@ -525,7 +525,7 @@ def _run(writer: DataStreamWriter, checkpoint: str) -> None:
 def stream_period_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = views.requests_of(views.stream(spark, sf_dir, "events"))
     counts = scratch_path(spark, "counts")
-    _run(batches.stream_period_counts(log, "1 day", counts), scratch_path(spark, "checkpoint"))
+    _run(batches.stream_period_counts(log, DAY_MS, counts), scratch_path(spark, "checkpoint"))
     return batches.latest_counts(spark.read.parquet(counts))
 
 

@@ -102,8 +102,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables as a stream of its files, a bounded amount per trigger."""
     schema = table(spark, sf_dir, name).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.option("maxBytesPerTrigger", 1 << 30).parquet(sf_dir)
+    # A stream takes a single file only as a pattern; this one fits a file and a folder of part files alike.
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", 1 << 30).parquet(f"{sf_dir}/{name}[.]parquet")
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,8 @@ def append_observations(accepted: DataFrame, path: str) -> None:
     The rebalance hint lets a hot source-day become several files while small
     ones share a task.
     """
-    dated = accepted.withColumn("observed_date", F.to_date("observed_at"))
+    # The UTC day whatever the session's zone is, as `between` prunes by it.
+    dated = accepted.withColumn("observed_date", F.date_from_unix_date(F.floor(F.unix_millis("observed_at") / 86_400_000).cast("int")))
     dated.hint("rebalance", *HISTORY_PARTITIONS).write.mode("append").partitionBy(*HISTORY_PARTITIONS).parquet(path)
 
 

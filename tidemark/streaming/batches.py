@@ -15,6 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tidemark.config import Registry, Rule
 from tidemark.functions.instants import millis
 from tidemark.operators.history import accepted, ingest, refused
+from tidemark.operators.requestlog import period_counts
 from tidemark.operators.rules import between, window_low
 
 
@@ -63,26 +64,19 @@ def stream_window_low(
     return observations.writeStream.foreachBatch(write)
 
 
-def stream_period_counts(requests: DataFrame, period: str, counts: str, delay: str = "1 hour") -> DataStreamWriter:
-    """Requests per source and epoch-aligned period, kept as the changes of each batch.
+def stream_period_counts(requests: DataFrame, period_ms: int, counts: str) -> DataStreamWriter:
+    """Requests per source and epoch-aligned period, kept as what each batch adds.
 
-    `latest_counts` reads the current value of every period. The state of a
-    period is dropped once the watermark has passed it.
+    No request is too late: a batch writes its own sums, and `latest_counts` adds them up. Nothing is held between
+    batches, so there is no state to bound and no watermark to drop rows.
     """
-    counted = (
-        requests.withColumn("at", F.col("at").cast("timestamp"))
-        .withWatermark("at", delay)
-        .groupBy("source_id", F.window("at", period).alias("w"))
-        .agg(F.count("*").alias("requests"))
-        .select("source_id", millis(F.col("w.start")).alias("period_start_ms"), "requests")
-    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _replace(batch, counts, batch_id)
+        _replace(period_counts(batch, period_ms), counts, batch_id)
 
-    return counted.writeStream.outputMode("update").foreachBatch(write)
+    return requests.writeStream.foreachBatch(write)
 
 
-def latest_counts(changes: DataFrame) -> DataFrame:
-    """The last written count of every source and period."""
-    return changes.groupBy("source_id", "period_start_ms").agg(F.max_by("requests", "batch").alias("requests"))
+def latest_counts(added: DataFrame) -> DataFrame:
+    """The count of every source and period over all batches."""
+    return added.groupBy("source_id", "period_start_ms").agg(F.sum("requests").alias("requests"))
