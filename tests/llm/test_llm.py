@@ -88,7 +88,6 @@ ODD_TEXTS = [
 def test_packing_with_a_full_memory(monkeypatch):
     monkeypatch.setattr(packing, "MAX_PARTS", 5)
     monkeypatch.setattr(packing, "MAX_WORDS", 5)
-    monkeypatch.setattr(packing, "_KNOWN", {})
     encode, coder = packing.encoder(TOKENIZER), brute.tokenizer()
     for text in [*DOCS.values(), *ODD_TEXTS]:
         want = [*coder.encode(text or "", add_special_tokens=False).ids, 1]

@@ -17,13 +17,13 @@ if TYPE_CHECKING:
 
 CAPACITY = 2048
 END_ID = 1
-#: Distinct parts of text, and distinct words in them, whose ids a Python worker remembers from task to task.
-MAX_PARTS, MAX_WORDS = 700_000, 500_000
+#: Distinct parts of text, and distinct words in them, whose ids a task remembers.
+MAX_PARTS, MAX_WORDS = 500_000, 300_000
 #: Words that are put to the tokenizer in one text, and the mark between them.
 TOGETHER, _BAR = 500, "|"
 _MARKS = ".,!?;:$%&*#"
 _LOWER = {c: c + 32 for c in range(65, 91)}
-_KNOWN: dict[str, tuple] = {}
+_TOKENIZERS: dict[str, Tokenizer] = {}
 
 PIECES = pa.schema(
     [
@@ -66,11 +66,13 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
     The tokenizer drops white space and never joins characters across it, so the ids of a text are those of its parts.
     """
-    if path not in _KNOWN:
+    if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
-        _KNOWN[path] = Tokenizer.from_file(path), {}, {}
-    tokenizer, known, words = _KNOWN[path]
+        _TOKENIZERS[path] = Tokenizer.from_file(path)
+    tokenizer = _TOKENIZERS[path]
+    known: dict[str, bytes] = {}
+    words: dict[str, bytes] = {}
     end = np.array([END_ID], "<u4").tobytes()
 
     def learn(parts: list[str]) -> None:
