@@ -254,6 +254,17 @@ def test_gradients_and_probabilities():
     assert whole == pytest.approx(alone, rel=1e-4)
 
 
+def test_every_training_document_teaches_the_network_once(spark):
+    import zlib
+
+    ids = np.array([*range(300), language_model.C.MISSING], np.int64)
+    taken = sum(language_model._in_round(ids, turn).astype(int) for turn in range(language_model.ROUNDS))
+    assert taken.tolist() == [int(i == language_model.C.MISSING or zlib.crc32(str(i).encode()) % 5 != 1) for i in ids.tolist()]
+    only = spark.createDataFrame([(4, "this or that " * 2000)], "doc_id long, text string")
+    learned = language_model.score(only).first()
+    assert not learned.held_out and learned.score > 0.5 * learned.base_score  # start weights score about as the base
+
+
 def test_pipeline(spark):
     documents = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = documents
