@@ -123,3 +123,13 @@ def test_ingest_stream_splits_without_loss(spark, tmp_path):
     assert kept.count() + set_aside.count() == rows.count()
     assert {r.refusal for r in set_aside.select("refusal").distinct().collect()} == {"no-price", "negative-amount", "unknown-source"}
     assert kept.where("raw_context_retention_hours = 24 and source_time_zone = 'UTC' and availability is null").count() == kept.count()
+
+
+def test_a_request_without_a_status_is_a_failure_of_the_breaker_query(spark, monkeypatch):
+    from tidemark.plans import queries, views
+
+    requests_of = views.requests_of
+    answered = _rows(queries.QUERIES["stream_breaker"](spark, "/root/testdata/sf0.01"), "source_id", "tripped_ms", "failures", "outcomes")
+    monkeypatch.setattr(views, "requests_of", lambda events: requests_of(events).withColumn("status", F.expr("CASE WHEN status < 400 THEN status END")))
+    unanswered = _rows(queries.QUERIES["stream_breaker"](spark, "/root/testdata/sf0.01"), "source_id", "tripped_ms", "failures", "outcomes")
+    assert answered and unanswered == answered

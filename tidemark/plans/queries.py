@@ -554,7 +554,8 @@ def stream_cooldowns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = views.requests_of(views.stream(spark, sf_dir, "events"))
-    outcomes = log.selectExpr("source_id", "request_id", "unix_millis(at) AS at_ms", "int(status >= 400) AS failed")
+    failed = instants.is_failure(F.col("status")).cast("int").alias("failed")
+    outcomes = log.select("source_id", "request_id", F.expr("unix_millis(at) AS at_ms"), failed)
     pauses = scratch_path(spark, "pauses")
     stream = stateful.stream_breaker(outcomes, views.BREAKER)
     _run(stream.writeStream.format("parquet").option("path", pauses), scratch_path(spark, "checkpoint"))
