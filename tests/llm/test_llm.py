@@ -210,6 +210,18 @@ def test_main_text(spark):
     assert few[0].text == "all the same\n\ntext 0"
 
 
+def test_main_text_of_a_host_full_of_copies(spark):
+    page = "<div class=body><p>{}</div><div class=k>{}</div>"
+    copies = [(i, f"http://h/{i}", page.format("one text", "a notice")) for i in range(80)]
+    near = [(100 + i, f"http://h/{i}", page.format("another text", f"seen {i}")) for i in range(80)]
+    unlike = [(200 + i, f"http://h/{i}", page.format(f"text {i}", "a notice")) for i in range(20)]
+    find = lambda rows: {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    found = find(copies + unlike)
+    assert found[0] == "one text" and found[203] == "text 3"
+    assert find(copies)[0] == "one text\n\na notice"
+    assert find(near + unlike)[203].startswith("text 3")
+
+
 def test_quality(spark, docs, nothing):
     good = [(1000 + i, " ".join(f"w{(i * 7 + k * k) % 50}x" for k in range(60)), 1) for i in range(60)]
     bad = [(2000 + i, "BUY NOW!!! " * 30, 0) for i in range(60)]

@@ -1,8 +1,8 @@
 """Main text of web pages by a site style tree: the pages of a host are merged, and branches that say little are cut.
 
 A node of the tree is a path of elements with their class, id and role. The importance of a branch is the entropy of
-what the host's pages say there, as a share of the largest possible: a notice that all pages repeat has 0, running
-text nearly 1. Branches whose elements name a purpose (menus, adverts, forms and so on) have none. Plain flow text of
+what the host's different pages say there, as a share of the largest possible: a notice that all pages repeat has 0, running
+text nearly 1. Copies of a page count once, and of a branch that says little only the texts that repeat are cut. Branches whose elements name a purpose (menus, adverts, forms and so on) have none. Plain flow text of
 an article, without classes of its own, is the content that the tree looks for, and always stays.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,10 +20,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import urls
 from tidemark.session import cut_lineage
 
-#: A branch is judged once this many pages of its host have it, and cut below this importance.
+#: A text is cut if so many different pages of its host repeat it, in a branch below this importance.
 MIN_PAGES, MIN_IMPORTANCE = 8, 0.3
-#: Branches to cut that are broadcast; a larger set is joined by a shuffle on the host.
-MAX_BROADCAST_BRANCHES = 200_000
+#: Texts to cut that are broadcast; a larger set is joined by a shuffle on the host.
+MAX_BROADCAST_TEXTS = 200_000
 
 _RAW = frozenset("script style noscript template textarea iframe svg math object xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -127,44 +126,49 @@ def blocks(page: str) -> Iterator[tuple[Element, str]]:
     yield from flush()
 
 
-def main_text(page: str | None, cut: frozenset[str] = frozenset()) -> str:
-    """Blocks of the article, or of the whole page if it has none, without the branches in `cut`."""
+def _said(found: list[tuple[Element, str]]) -> dict[str, int]:
+    """Hash of what a page says in each branch that is not plain article flow, by path."""
+    said: dict[str, list[str]] = {}
+    for element, text in found:
+        if not element.plain:
+            said.setdefault(element.path, []).append(text)
+    return {path: xxhash.xxh64_intdigest("\n".join([path, *texts])) >> 1 for path, texts in said.items()}
+
+
+def main_text(page: str | None, cut: frozenset[int] = frozenset()) -> str:
+    """Blocks of the article, or of the whole page if it has none, without the branches whose hash is in `cut`."""
     found = list(blocks(page or ""))
+    said = _said(found) if cut else {}
     if any(e.article for e, _ in found):
         found = [(e, t) for e, t in found if e.article]
     if cut:
-        found = [(e, t) for e, t in found if e.plain or not any(e.path == c or e.path.startswith(c + "/") for c in cut)]
+        found = [(e, t) for e, t in found if e.plain or said[e.path] not in cut]
     return "\n\n".join(t for _, t in found)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, pages and importance of every branch that is not plain article flow.
+    """host, path, content, n, pages and importance of what is said in every branch that is not plain article flow.
 
-    Rows are combined per (host, path, content) before they shuffle, so a host with very many pages is no larger
-    than what its pages say differently.
+    n is the number of different pages of the host that say it, pages that of those that have the branch.
     """
 
-    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            seen: Counter[tuple[str, str, int]] = Counter()
+            seen: set[tuple[str, str, int, int]] = set()
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                said: dict[str, list[str]] = {}
-                for element, text in blocks(page.as_py() or ""):
-                    if not element.plain:
-                        said.setdefault(element.path, []).append(text)
-                for path, texts in said.items():
-                    seen[host, path, xxhash.xxh64_intdigest("\n".join(texts)) >> 1] += 1
+                found = list(blocks(page.as_py() or ""))
+                whole = xxhash.xxh64_intdigest("\n".join(f"{e.path}\n{t}" for e, t in found)) >> 1
+                seen.update((host, path, content, whole) for path, content in _said(found).items())
             if seen:
-                hosts, paths, contents = zip(*seen, strict=True)
-                columns = [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(contents, pa.int64()), pa.array(list(seen.values()), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "content", "n"])
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*seen, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "content", "page"])
 
-    said = pages.select(urls.host(F.col("url")).alias("host"), "html").mapInArrow(count, "host string, path string, content long, n long")
-    each = said.groupBy("host", "path", "content").agg(F.sum("n").alias("n"))
+    said = pages.select(urls.host(F.col("url")).alias("host"), "html").mapInArrow(read, "host string, path string, content long, page long")
+    each = cut_lineage(said.distinct().groupBy("host", "path", "content").agg(F.count("*").alias("n")))  # read twice below
     branch = each.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("_nlogn"))
     entropy = F.log("pages") - F.col("_nlogn") / F.col("pages")
     importance = F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(F.lit(1.0))
-    return branch.select("host", "path", "pages", importance.alias("importance"))
+    return each.join(branch.select("host", "path", "pages", importance.alias("importance")), ["host", "path"])
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
@@ -172,12 +176,12 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float
 
     Null html is empty, and pages without a host form one site. White space inside a block is one blank, blocks are
     joined by an empty line. Repeated rows are extracted each; other columns are ignored. The html of a page is not
-    shuffled while the branches to cut are few enough to be broadcast.
+    shuffled while the texts to cut are few enough to be broadcast.
     """
-    cut = style_tree(pages).where((F.col("pages") >= min_pages) & (F.col("importance") < min_importance))
-    cut = cut_lineage(cut.select(F.col("host").alias("_site"), "path"))
-    few = cut.count() <= MAX_BROADCAST_BRANCHES
-    of_site = cut.groupBy("_site").agg(F.sort_array(F.collect_set("path")).alias("cut"))
+    cut = style_tree(pages).where((F.col("n") >= min_pages) & (F.col("importance") < min_importance))
+    cut = cut_lineage(cut.select(F.col("host").alias("_site"), "content"))
+    few = cut.count() <= MAX_BROADCAST_TEXTS
+    of_site = cut.groupBy("_site").agg(F.sort_array(F.collect_set("content")).alias("cut"))
     read = pages.select("page_id", "url", "html", urls.host(F.col("url")).alias("_host"))
     joined = read.join(F.broadcast(of_site) if few else of_site, F.col("_host") == F.col("_site"), "left")
 
