@@ -2,9 +2,9 @@
 
 Every distinct set of word shingles stands in TREES sorted orders, each by its own sequence of DEPTH minimum hashes.
 Sets with a common prefix of at least LEAST_DEPTH values form a region of that order; a region that holds too many sets
-is cut deeper, value by value, where it is dense and only there. Candidates are the neighbours with the longest common
-prefix first, then whatever a region still holds of different components; a sketch of all minimum hashes sorts out what
-can't be linked, and the full sets decide.
+is cut deeper, value by value, where it is dense and only there. Sets that share the longest common prefix that a region
+allows are candidates of each other: first the most alike by a sketch of all minimum hashes, then whatever is left in a
+region between different components. The full sets decide.
 
 Two sets of similarity s lie in a common region of depth k of one order with probability s^k, so sets at the threshold
 of 0.8 miss each other in all 20 orders with probability (1 - 0.8^3)^20 < 10^-6 at the least depth.
@@ -13,11 +13,13 @@ of 0.8 miss each other in all 20 orders with probability (1 - 0.8^3)^20 < 10^-6
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ASCII_LOWER, own_columns, rebatch, runs, utf8, without
@@ -28,17 +30,20 @@ SHINGLE = 4
 #: Linked are sets with 100 * intersection >= PERCENT * union.
 PERCENT = 80
 TREES, DEPTH, LEAST_DEPTH = 20, 12, 3
-#: A region with more sets is cut one value deeper, as long as there are values.
-REGION = 4096
-#: Orders whose neighbours are compared before the rest is looked at.
-FIRST_TREES = 4
-#: Sets whose sketches agree in fewer of the 240 places can't be linked: 0.8 less 4.6 standard deviations.
+#: A region with more sets is cut deeper, as long as there are values.
+REGION = 1024
+#: The most alike partners that a set is compared with in a round.
+CLOSEST = 4
+#: Sets whose sketches agree less can't be linked: 0.8 less 4.6 standard deviations.
 LEAST_AGREEMENT = 0.68
 #: Bytes of one batch that is handed to Python.
 BATCH_BYTES = 32 << 20
 SEED = 12
 
 _FUNCTIONS = TREES * DEPTH
+#: Bits of each minimum that a sketch is compared by; two different minima agree in them once in 16.
+_PLANES = 4
+_ENOUGH = int(_FUNCTIONS * (LEAST_AGREEMENT + (1 - LEAST_AGREEMENT) / 2**_PLANES))
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, _FUNCTIONS, np.uint32) * np.uint32(2) + np.uint32(1)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _LAST = np.iinfo(np.int64).max
@@ -77,177 +82,219 @@ def _keys(least: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """For every row: doc_id, row (its own number), n, the digest of its set, forest keys, sketch, and the set itself."""
+    """For every row: doc_id, row (its own number), _key of its text, n, the digest of its set, forest keys and sketch."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "row", "_key", "n", "digest", "keys", "sketch", "hashes"]
+        names = ["doc_id", "row", "_key", "n", "digest", "keys", "sketch"]
         for batch in rebatch(rows, 500):
             data, at = utf8(batch.column(3))
             raw = data.tobytes()
-            n, digests, keys, sketch, sets = [], [], [], [], []
+            n, digests, keys, sketch = [], [], [], []
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 hashes = shingle_hashes(raw[s:e])
-                packed = hashes.tobytes()
                 least = minima(hashes) if len(hashes) else np.zeros(_FUNCTIONS, np.uint32)
-                n.append(len(hashes)), digests.append(xxhash.xxh3_128_digest(packed)), sets.append(packed)
+                n.append(len(hashes)), digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 keys.append(_keys(least) if len(hashes) else []), sketch.append(least.astype(np.uint8).tobytes())
-            made = [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-                    pa.array(sketch, pa.binary()), pa.array(sets, pa.binary())]
+            made = [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *made], names=names)
 
-    read = docs.select(
-        "doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"), "text"
-    )
-    return read.mapInArrow(run, "doc_id long, row long, _key long, n long, digest binary, keys array<long>, sketch binary, hashes binary")
+    read = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), _text_key().alias("_key"), "text")
+    return read.mapInArrow(run, "doc_id long, row long, _key long, n long, digest binary, keys array<long>, sketch binary")
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """`rows` with the size of their region; alone in it they are gone."""
-    sizes = cut_lineage(rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    return cut_lineage(rows.join(sizes, "region"))
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def regions(printed: DataFrame, chosen: DataFrame) -> DataFrame:
-    """tree, region, row, n, sketch of every chosen set in every region of two sets or more.
+    """region, row, n, sketch of every chosen set in every region of two sets or more.
 
-    Regions start at the least depth. Those with more than REGION sets are cut by the next value, again and again, until
-    they are small or all values are used; sizes are counted by combined aggregates and joined, so that no region is
-    ever held as a whole.
+    Regions start at the least depth. Where one has more than REGION sets, the prefixes of all greater depths are counted
+    at once, and a set takes the least depth whose prefix is shared by no more than REGION sets, or else the greatest.
+    Sets with a common prefix see the same counts, so they choose alike. Counts are combined aggregates that are joined
+    back: no region is held as a whole.
     """
     narrow = printed.select("row", "keys").join(chosen.select("row"), "row", "left_semi")
     entries = narrow.select("row", F.posexplode("keys").alias("tree", "region"))
-    counted = _counted(entries)
+    sizes = cut_lineage(entries.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    counted = cut_lineage(entries.join(sizes, "region"))
     sketch = printed.select("row", "n", "sketch")
-    level, done = LEAST_DEPTH, []
-    while True:
-        small = counted.where(F.col("size") <= REGION)
-        large = counted.where(F.col("size") > REGION)
-        done.append(small.drop("size"))
-        if level == DEPTH or large.isEmpty():
-            done.append(large.drop("size"))
-            break
-        value = F.substring("sketch", F.col("tree") * DEPTH + level + 1, F.lit(1))
-        deeper = large.join(sketch, "row").withColumn("region", F.xxhash64("region", value))
-        counted = _counted(deeper.select("row", "tree", "region"))
-        level += 1
-    every = done[0]
-    for more in done[1:]:
-        every = every.unionByName(more)
-    return cut_lineage(every.join(sketch, "row").select("tree", "region", "row", "n", "sketch"))
-
-
-def _similar(n: np.ndarray, sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs of places may be linked, by their sizes and sketches."""
-    fits = 100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])
-    at = np.flatnonzero(fits)
-    same = (sketch[a[at]] == sketch[b[at]]).sum(axis=1)
-    return at[same >= LEAST_AGREEMENT * _FUNCTIONS]
-
-
-def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """region, row, label, n, sketch of a batch."""
-    numbers = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "row", "label", "n")]
-    return *numbers, np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, _FUNCTIONS)
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in both], names=["a", "b"])
-
-
-def _neighbours(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours in one order that lie in the same region and in different components; rows come in that order."""
-    last = None
-    for batch in rows:
-        if not batch.num_rows:
-            continue
-        held = _arrays(batch)
-        if last is not None:
-            held = tuple(np.concatenate(x) for x in zip(last, held, strict=True))
-        region, row, label, n, sketch = held
-        a = np.flatnonzero((region[1:] == region[:-1]) & (label[1:] != label[:-1]))
-        a = a[_similar(n, sketch, a, a + 1)]
-        if len(a):
-            yield _pairs(row[a], row[a + 1])
-        last = tuple(x[-1:] for x in held)
-
-
-def _across(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of one region that lie in different components and may be linked; rows come sorted by region and label."""
-
-    def between(left: tuple, right: tuple) -> Iterator[pa.RecordBatch]:
-        rows_, label, n, sketch = (np.concatenate(x) for x in zip(left, right, strict=True))
-        split = len(left[0])
-        for at in range(split):
-            b = split + np.flatnonzero(label[split:] != label[at])
-            a = np.full(len(b), at)
-            near = _similar(n, sketch, a, b)
-            if len(near):
-                yield _pairs(rows_[a[near]], rows_[b[near]])
-
-    def inside(part: tuple) -> Iterator[pa.RecordBatch]:
-        rows_, label, n, sketch = part
-        for step in range(1, len(rows_)):
-            a = np.flatnonzero(label[step:] != label[:-step])
-            near = a[_similar(n, sketch, a, a + step)]
-            if len(near):
-                yield _pairs(rows_[near], rows_[near + step])
-
-    now, earlier = None, []
+    small = counted.where(F.col("size") <= REGION).select("region", "row")
+    large = counted.where(F.col("size") > REGION).join(sketch.select("row", "sketch"), "row")
+    prefix = lambda k: F.xxhash64("region", F.substring("sketch", F.col("tree") * DEPTH + LEAST_DEPTH + 1, k))
+    depths = F.transform(F.sequence(F.lit(1), F.lit(DEPTH - LEAST_DEPTH)), lambda k: F.struct(k.alias("k"), prefix(k).alias("deeper")))
+    deep = cut_lineage(large.select("row", "tree", F.explode(depths).alias("d")).select("row", "tree", "d.*"))
+    deep = deep.join(deep.groupBy("deeper").agg(F.count(F.lit(1)).alias("size")), "deeper")
+    turn = F.when(F.col("size") <= REGION, F.col("k")).otherwise(2 * DEPTH - F.col("k"))
+    cut = deep.groupBy("row", "tree").agg(F.min(F.struct(turn.alias("turn"), "deeper", "size")).alias("c")).where("c.size > 1")
+    every = small.unionByName(cut.select(F.col("c.deeper").alias("region"), "row"))
+    return cut_lineage(every.join(sketch, "row").select("region", "row", "n", "sketch"))
+
+
+class _Sets(NamedTuple):
+    """Sets of one region, their sketches as four bit planes."""
+
+    row: np.ndarray
+    label: np.ndarray
+    n: np.ndarray
+    planes: np.ndarray  # plane, set, word
+    hashes: list[np.ndarray]  # the full sets, in the last round
+
+    def part(self, start: int, end: int) -> _Sets:
+        cut = (x[start:end] for x in self[:3])
+        return _Sets(*cut, self.planes[:, start:end], self.hashes[start:end])
+
+    def agreement(self, at: int, other: _Sets) -> np.ndarray:
+        """In how many places a sketch agrees with others; less than any bound for sets that can't be linked or are already."""
+        differ = self.planes[0, at] ^ other.planes[0]
+        for plane in range(1, _PLANES):
+            differ |= self.planes[plane, at] ^ other.planes[plane]
+        same = _FUNCTIONS - np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+        n = self.n[at]
+        fits = (100 * np.minimum(n, other.n) >= PERCENT * np.maximum(n, other.n)) & (other.label != self.label[at])
+        return np.where(fits, same, -1)
+
+
+def _sets(batch: pa.RecordBatch) -> _Sets:
+    numbers = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "label", "n")]
+    sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, _FUNCTIONS)
+    padded = np.zeros((_PLANES, len(sketch), -(-_FUNCTIONS // 64) * 64), np.uint8)
+    for plane in range(_PLANES):
+        padded[plane, :, :_FUNCTIONS] = sketch >> plane & 1
+    hashes = [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()] if "hashes" in batch.schema.names else []
+    return _Sets(*numbers, np.packbits(padded, axis=2).view(np.uint64), hashes)
+
+
+def _parts_of_regions(rows: Iterator[pa.RecordBatch]) -> Iterator[list[_Sets]]:
+    """The sets of each region, in parts of one batch; rows come sorted by region."""
+    now, parts = None, []
     for batch in rebatch(rows, 1000):
-        region, *rest = _arrays(batch)
+        region = batch.column("region").to_numpy()
+        every = _sets(batch)
         starts = np.flatnonzero(runs(region))
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(region)], strict=True):
-            part = tuple(x[s:e] for x in rest)
-            if region[s] != now:
-                now, earlier = region[s], []
-            for held in earlier:
-                yield from between(held, part)
-            yield from inside(part)
-            earlier.append(part)
-
-
-def _candidates(places: DataFrame, labels: DataFrame | None, everything: bool) -> DataFrame:
-    """Pairs (a, b) of sets to compare, a < b; with `labels` (row, label) only between different components."""
-    if labels is None:
-        told = places.withColumn("label", F.col("row"))
-    else:
-        told = places.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-        told = cut_lineage(told)
-        mixed = told.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("region")
-        told = told.join(cut_lineage(mixed), "region", "left_semi")
-    cells = told.select("region", "row", "label", "n", "sketch")
-    if everything:
-        found = cells.repartition("region").sortWithinPartitions("region", "label").mapInArrow(_across, "a long, b long")
-    else:
-        # By range, so that one region may spread over tasks; what lies next to a border is looked at later.
-        ordered = cells.repartitionByRange("region", "sketch", "row").sortWithinPartitions("region", "sketch", "row")
-        found = ordered.mapInArrow(_neighbours, "a long, b long")
-    return cut_lineage(found.where("a <> b").distinct())
+            if parts and region[s] != now:
+                yield parts
+                parts = []
+            now = region[s]
+            parts.append(every.part(s, e))
+    if parts:
+        yield parts
+
+
+def _closest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, agreement): for each set the most alike few of each part of its region."""
+    for parts in _parts_of_regions(rows):
+        for part in parts:
+            found = []
+            for at in range(len(part.row)):
+                for other in parts:
+                    same = part.agreement(at, other)
+                    hit = np.flatnonzero(same >= _ENOUGH)
+                    if len(hit) > CLOSEST:
+                        hit = hit[np.argpartition(same[hit], -CLOSEST)[-CLOSEST:]]
+                    if len(hit):
+                        found.append((np.full(len(hit), part.row[at]), other.row[hit], same[hit]))
+            if found:
+                columns = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "agreement"])
+
+
+def _is_linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets that aren't empty are similar enough."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    common = int((a[at] == b).sum())
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
+def _rest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): links between components within a region, confirmed on the full sets; one from each set to a component."""
+    for parts in _parts_of_regions(rows):
+        a, b = [], []
+        for part in parts:
+            for at, (row, hashes) in enumerate(zip(part.row.tolist(), part.hashes, strict=True)):
+                reached = set()
+                for other in parts:
+                    same = part.agreement(at, other)
+                    hit = np.flatnonzero((same >= _ENOUGH) & (other.row < row))
+                    for k in hit[np.argsort(-same[hit], kind="stable")].tolist():
+                        label = int(other.label[k])
+                        if label not in reached and _is_linked(hashes, other.hashes[k]):
+                            reached.add(label)
+                            a.append(row), b.append(int(other.row[k]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
+
+
+def _candidates(places: DataFrame) -> DataFrame:
+    """Pairs (a, b) to compare first, a < b: for each set the most alike few of all its regions."""
+    cells = places.withColumn("label", F.col("row")).repartition("region").sortWithinPartitions("region")
+    found = cells.mapInArrow(_closest, "a long, b long, agreement long").distinct()
+    turn = F.row_number().over(W.partitionBy("a").orderBy(F.desc("agreement"), "b"))
+    found = found.withColumn("turn", turn).where(F.col("turn") <= CLOSEST)
+    return cut_lineage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _links_left(places: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components of one region; the full sets go where two components meet."""
+    told = places.join(sets.select("row"), "row", "left_semi").join(labels, "row", "left")
+    told = cut_lineage(told.withColumn("label", F.coalesce("label", "row")))
+    mixed = told.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("region")
+    told = told.join(cut_lineage(mixed), "region", "left_semi").join(sets, "row")
+    cells = told.select("region", "row", "label", "n", "sketch", "hashes")
+    return cut_lineage(cells.repartition("region").sortWithinPartitions("region").mapInArrow(_rest, "a long, b long").distinct())
 
 
 def _confirm(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are similar enough."""
     for batch in rebatch(rows, 1000):
-        kept = []
-        for k, (left, right) in enumerate(zip(batch.column("left"), batch.column("right"), strict=True)):
-            a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (left, right))
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            if 100 * common >= PERCENT * (len(a) + len(b) - common):
-                kept.append(k)
+        sides = zip(batch.column("left"), batch.column("right"), strict=True)
+        kept = [k for k, pair in enumerate(sides) if _is_linked(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair))]
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
 
+def _full_sets(docs: DataFrame, printed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row and hashes of the sets of `pairs`, made again from their texts; other texts don't move."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatch(rows, 500):
+            data, at = utf8(batch.column(1))
+            raw = data.tobytes()
+            sets = [shingle_hashes(raw[s:e]).tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["row", "hashes"])
+
+    ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    named = cut_lineage(printed.select("row", F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).join(ends, "row", "left_semi"))
+    texts = docs.select("doc_id", "text", _text_key().alias("_key"))
+    texts = texts.join(named, texts["doc_id"].eqNullSafe(named["_id"]) & (texts["_key"] == named["_k"]))
+    return cut_lineage(texts.select("row", "text").dropDuplicates(["row"]).mapInArrow(run, "row long, hashes binary"))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that are linked, confirmed on the full sets; only sets of candidates move."""
-    needed = cut_lineage(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct())
-    few = cut_lineage(sets.select("row", "hashes").join(needed, "row", "left_semi"))
-    left, right = (few.select(F.col("row").alias(k), F.col("hashes").alias(side)) for k, side in (("a", "left"), ("b", "right")))
+    """The pairs that are linked, confirmed on the full sets."""
+    left, right = (sets.select(F.col("row").alias(k), F.col("hashes").alias(side)) for k, side in (("a", "left"), ("b", "right")))
     return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_confirm, "a long, b long"))
 
 
+def _connected(docs: DataFrame, printed: DataFrame, places: DataFrame) -> DataFrame | None:
+    """row and label of every set that is linked with another; None if no two are.
+
+    First every set is compared with the most alike few, which connects most of a group by a few comparisons for each
+    member. Then all pairs that are left between components are compared within their regions; only links leave a task.
+    """
+    pairs = _candidates(places)
+    if pairs.isEmpty():
+        return None
+    sets = _full_sets(docs, printed, pairs)  # of every set that has any possible partner
+    labels = _labels(_linked(pairs, sets))
+    edges = labels.select(F.col("row").alias("a"), F.col("label").alias("b"))
+    more = _links_left(places, labels, sets)
+    return labels if more.isEmpty() else _labels(edges.unionByName(more))
+
+
 def _labels(links: DataFrame) -> DataFrame:
-    return components(links).select(F.col("node").alias("row"), F.col("root").alias("label"))
+    return cut_lineage(components(links).select(F.col("node").alias("row"), F.col("root").alias("label")))
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -257,15 +304,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "row")
     classes = printed.where("n > 0").groupBy("digest").agg(F.min(order).alias("m"))
     classes = cut_lineage(classes.select("digest", F.col("m.row").alias("row"), F.col("m.id").alias("least")))
-    places = regions(printed, classes)
-    links, labels = None, None
-    # Neighbours of the first orders connect most of a group; the other orders then ask only for what isn't connected.
-    for part, everything in ((places.where(F.col("tree") < FIRST_TREES), False), (places, False), (places, True)):
-        pairs = _candidates(part, labels, everything)
-        if not pairs.isEmpty():
-            more = _linked(pairs, printed)
-            links = more if links is None else links.unionByName(more)
-            labels = cut_lineage(_labels(links))
+    labels = _connected(docs, printed, regions(printed, classes))
     if labels is None:
         of = classes.withColumn("component_id", F.col("least"))
     else:
