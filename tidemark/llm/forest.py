@@ -138,11 +138,11 @@ class _Sets(NamedTuple):
     label: np.ndarray
     n: np.ndarray
     planes: np.ndarray  # plane, set, word
-    hashes: list[np.ndarray]  # the full sets, in the last round
+    brief: list[np.ndarray]  # the full sets by the first 24 bits of each hash, in the last round
 
     def part(self, start: int, end: int) -> _Sets:
         cut = (x[start:end] for x in self[:3])
-        return _Sets(*cut, self.planes[:, start:end], self.hashes[start:end])
+        return _Sets(*cut, self.planes[:, start:end], self.brief[start:end])
 
     def agreement(self, at: int, other: _Sets) -> np.ndarray:
         """In how many places a sketch agrees with others; less than any bound for sets that can't be linked or are already."""
@@ -161,8 +161,19 @@ def _sets(batch: pa.RecordBatch) -> _Sets:
     padded = np.zeros((_PLANES, len(sketch), -(-_FUNCTIONS // 64) * 64), np.uint8)
     for plane in range(_PLANES):
         padded[plane, :, :_FUNCTIONS] = sketch >> plane & 1
-    hashes = [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()] if "hashes" in batch.schema.names else []
-    return _Sets(*numbers, np.packbits(padded, axis=2).view(np.uint64), hashes)
+    brief = [_opened(x) for x in batch.column("brief").to_pylist()] if "brief" in batch.schema.names else []
+    return _Sets(*numbers, np.packbits(padded, axis=2).view(np.uint64), brief)
+
+
+def _brief(hashes: np.ndarray) -> bytes:
+    """The first 24 bits of each hash, in order."""
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes()
+
+
+def _opened(brief: bytes) -> np.ndarray:
+    out = np.zeros((len(brief) // 3, 4), np.uint8)
+    out[:, 1:] = np.frombuffer(brief, np.uint8).reshape(-1, 3)
+    return out.view(">u4")[:, 0].astype(np.uint32)
 
 
 def _parts_of_regions(rows: Iterator[pa.RecordBatch]) -> Iterator[list[_Sets]]:
@@ -201,7 +212,7 @@ def _closest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _is_linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets that aren't empty are similar enough."""
+    """Whether two sorted sets that aren't empty are similar enough; never less so if their hashes are cut short."""
     at = np.searchsorted(a, b)
     at[at == len(a)] = 0
     common = int((a[at] == b).sum())
@@ -209,20 +220,15 @@ def _is_linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _rest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): links between components within a region, confirmed on the full sets; one from each set to a component."""
+    """(a, b): pairs of one region and different components whose whole sets agree enough, by their cut hashes."""
     for parts in _parts_of_regions(rows):
         a, b = [], []
         for part in parts:
-            for at, (row, hashes) in enumerate(zip(part.row.tolist(), part.hashes, strict=True)):
-                reached = set()
+            for at, (row, brief) in enumerate(zip(part.row.tolist(), part.brief, strict=True)):
                 for other in parts:
-                    same = part.agreement(at, other)
-                    hit = np.flatnonzero((same >= _ENOUGH) & (other.row < row))
-                    for k in hit[np.argsort(-same[hit], kind="stable")].tolist():
-                        label = int(other.label[k])
-                        if label not in reached and _is_linked(hashes, other.hashes[k]):
-                            reached.add(label)
-                            a.append(row), b.append(int(other.row[k]))
+                    hit = np.flatnonzero((part.agreement(at, other) >= _ENOUGH) & (other.row < row))
+                    linked = [k for k in hit.tolist() if _is_linked(brief, other.brief[k])]
+                    a.extend(other.row[linked].tolist()), b.extend([row] * len(linked))
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
 
@@ -236,13 +242,16 @@ def _candidates(places: DataFrame) -> DataFrame:
     return cut_lineage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def _links_left(places: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components of one region; the full sets go where two components meet."""
-    told = places.join(sets.select("row"), "row", "left_semi").join(labels, "row", "left")
-    told = cut_lineage(told.withColumn("label", F.coalesce("label", "row")))
+def _candidates_left(places: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components and one region that are as good as linked.
+
+    The sets go along, cut to three bytes a shingle, where two components meet; what can't be linked leaves no task.
+    """
+    named = cut_lineage(sets.select("row").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")))
+    told = cut_lineage(places.join(named, "row"))
     mixed = told.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("region")
-    told = told.join(cut_lineage(mixed), "region", "left_semi").join(sets, "row")
-    cells = told.select("region", "row", "label", "n", "sketch", "hashes")
+    told = told.join(cut_lineage(mixed), "region", "left_semi").join(sets.select("row", "brief"), "row")
+    cells = told.select("region", "row", "label", "n", "sketch", "brief")
     return cut_lineage(cells.repartition("region").sortWithinPartitions("region").mapInArrow(_rest, "a long, b long").distinct())
 
 
@@ -255,20 +264,21 @@ def _confirm(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(docs: DataFrame, printed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """row and hashes of the sets of `pairs`, made again from their texts; other texts don't move."""
+    """row, hashes and cut hashes of the sets of `pairs`, made again from their texts; other texts don't move."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatch(rows, 500):
             data, at = utf8(batch.column(1))
             raw = data.tobytes()
-            sets = [shingle_hashes(raw[s:e]).tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["row", "hashes"])
+            sets = [shingle_hashes(raw[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            cells = [pa.array([form(x) for x in sets], pa.binary()) for form in (np.ndarray.tobytes, _brief)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cells], names=["row", "hashes", "brief"])
 
     ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
     named = cut_lineage(printed.select("row", F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).join(ends, "row", "left_semi"))
     texts = docs.select("doc_id", "text", _text_key().alias("_key"))
     texts = texts.join(named, texts["doc_id"].eqNullSafe(named["_id"]) & (texts["_key"] == named["_k"]))
-    return cut_lineage(texts.select("row", "text").dropDuplicates(["row"]).mapInArrow(run, "row long, hashes binary"))
+    return cut_lineage(texts.select("row", "text").dropDuplicates(["row"]).mapInArrow(run, "row long, hashes binary, brief binary"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -281,7 +291,8 @@ def _connected(docs: DataFrame, printed: DataFrame, places: DataFrame) -> DataFr
     """row and label of every set that is linked with another; None if no two are.
 
     First every set is compared with the most alike few, which connects most of a group by a few comparisons for each
-    member. Then all pairs that are left between components are compared within their regions; only links leave a task.
+    member. Then all pairs that are left between components are compared within their regions; what is linked there is
+    confirmed like the first pairs.
     """
     pairs = _candidates(places)
     if pairs.isEmpty():
@@ -289,8 +300,8 @@ def _connected(docs: DataFrame, printed: DataFrame, places: DataFrame) -> DataFr
     sets = _full_sets(docs, printed, pairs)  # of every set that has any possible partner
     labels = _labels(_linked(pairs, sets))
     edges = labels.select(F.col("row").alias("a"), F.col("label").alias("b"))
-    more = _links_left(places, labels, sets)
-    return labels if more.isEmpty() else _labels(edges.unionByName(more))
+    left = _candidates_left(places, labels, sets)
+    return labels if left.isEmpty() else _labels(edges.unionByName(_linked(left, sets)))
 
 
 def _labels(links: DataFrame) -> DataFrame:
