@@ -6,20 +6,17 @@ needs it, `status` and `retry_after`. Instants are compared in milliseconds.
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import MAX_CONFIG_ROWS, Allowance, BreakerSettings, Ceiling, Registry, Source
 from tidemark.functions.instants import hold_ms, is_failure, millis, period_start
+from tidemark.operators.breaker import breaker_replay  # noqa: F401
 from tidemark.operators.skew import attach
 from tidemark.operators.trailing import RUN_CHUNK_MS, running, trailing
-from tidemark.session import cut_lineage
 
 # Why a request may be refused before it is sent.
 REFUSAL_REASONS = (
@@ -221,87 +218,3 @@ def refusal_report(outcomes: DataFrame) -> DataFrame:
     reasons = outcomes.sparkSession.createDataFrame([(r,) for r in REFUSAL_REASONS], "refusal string")
     counts = outcomes.where(F.col("refusal").isin(*REFUSAL_REASONS)).groupBy("refusal").agg(F.count("*").alias("n"))
     return reasons.join(counts, "refusal", "left").select("refusal", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-
-
-def _replay_slice(settings: BreakerSettings) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Run the breaker over one slice of one source, from the restart it enters with."""
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at_ms", "request_id"])
-        source, piece, start, end = (rows[c].iloc[0] for c in ("source_id", "slice", "start_ms", "end_ms"))
-        restart = rows["entry_ms"].iloc[0]
-        restart = None if pd.isna(restart) else int(restart)
-        window: deque[tuple[int, int]] = deque()
-        bad = 0
-        trips = []
-        for at, failed in zip(rows["at_ms"].tolist(), rows["failed"].tolist()):
-            if restart is not None and at < restart:
-                continue
-            window.append((at, failed))
-            bad += failed
-            while window[0][0] <= at - settings.window_ms:
-                bad -= window.popleft()[1]
-            enough = len(window) >= settings.minimum_outcomes
-            if at >= start and enough and bad / len(window) >= settings.failure_rate_threshold:
-                trips.append((at, at + settings.pause_ms, bad, len(window)))
-                restart, bad = at + settings.pause_ms, 0
-                window.clear()
-        # A restart that no later window can reach back to means nothing to the next slice.
-        leaving = restart if restart is not None and restart > end - settings.window_ms else None
-        out = [(source, piece, at, until, b, n, leaving) for at, until, b, n in trips]
-        out.append((source, piece, None, None, None, None, leaving))
-        return pd.DataFrame(out, columns=["source_id", "slice", "tripped_ms", "paused_until_ms", "failures", "outcomes", "exit_ms"])
-
-    return replay
-
-
-def breaker_replay(
-    outcomes: DataFrame, settings: BreakerSettings, slice_ms: int | None = None, failure: Column | None = None
-) -> DataFrame:
-    """The pauses a failure-rate breaker would have imposed, over a whole log.
-
-    A pause drops the outcomes that fall into it and the window restarts empty, so
-    each pause depends on the one before. Time is cut into slices per source and
-    all slices run at once, each entered with the restart its predecessor was last
-    seen to leave behind; slices whose entry changed run again until none does.
-    Slice i is final after at most i rounds, and mostly after two or three, since a
-    quiet stretch forgets the past. No task ever holds more than one slice.
-    """
-    width = slice_ms or max(4 * (settings.window_ms + settings.pause_ms), 3_600_000)
-    failed = is_failure(F.col("status")) if failure is None else failure
-    log = outcomes.select(
-        "source_id", "request_id", millis(F.col("at")).alias("at_ms"), failed.cast("int").alias("failed")
-    )
-    # A slice also sees the window before it, which its first outcomes look back on.
-    own = F.expr(f"(at_ms - pmod(at_ms, {width}L)) div {width}L")
-    last = F.expr(f"(at_ms + {settings.window_ms - 1}L - pmod(at_ms + {settings.window_ms - 1}L, {width}L)) div {width}L")
-    sliced = cut_lineage(
-        log.select("*", F.explode(F.sequence(own, last)).alias("slice")).select(
-            "*", (F.col("slice") * width).alias("start_ms"), (F.col("slice") * width + width).alias("end_ms")
-        )
-    )
-    schema = (
-        "source_id string, slice long, tripped_ms long, paused_until_ms long, failures long, outcomes long, exit_ms long"
-    )
-    pieces = sliced.select("source_id", "slice").distinct()
-    entries = pieces.withColumn("entry_ms", F.lit(None).cast("long"))
-    before = W.partitionBy("source_id").orderBy("slice")
-    todo = entries
-    done: DataFrame | None = None
-    while True:
-        ran = sliced.join(todo, ["source_id", "slice"]).groupBy("source_id", "slice").applyInPandas(
-            _replay_slice(settings), schema
-        )
-        if done is not None:
-            ran = ran.unionByName(done.join(todo.select("source_id", "slice"), ["source_id", "slice"], "left_anti"))
-        done = cut_lineage(ran)
-        exits = done.where("tripped_ms is null").select("source_id", "slice", "exit_ms")
-        # Slices exist only where there are outcomes; a restart lying beyond an empty stretch is still handed on.
-        expected = exits.select("source_id", "slice", F.lag("exit_ms").over(before).alias("entry_ms"))
-        known = entries.withColumnRenamed("entry_ms", "used_ms")
-        todo = cut_lineage(
-            expected.join(known, ["source_id", "slice"]).where("not (entry_ms <=> used_ms)").drop("used_ms")
-        )
-        if todo.isEmpty():
-            return done.where("tripped_ms is not null").drop("slice", "exit_ms")
-        entries = expected
