@@ -219,3 +219,31 @@ def test_rule_kinds_are_checked(spark):
         assert len(rows) == 1
     finally:
         RULE_KINDS.pop("same")
+
+
+def test_the_earliest_other_code_is_named(spark):
+    day = NOW - 10 * DAY_MS
+    codes = ["USD", "USD", "ZAR", "AUD", "CHF", "USD"]
+    points = [("a", day + i * DAY_MS, 10_000, code) for i, code in enumerate(codes)] + [("a", NOW, 1, "USD"), ("a", NOW, 1, "ZAR"), ("a", NOW, 1, "x")]
+    for hot_rows in (10**6, 1):
+        rows = window_low(history(spark, points), [RULE], hot_rows=hot_rows).where(F.col("at_ms") == NOW).orderBy("obs_id").collect()
+        assert [r.mismatch_currency for r in rows] == ["ZAR", "USD", "USD"]
+        # Two of one instant go by their id, and the window ends before its own instant.
+        tied = [("a", day, 1, "USD"), ("a", day + 1, 2, "EUR"), ("a", day + 1, 2, "CAD"), ("a", NOW, 1, "USD"), ("a", NOW, 1, "GBP")]
+        rows = window_low(history(spark, tied), [RULE], hot_rows=hot_rows).where(F.col("at_ms") == NOW).orderBy("obs_id").collect()
+        assert [r.mismatch_currency for r in rows] == ["EUR", "USD"]
+
+
+def test_one_long_listing_is_cut_by_time_and_short_ones_are_not(spark):
+    points = [("long", NOW - i * 3_600_001, 1000 + i * 37 % 101) for i in range(400)] + flat("short", 5, 2_000, NOW)
+    whole = window_low(history(spark, points), [RULE], hot_rows=10**6).collect()
+    cut = window_low(history(spark, points), [RULE], hot_rows=50)
+    assert sorted(map(str, whole)) == sorted(map(str, cut.collect()))
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "_chunk" in plan and plan != window_low(history(spark, points), [RULE], hot_rows=10**6)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_without_a_listing_have_no_history(spark):
+    points = [(None, NOW - i * DAY_MS, 5) for i in range(4)] + flat("a", 4, 10_000, NOW)
+    rows = window_low(history(spark, points), [RULE]).where("listing_id is null").collect()
+    assert [(r.status, r.window_count) for r in rows] == [("empty-window", 0)] * 4

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import Rule
@@ -21,64 +24,34 @@ from tidemark.session import cut_lineage
 LISTING = ("listing_id",)
 
 
-# A price and its instant as one number that orders by both: 16 digits of time.
-_TIME_DIGITS = 10**16
-_TIME_SHIFT = 10**15
+#: A listing with more observations than this is cut into chunks of time.
+FRAME_ROWS = 2_000
 
 
-def _price_at() -> Column:
-    price = F.col("amount_minor_units").cast("decimal(19,0)") * F.lit(_TIME_DIGITS).cast("decimal(17,0)")
-    return (price + (F.col("at_ms") + _TIME_SHIFT).cast("decimal(16,0)")).cast("decimal(38,0)")
-
-
-def _code_number(code: Column) -> Column:
-    """A three-letter code as an integer; anything else, which the guard of the history keeps out, counts as `???`."""
-    code = F.when(code.rlike(CURRENCY_SHAPE), code).otherwise(F.lit("???"))
-    letters = [F.ascii(F.substring(code, place, 1)) for place in (1, 2, 3)]
-    return (letters[0] * 256 + letters[1]) * 256 + letters[2]
-
-
-def _code_text(number: Column) -> Column:
-    return F.concat(*[F.char(F.shiftright(number, bits) % 256) for bits in (16, 8, 0)])
-
-
-def _window_measures() -> dict[str, tuple[str, Column]]:
-    """What a window has to tell a rule. All of it merges across partial windows.
+def _window_low_verdict(rule: Rule) -> Column:
+    """The ordered refusals of one rule over the price columns and the window columns.
 
-    Fixed-width numbers only, so every merge is a hash aggregate.
+    A window tells `n`, its observations, `low` and `low_ms`, its lowest price and when that was first seen, and `other`,
+    the earliest code that isn't the observation's own.
     """
-    return {
-        "n": ("sum", F.lit(1).cast("long")),
-        "low": ("min", F.col("amount_minor_units")),
-        "low_at": ("min", _price_at()),
-        "cur_lo": ("min", F.col("code")),
-        "cur_hi": ("max", F.col("code")),
-    }
-
-
-def _window_low_verdict(rule: Rule) -> Column:
-    """The ordered refusals of one rule over the price columns and the window columns."""
     count = F.coalesce(F.col("n"), F.lit(0).cast("long"))
-    mismatch = (F.col("cur_lo") != F.col("code")) | (F.col("cur_hi") != F.col("code"))
-    other = F.when(F.col("cur_lo") != F.col("code"), F.col("cur_lo")).otherwise(F.col("cur_hi"))
     # Compared as decimals: an amount next to the 64-bit limit must not overflow.
     reached = F.col("amount_minor_units").cast("decimal(20,0)") + rule.improvement_minor_units <= F.col("low")
     status = (
         F.when(count == 0, F.lit("empty-window"))
-        .when(mismatch, F.lit("currency-mismatch"))
+        .when(F.col("other").isNotNull(), F.lit("currency-mismatch"))
         .when(count < rule.minimum_observations, F.lit("insufficient-history"))
         .when(reached, F.lit("fired"))
         .otherwise(F.lit("not-lower"))
     )
     judged = status.isin("fired", "not-lower")
-    low_at = F.col("low_at") - F.col("low").cast("decimal(19,0)") * F.lit(_TIME_DIGITS).cast("decimal(17,0)")
     return F.struct(
         F.lit(rule.rule_id).alias("rule_id"),
         status.alias("status"),
         count.alias("window_count"),
         F.when(judged, F.col("low")).alias("reference_amount"),
-        F.when(judged, low_at.cast("long") - _TIME_SHIFT).alias("reference_at_ms"),
-        F.when(status == "currency-mismatch", _code_text(other)).alias("mismatch_currency"),
+        F.when(judged, F.col("low_ms")).alias("reference_at_ms"),
+        F.when(status == "currency-mismatch", F.col("other")).alias("mismatch_currency"),
     )
 
 
@@ -91,20 +64,28 @@ def register_rule_kind(kind: str, verdict: Callable[[Rule], Column]) -> None:
     RULE_KINDS[kind] = verdict
 
 
-def _verdicts(rules: Sequence[Rule]) -> Column:
+def _judged(rows: DataFrame, kept: Sequence[str], rules: Sequence[Rule]) -> DataFrame:
+    """A verdict per row and rule; `windows` of a row holds what each width tells."""
     unknown = sorted({rule.kind for rule in rules} - set(RULE_KINDS))
     if unknown:
         raise ValueError(f"unknown rule kinds: {unknown}")
-    return F.explode(F.array(*[RULE_KINDS[rule.kind](rule) for rule in rules]))
+    told = rows.select(*kept, F.explode("windows").alias("w")).select(*kept, "w.*")
+    each = F.array_compact(F.array(*[F.when(F.col("width") == rule.window_ms, RULE_KINDS[rule.kind](rule)) for rule in rules]))
+    return told.select(*kept, F.explode(each).alias("v")).select(*kept, "v.*")
 
 
-def _by_window(rules: Sequence[Rule]) -> dict[int, list[Rule]]:
+def _widths(rules: Sequence[Rule]) -> list[int]:
     if not rules:
         raise ValueError("at least one rule is needed")
-    groups: dict[int, list[Rule]] = {}
-    for rule in rules:
-        groups.setdefault(rule.window_ms, []).append(rule)
-    return groups
+    return sorted({rule.window_ms for rule in rules})
+
+
+def _window(width: int, n: Column, low: Column, other: Column) -> Column:
+    """One width's part of `windows`; `low` is a price with its instant."""
+    return F.struct(
+        F.lit(width).cast("long").alias("width"), n.cast("long").alias("n"), low["amount_minor_units"].alias("low"), low["at_ms"].alias("low_ms"),
+        other.alias("other"),
+    )
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -120,7 +101,71 @@ def prices(observations: DataFrame, *extra: str) -> DataFrame:
 
 
 def _coded(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("code", _code_number(F.col("currency")))
+    """Codes as they are compared; anything but three capitals, which the guard of the history keeps out, is `???`."""
+    return rows.withColumn("code", F.when(F.col("currency").rlike(CURRENCY_SHAPE), F.col("currency")).otherwise(F.lit("???")))
+
+
+def _framed(rows: DataFrame, keys: Sequence[str], widths: Sequence[int]) -> DataFrame:
+    """`windows` of the rows that ask, by plain frames over whole listings: one shuffle whatever the number of widths.
+
+    Rows hold `counts` (part of the history) and `asks`. Only for listings of few rows, since a frame is added up anew
+    for each of them. A listing is one chunk; rows without a listing or an instant have no history and are spread.
+    """
+    placed = reduce(and_, [F.col(k).isNotNull() for k in (*keys, "at_ms")])
+    rows = rows.withColumn("_chunk", F.when(~placed, F.xxhash64("obs_id", "amount_minor_units", "currency")))
+    listing = W.partitionBy(*keys, "_chunk")
+    to_end = listing.orderBy(F.desc("at_ms"), F.desc("obs_id")).rowsBetween(W.unboundedPreceding, -1)
+    in_order = listing.orderBy("at_ms", "obs_id").rowsBetween(W.unboundedPreceding, -1)
+    # The earliest code other than one's own is the first of the window or the first that differs from that one.
+    before = F.last(F.when(F.col("counts"), F.col("code")), ignorenulls=True).over(in_order)
+    rows = rows.withColumn("change", F.when(F.col("counts") & (before != F.col("code")), F.struct("at_ms", "code")))
+    rows = rows.withColumn("next", F.last("change", ignorenulls=True).over(to_end))
+    counted = lambda *c: F.when(F.col("counts") & placed, F.struct(*c))
+    rows = rows.withColumns({"_price": counted("amount_minor_units", "at_ms"), "_point": counted("at_ms", "obs_id", "code", "next")})
+    cells = {}
+    for width in widths:
+        frame = listing.orderBy("at_ms").rangeBetween(1 - width, -1)
+        cells |= {f"n{width}": F.count("_point").over(frame), f"low{width}": F.min("_price").over(frame), f"first{width}": F.min("_point").over(frame)}
+    rows = rows.withColumns(cells).where("asks")
+
+    def other(first: Column) -> Column:
+        after = F.when(first["next"]["at_ms"] < F.col("at_ms"), first["next"]["code"])
+        return F.when(first["code"] != F.col("code"), first["code"]).otherwise(after)
+
+    windows = F.array(*[_window(w, F.col(f"n{w}"), F.col(f"low{w}"), other(F.col(f"first{w}"))) for w in widths])
+    return rows.withColumn("windows", windows)
+
+
+def _chunked(history: DataFrame, rows: DataFrame, keys: Sequence[str], widths: Sequence[int], probes: bool, hot_rows: int) -> DataFrame:
+    """`windows` of rows of long listings, from chunks of time.
+
+    The more rows the longest listing has, the shorter the chunks: about as many to a window as each holds points. The
+    earliest other code is the least over the places in which two codes' numbers differ, so it merges like any minimum.
+    """
+    longest = history.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    codes = [r.code for r in history.select("code").unionByName(rows.select("code")).distinct().sort("code").collect()]  # three letters each
+    bits = range((max(1, len(codes)) - 1).bit_length())
+    number = F.array_position(F.lit(codes), F.col("code")) - 1 if codes else F.lit(0)
+    bit = lambda b: F.shiftright(number, b) % 2
+    point = F.struct("at_ms", "obs_id", "code")
+    measures = {"n": ("sum", F.lit(1).cast("long")), "low": ("min", F.struct("amount_minor_units", "at_ms"))}
+    measures |= {f"b{b}{v}": ("min", F.when(bit(b) == v, point)) for b in bits for v in (0, 1)}
+    on = [*keys, "at_ms"]
+    seen = rows
+    for width in widths:
+        window = trailing(
+            history, keys, "at_ms", width, measures, rows if probes else None, shortest_chunk_ms=1, most_chunks=max(64, math.isqrt(longest))
+        )
+        window = window.select(*on, F.struct(*measures).alias(f"w{width}"))
+        seen = attach(seen, window, on, keys, hot_rows)
+
+    def told(width: int) -> Column:
+        cells = F.col(f"w{width}")
+        points = [F.when(bit(b) == 0, cells[f"b{b}1"]).otherwise(cells[f"b{b}0"]) for b in bits]
+        least = F.least(*points) if len(points) > 1 else points[0] if points else F.lit(None).cast("struct<code:string>")
+        return _window(width, cells["n"], cells["low"], least["code"])
+
+    return seen.withColumn("windows", F.array(*[told(width) for width in widths]))
 
 
 def window_low(
@@ -128,28 +173,32 @@ def window_low(
     rules: Sequence[Rule],
     history_keys: Sequence[str] = LISTING,
     only: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = FRAME_ROWS,
 ) -> DataFrame:
     """A verdict for every observation and rule over the observation's own trailing window.
 
-    `only` names the observations to judge, where they are few against the
-    history `observations`; history is then read at their instants alone.
+    `only` names the observations to judge, where they are few against the history `observations`; only their listings
+    are then looked at. Listings of more than `hot_rows` observations are cut by time, all others are a plain frame each.
     """
+    keys, widths = list(history_keys), _widths(rules)
     history = _coded(prices(observations))
-    rows = history if only is None else _coded(prices(only))
-    kept = [name for name in rows.columns if name != "code"]
-    judged = []
-    for width, group in _by_window(rules).items():
-        window = trailing(
-            history, history_keys, "at_ms", width, _window_measures(), probes=None if only is None else rows
-        )
-        on = [*history_keys, "at_ms"]
-        if only is None:
-            seen = attach(rows, window.select(*on, *_window_measures()), on, history_keys, hot_rows)
-        else:
-            seen = rows.join(window, on, "left")
-        judged.append(seen.select(*kept, _verdicts(group).alias("v")).select(*kept, "v.*"))
-    return _union(judged)
+    kept = [name for name in history.columns if name != "code"]
+    rows = history
+    if only is not None:
+        rows = _coded(prices(only))
+        history = history.join(rows.select(*keys).distinct(), keys, "left_semi").select(*history.columns)
+
+    def flagged(history: DataFrame, rows: DataFrame) -> DataFrame:
+        counting = history.withColumns({"counts": F.lit(True), "asks": F.lit(only is None)})
+        return counting if only is None else counting.unionByName(rows.withColumns({"counts": F.lit(False), "asks": F.lit(True)}))
+
+    long = cut_lineage(history.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*keys))
+    if long.isEmpty():
+        return _judged(_framed(flagged(history, rows), keys, widths), kept, rules)
+    cold = _framed(flagged(history.join(long, keys, "left_anti"), rows.join(long, keys, "left_anti")), keys, widths)
+    hot = [df.join(long, keys, "left_semi") for df in (history, rows)]
+    cut = _chunked(*hot, keys, widths, only is not None, HOT_ROWS if hot_rows == FRAME_ROWS else hot_rows)
+    return _judged(cold.select(*kept, "windows").unionByName(cut.select(*kept, "windows")), kept, rules)
 
 
 def fired(verdicts: DataFrame) -> DataFrame:
@@ -209,12 +258,20 @@ def evaluate_alerts(
     last = latest(recent, as_of_ms, widest, history_keys)
     if "source_id" not in history_keys:
         last = last.drop("source_id")
-    judged = []
-    for width, group in _by_window(rules).items():
-        window = trailing(_coded(prices(recent)), history_keys, "at_ms", width, _window_measures(), probes=last)
-        seen = _coded(last).join(window, [*history_keys, "at_ms"], "left")
-        judged.append(seen.select(*last.columns, _verdicts(group).alias("v")).select(*last.columns, "v.*"))
-    verdicts = _union(judged)
+    # One listing has one instant to judge, so all its windows are conditional measures of one grouping.
+    asked = _coded(last).select(*history_keys, F.struct(*last.columns, "code").alias("o"))
+    points = _coded(prices(recent)).select(*history_keys, F.struct("at_ms", "amount_minor_units", "obs_id", "code").alias("p"))
+    pairs = asked.join(points, list(history_keys), "left")
+    cells = {}
+    for width in _widths(rules):
+        inside = (F.col("p.at_ms") < F.col("o.at_ms")) & (F.col("p.at_ms") > F.col("o.at_ms") - width)
+        foreign = inside & (F.col("p.code") != F.col("o.code"))
+        cells[f"n{width}"] = F.count_if(inside)
+        cells[f"low{width}"] = F.min(F.when(inside, F.struct("p.amount_minor_units", "p.at_ms")))
+        cells[f"other{width}"] = F.min(F.when(foreign, F.struct("p.at_ms", "p.obs_id", "p.code")))["code"]
+    seen = pairs.groupBy(*history_keys).agg(F.any_value("o").alias("o"), *[c.alias(name) for name, c in cells.items()])
+    windows = F.array(*[_window(w, F.col(f"n{w}"), F.col(f"low{w}"), F.col(f"other{w}")) for w in _widths(rules)])
+    verdicts = _judged(seen.select("o.*", windows.alias("windows")), last.columns, rules)
 
     # A listing without an observation is one skipped row, whatever the rules.
     rows = listed.join(verdicts, list(history_keys), "left").join(

@@ -38,9 +38,9 @@ Measure = tuple[str, Column]
 _COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def _chunks(width: int, shortest: int) -> int:
+def _chunks(width: int, shortest: int, most: int) -> int:
     """Into how many equal chunks a window is cut; a short window is one chunk."""
-    return max(n for n in range(1, CHUNKS_PER_WINDOW + 1) if n == 1 or (width % n == 0 and width // n >= shortest))
+    return max(n for n in range(1, most + 1) if n == 1 or (width % n == 0 and width // n >= shortest))
 
 
 def _chunk_of(at: str, chunk_ms: int) -> Column:
@@ -84,6 +84,7 @@ def trailing(
     measures: Mapping[str, Measure],
     probes: DataFrame | None = None,
     shortest_chunk_ms: int = RUN_CHUNK_MS,
+    most_chunks: int = CHUNKS_PER_WINDOW,
 ) -> DataFrame:
     """Aggregates over `at - width < t < at`, open at both ends, per (key, instant).
 
@@ -92,7 +93,7 @@ def trailing(
     to the instants of `df` itself; a measure of an empty window is null. With the
     default probes, `own_<name>` holds the aggregate at the instant itself.
     """
-    parts = _chunks(width_ms, shortest_chunk_ms)
+    parts = _chunks(width_ms, shortest_chunk_ms, most_chunks)
     chunk_ms = width_ms // parts
     names = list(measures)
     points = _points(df, keys, at, chunk_ms, measures)

@@ -18,7 +18,7 @@ obs AS (
          'src-' || (l_suppkey % 5) AS source_id,
          CAST(l_partkey AS VARCHAR) AS listing_id,
          CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) // CAST(l_quantity AS BIGINT) AS amount,
-         CASE WHEN l_orderkey % 97 = 0 THEN 'CAD' ELSE 'USD' END AS currency,
+         CASE WHEN l_orderkey % 97 = 0 THEN 'CAD' WHEN l_orderkey % 89 = 0 THEN 'EUR' ELSE 'USD' END AS currency,
          epoch_ms(l_shipdate) AS at_ms,
          CASE WHEN l_linenumber % 2 = 0 THEN epoch_ms(l_shipdate) - 5400000 END AS vendor_ms,
          CASE l_linenumber % 3 WHEN 1 THEN 24 WHEN 2 THEN 72 END AS hours,
@@ -73,18 +73,18 @@ def judged(rule: Rule, n: int, rows: str = "obs", keys: tuple[str, ...] = ("list
     return f"""
 w{n} AS (
   SELECT {", ".join("p." + k for k in keys)}, p.at_ms, count(*) AS n, min(h.amount::HUGEINT * 10000000000000 + h.at_ms) AS low,
-         min(h.currency) AS lo, max(h.currency) AS hi
-  FROM (SELECT DISTINCT {key}, at_ms FROM {rows}) p JOIN obs h ON {join}
+         (min(struct_pack(t := h.at_ms, i := h.obs_id, c := h.currency)) FILTER (h.currency <> p.currency)).c AS other, p.currency
+  FROM (SELECT DISTINCT {key}, at_ms, currency FROM {rows}) p JOIN obs h ON {join}
    AND h.at_ms > p.at_ms - {rule.window_ms} AND h.at_ms < p.at_ms
   GROUP BY ALL),
 s{n} AS (
   SELECT o.*, '{rule.rule_id}' AS rule_id, coalesce(w.n, 0) AS window_count,
          CAST(w.low // 10000000000000 AS BIGINT) AS low_amount, CAST(w.low % 10000000000000 AS BIGINT) AS low_ms,
-         CASE WHEN w.lo <> o.currency THEN w.lo ELSE w.hi END AS other,
-         CASE WHEN w.n IS NULL THEN 'empty-window' WHEN w.lo <> o.currency OR w.hi <> o.currency THEN 'currency-mismatch'
+         w.other,
+         CASE WHEN w.n IS NULL THEN 'empty-window' WHEN w.other IS NOT NULL THEN 'currency-mismatch'
               WHEN w.n < {rule.minimum_observations} THEN 'insufficient-history'
               WHEN o.amount + {rule.improvement_minor_units} <= w.low // 10000000000000 THEN 'fired' ELSE 'not-lower' END AS status
-  FROM {rows} o LEFT JOIN w{n} w ON {back} AND w.at_ms = o.at_ms),
+  FROM {rows} o LEFT JOIN w{n} w ON {back} AND w.at_ms = o.at_ms AND w.currency = o.currency),
 v{n} AS (
   SELECT *, CASE WHEN status IN ('fired', 'not-lower') THEN low_amount END AS reference_amount,
          CASE WHEN status IN ('fired', 'not-lower') THEN low_ms END AS reference_at_ms,

@@ -119,7 +119,7 @@ def observations_of(lineitem: DataFrame) -> DataFrame:
         "cast(l_partkey AS string) AS listing_id",
         "cast(null AS string) AS store_id",
         "cast(cast(l_extendedprice AS decimal(18,2)) * 100 AS bigint) div cast(l_quantity AS bigint) AS amount_minor_units",
-        "CASE WHEN l_orderkey % 97 = 0 THEN 'CAD' ELSE 'USD' END AS currency",
+        "CASE WHEN l_orderkey % 97 = 0 THEN 'CAD' WHEN l_orderkey % 89 = 0 THEN 'EUR' ELSE 'USD' END AS currency",
         "cast(l_shipdate AS timestamp) AS observed_at",
         "'America/New_York' AS source_time_zone",
         "CASE WHEN l_linenumber % 2 = 0 THEN cast(l_shipdate AS timestamp) - INTERVAL 90 MINUTE END AS vendor_price_updated_at",
