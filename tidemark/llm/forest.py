@@ -347,6 +347,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each component, the one that names it; all columns stay."""
+    """`docs` with one document of each component, the one that names it; all columns stay, and so do its repeated rows."""
     gone = _grouped(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     return without(own_columns(docs, "_key", "_key_of_row", "_id"), gone, F.xxhash64(F.coalesce("text", F.lit(""))))
