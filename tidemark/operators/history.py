@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import HOUR_MS, Registry
 from tidemark.functions.instants import millis
 from tidemark.functions.text import RAW_CONTEXT_STORED, bound_text, is_blank
+from tidemark.session import cut_lineage
 
 CURRENCY_SHAPE = r"\A[A-Z]{3}\z"
 
@@ -123,14 +124,44 @@ def snapshot(observations: DataFrame) -> DataFrame:
     )
 
 
+def schema_diff(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Columns that one history lacks or holds as another type; one row each, empty when the schemas agree."""
+    types = [{f.name: f.dataType.simpleString() for f in side.schema.fields} for side in (left, right)]
+    names = sorted(set(types[0]) | set(types[1]))
+    rows = [(n, types[0].get(n), types[1].get(n)) for n in names if types[0].get(n) != types[1].get(n)]
+    return left.sparkSession.createDataFrame(rows, "column string, left_type string, right_type string")
+
+
+def _day_of(history: DataFrame) -> list[Column]:
+    """What a history is compared by first: source and UTC day, as far as it has them."""
+    known = {"source_id": F.col("source_id"), "observed_at": F.floor(millis(F.col("observed_at")) / (24 * HOUR_MS))}
+    return [known[name].alias(f"_part{i}") for i, name in enumerate(known) if name in history.columns]
+
+
 def history_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that one history holds more often than the other; empty when they agree.
 
-    One count per distinct row settles both directions, and equal copies are merged
-    before the shuffle.
+    A column that only one side has counts as null on the other; `schema_diff` names it. Days of a source are compared
+    by digest first: the number of rows and two sums of independent 64-bit hashes, combined before they move. Only rows
+    of days whose digests differ are shuffled, and one count per distinct row settles both directions.
     """
-    names = left.columns
-    both = snapshot(left).withColumn("_n", F.lit(1)).unionByName(snapshot(right.select(*names)).withColumn("_n", F.lit(-1)))
+    names = [*left.columns, *[c for c in right.columns if c not in left.columns]]
+    # A day can only be read off where both sides have it.
+    parted = [c for c in ("source_id", "observed_at") if c in left.columns and c in right.columns]
+    sides = []
+    for side in (left, right):
+        parts = _day_of(side.select(*parted)) if parted else []
+        whole = side.select("*", *parts).withColumns({c: F.lit(None).cast("string") for c in names if c not in side.columns})
+        sides.append(snapshot(whole.select(*names, *[f"_part{i}" for i in range(len(parts))])))
+    parts = [c for c in sides[0].columns if c.startswith("_part")]
+    row = [F.coalesce(F.col(n), F.lit("\u0000")) for n in names]
+    both = sides[0].withColumn("_n", F.lit(1)).unionByName(sides[1].withColumn("_n", F.lit(-1)))
+    hashed = lambda seed: F.sum(F.col("_n") * F.xxhash64(F.lit(seed), *row).cast("decimal(20,0)"))
+    digests = both.groupBy(*parts).agg(F.sum("_n").alias("rows"), hashed(1).alias("first"), hashed(2).alias("second"))
+    differ = cut_lineage(digests.where("rows <> 0 or first <> 0 or second <> 0").select(*[F.col(c).alias(f"{c}d") for c in parts], F.lit(True).alias("_differs")))
+    if parts:
+        same = [F.col(c).eqNullSafe(F.col(f"{c}d")) for c in parts]
+        both = both.join(differ, same, "left_semi")
     surplus = both.groupBy(*names).agg(F.sum("_n").alias("_n")).where("_n <> 0")
     return surplus.select(
         *names,

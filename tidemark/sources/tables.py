@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.operators.history import history_diff, retention_expired, sweep_retention
 from tidemark.operators.rules import between
-from tidemark.session import cut_lineage
+from tidemark.sources import sweeps
 
 HISTORY_PARTITIONS = ("source_id", "observed_date")
 
@@ -19,7 +19,7 @@ def read_observations(spark: SparkSession, path: str, after_ms: int | None = Non
     Given both ends, date partitions outside them are not listed and the instants
     are pushed to the scan.
     """
-    rows = spark.read.schema(schemas.OBSERVATIONS).parquet(path)
+    rows = sweeps.current(spark, path, schemas.OBSERVATIONS)
     if after_ms is None or until_ms is None:
         return rows
     return between(rows, after_ms, until_ms)
@@ -42,27 +42,17 @@ def append_refused(refused: DataFrame, path: str) -> None:
 
 
 def sweep_history(spark: SparkSession, path: str, as_of_ms: int) -> int:
-    """Null expired raw content in place; returns how many rows were cleared.
+    """Null expired raw content; returns how many rows were cleared.
 
-    Only the partitions that hold expired rows are rewritten. Their new content is
-    checkpointed first, so nothing reads what it overwrites and a lost executor
-    costs a recomputation from the checkpoint.
+    Only files that hold expired rows are replaced, by a commit that later readers go by; rows that are appended
+    meanwhile, to the same day or another, stay. A sweep that meets another one's commit starts again.
     """
-    rows = read_observations(spark, path)
-    touched = rows.where(retention_expired(as_of_ms)).groupBy(*HISTORY_PARTITIONS).agg(F.count("*").alias("n"))
-    touched = cut_lineage(touched)
-    cleared = touched.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if cleared:
-        affected = rows.join(touched.drop("n"), list(HISTORY_PARTITIONS), "left_semi")
-        swept = cut_lineage(sweep_retention(affected, as_of_ms))
-        (
-            swept.hint("rebalance", *HISTORY_PARTITIONS)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*HISTORY_PARTITIONS)
-            .parquet(path)
-        )
-    return cleared
+    while True:
+        sweep = sweeps.begin(spark, path, schemas.OBSERVATIONS, retention_expired(as_of_ms), lambda rows: sweep_retention(rows, as_of_ms))
+        if sweep is None:
+            return 0
+        if sweep.publish():
+            return sweep.rows
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -100,5 +90,5 @@ def write_snapshot(observations: DataFrame, path: str) -> None:
 
 
 def compare_with_snapshot(observations: DataFrame, path: str) -> DataFrame:
-    """Rows in which a history and a snapshot of it differ."""
-    return history_diff(observations, observations.sparkSession.read.parquet(path).select(*observations.columns))
+    """Rows in which a history and a snapshot of it differ; columns that only one of them has count as null."""
+    return history_diff(observations, observations.sparkSession.read.parquet(path))

@@ -1,26 +1,35 @@
 """Streams with keyed state: cooldowns and the failure-rate breaker.
 
 State lives in the checkpoint and survives a restart. What is held per key is
-small by definition: one instant for a cooldown, the outcomes of one window for a
-breaker. A key's rows of one micro-batch are processed in time order, so the
+small by definition: one instant for a cooldown, the outcomes of one window, by
+bucket of time, for a breaker. A key's rows of one micro-batch are processed in time order, so the
 trigger bounds what a task holds.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
+from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.config import BreakerSettings, Rule
+from tidemark.config import DAY_MS, BreakerSettings, Rule
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _INSTANT = T.StructType().add("at_ms", T.LongType())
-_OUTCOME = T.StructType().add("at_ms", T.LongType()).add("failed", T.IntegerType())
+_BUCKET = T.StructType().add("bucket", T.LongType())
+_OUTCOMES = T.StructType().add("at_ms", T.BinaryType()).add("failed", T.BinaryType())
+_SUMS = (
+    T.StructType().add("newest_ms", T.LongType()).add("oldest", T.LongType()).add("n", T.LongType()).add("bad", T.LongType())
+    .add("until_ms", T.LongType())
+)
 
 KEPT = (
     T.StructType().add("source_id", T.StringType()).add("listing_id", T.StringType()).add("rule_id", T.StringType())
@@ -62,35 +71,83 @@ class Cooldown(StatefulProcessor):
 
 
 class BreakerState(StatefulProcessor):
-    """Pauses a source when enough outcomes of its window failed; the pause drops what falls into it."""
+    """Pauses a source when enough outcomes of its window failed; the pause drops what falls into it.
+
+    Time is cut into buckets of a 64th of the window. State is a map from bucket to the outcomes in it, and the sums over
+    the whole window; an arriving outcome touches its own bucket and those that leave the window, whatever the window
+    holds. An outcome that comes late counts if the window of the newest one still reaches back to it, and is judged at
+    the newest instant; one that is older, or lies in a pause, is dropped. A source that stays silent is forgotten by a
+    timer.
+    """
 
-    def __init__(self, settings: BreakerSettings) -> None:
-        self.settings = settings
+    def __init__(self, settings: BreakerSettings, idle_ms: int) -> None:
+        self.settings, self.idle_ms = settings, idle_ms
+        self.width = max(1, settings.window_ms // 64)
+        share = Fraction(Decimal(str(settings.failure_rate_threshold)))
+        self.num, self.den = share.numerator, share.denominator
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getListState("window", _OUTCOME)
-        self.until = handle.getValueState("paused_until", _INSTANT)
+        self.handle = handle
+        self.buckets = handle.getMapState("buckets", _BUCKET, _OUTCOMES)
+        self.sums = handle.getValueState("sums", _SUMS)
+
+    def _load(self, bucket: int, held: dict[int, list[list[int]]]) -> list[list[int]]:
+        """The instants and failures of a bucket, in order."""
+        if bucket not in held:
+            cells = self.buckets.getValue((bucket,)) if self.buckets.containsKey((bucket,)) else None
+            held[bucket] = [list(np.frombuffer(c, np.int64)) for c in cells] if cells else [[], []]
+        return held[bucket]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         outcomes = _in_order(rows, ("at_ms", "request_id"))
-        window = [tuple(entry) for entry in self.window.get()] if self.window.exists() else []
-        until = self.until.get()[0] if self.until.exists() else None
+        newest, oldest, n, bad, until = self.sums.get() if self.sums.exists() else (None, 0, 0, 0, None)
+        held: dict[int, list[list[int]]] = {}
         trips = []
-        for at, failed in zip(outcomes["at_ms"].tolist(), outcomes["failed"].tolist()):
+        for at, failed in zip(outcomes["at_ms"].tolist(), outcomes["failed"].tolist(), strict=True):
             if until is not None and at < until:
                 continue
-            window = [entry for entry in window if entry[0] > at - self.settings.window_ms] + [(at, int(failed))]
-            bad = sum(entry[1] for entry in window)
-            if len(window) >= self.settings.minimum_outcomes and bad / len(window) >= self.settings.failure_rate_threshold:
-                until = at + self.settings.pause_ms
-                trips.append((key[0], at, until, bad, len(window)))
-                window = []
-        self.window.put(window) if window else self.window.clear()
-        if until is not None:
-            self.until.update((until,))
+            newest = at if newest is None or n == 0 else max(newest, at)
+            start = newest - self.settings.window_ms
+            if at <= start:
+                continue
+            bucket = at // self.width
+            oldest = bucket if n == 0 else min(oldest, bucket)
+            instants, failures = self._load(bucket, held)
+            place = bisect_right(instants, at)
+            instants.insert(place, at), failures.insert(place, int(failed))
+            n, bad = n + 1, bad + int(failed)
+            while oldest <= start // self.width:
+                instants, failures = self._load(oldest, held)
+                gone = bisect_right(instants, start)
+                n, bad = n - gone, bad - sum(failures[:gone])
+                del instants[:gone], failures[:gone]
+                if instants:
+                    break
+                oldest += 1
+            if n >= self.settings.minimum_outcomes and bad * self.den >= self.num * n:
+                until = newest + self.settings.pause_ms
+                trips.append((key[0], newest, until, bad, n))
+                for gone in range(oldest, newest // self.width + 1):
+                    held[gone] = [[], []]
+                n = bad = 0
+        for bucket, cells in held.items():
+            if cells[0]:
+                self.buckets.updateValue((bucket,), tuple(np.array(c, np.int64).tobytes() for c in cells))
+            elif self.buckets.containsKey((bucket,)):
+                self.buckets.removeKey((bucket,))
+        if newest is not None or until is not None:
+            self.sums.update((newest, oldest, n, bad, until))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         if trips:
             yield pd.DataFrame(trips, columns=PAUSES.names)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.buckets.clear()
+        self.sums.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -106,9 +163,12 @@ def stream_cooldowns(firings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
-def stream_breaker(outcomes: DataFrame, settings: BreakerSettings) -> DataFrame:
-    """Pauses per source, for a stream of `source_id, request_id, at_ms, failed`."""
+def stream_breaker(outcomes: DataFrame, settings: BreakerSettings, idle_ms: int = 7 * DAY_MS) -> DataFrame:
+    """Pauses per source, for a stream of `source_id, request_id, at_ms, failed`.
+
+    `idle_ms` of processing time without an outcome end what is remembered of a source.
+    """
     outcomes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return outcomes.select("source_id", "request_id", "at_ms", "failed").groupBy("source_id").transformWithStateInPandas(
-        statefulProcessor=BreakerState(settings), outputStructType=PAUSES, outputMode="Append", timeMode="None"
+        statefulProcessor=BreakerState(settings, idle_ms), outputStructType=PAUSES, outputMode="Append", timeMode="ProcessingTime"
     )
