@@ -133,3 +133,21 @@ def test_a_request_without_a_status_is_a_failure_of_the_breaker_query(spark, mon
     monkeypatch.setattr(views, "requests_of", lambda events: requests_of(events).withColumn("status", F.expr("CASE WHEN status < 400 THEN status END")))
     unanswered = _rows(queries.QUERIES["stream_breaker"](spark, "/root/testdata/sf0.01"), "source_id", "tripped_ms", "failures", "outcomes")
     assert answered and unanswered == answered
+
+
+def test_breaker_batches_out_of_order(spark, tmp_path):
+    settings = BreakerSettings(600_000, 4, 0.5, 1_200_000)
+    # The second batch brings outcomes from before the first one's newest: some within its window, some not.
+    first = [("s", 10 + i, 3_000_000 + i * 100_000, i % 2) for i in range(3)]
+    second = [("s", 1, 1_000_000, 1), ("s", 2, 2_900_000, 1), ("s", 3, 2_950_000, 0), ("t", 4, 5, 0)]
+    third = [("s", 30, 3_300_000, 1), ("s", 31, 6_000_000, 1), *[("s", 32 + i, 9_000_000 + i, 1) for i in range(4)]]
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "source_id string, request_id long, at_ms long, failed int"
+    for part in (first, second, third):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        pauses = stream_breaker(_stream(spark, source, spark.createDataFrame([], schema).schema), settings)
+        _drain(pauses.writeStream.format("parquet").option("path", out), checkpoint)
+    # 1,000,000 is out of the window; 2,900,000 makes four of which two failed, judged at the newest instant. What falls
+    # into the pause is dropped, and the window starts empty behind it.
+    got = _rows(spark.read.parquet(out), "source_id", "tripped_ms", "paused_until_ms", "failures", "outcomes")
+    assert got == [("s", 3_200_000, 4_400_000, 2, 4), ("s", 9_000_003, 10_200_003, 4, 4)]

@@ -47,7 +47,7 @@ req AS (
   SELECT event_id AS request_id, 'src-' || (user_id % 7) AS source_id, 'h' || (user_id % 11) || '.example' AS host,
          epoch_us(ts) // 1000 AS at_ms,
          CASE WHEN event_type <> 'error' THEN 200 WHEN event_id % 5 = 0 THEN 403 WHEN event_id % 5 = 1 THEN 429
-              WHEN event_id % 5 = 2 THEN 404 ELSE 503 END AS status,
+              WHEN event_id % 5 = 2 THEN 404 WHEN event_id % 3 = 0 THEN NULL ELSE 503 END AS status,
          CASE WHEN event_type <> 'error' THEN NULL WHEN event_id % 7 = 0 THEN 60000 * (event_id % 90)
               WHEN event_id % 7 = 1 THEN greatest(1704888000000 - epoch_us(ts) // 1000, 0)
               WHEN event_id % 7 IN (2, 3) THEN 0 END AS asked_ms,
@@ -381,6 +381,14 @@ d AS (SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
 SELECT side, listing_id, obs_id, CAST(amount AS VARCHAR) AS amount_minor_units, raw AS raw_context,
        CAST(hours AS VARCHAR) AS raw_context_retention_hours FROM d"""
 
+ORACLES["history_diff_columns"] = f"""
+WITH {OBS}
+SELECT obs_id, listing_id, NULL::VARCHAR AS grade, 'left' AS side FROM obs WHERE amount % 13 = 0
+UNION ALL SELECT obs_id, listing_id, currency, 'right' FROM obs WHERE amount % 13 = 0"""
+ORACLES["sweep_with_append"] = f"""
+WITH {OBS}
+SELECT listing_id, obs_id, CASE WHEN amount % 4 = 0 OR NOT {EXPIRED} THEN raw_context END AS raw_context FROM obs"""
+
 # -- watchlist ------------------------------------------------------------------
 
 CHANGES = """
@@ -476,12 +484,12 @@ B = views.BREAKER
 ORACLES["failure_rate_rolling"] = f"""
 WITH {REQ},
 t AS (SELECT source_id, request_id, at_ms, count(*) OVER w AS outcomes,
-        CAST(sum(CASE WHEN status >= 400 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS failures
+        CAST(sum(CASE WHEN coalesce(status, 999) >= 400 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS failures
       FROM req WINDOW w AS (PARTITION BY source_id ORDER BY at_ms RANGE BETWEEN {B.window_ms - 1} PRECEDING AND CURRENT ROW))
 SELECT *, outcomes >= {B.minimum_outcomes} AND failures / outcomes::DOUBLE >= {B.failure_rate_threshold} AS tripping FROM t"""
 ORACLES["breaker_replay"] = f"""
 WITH RECURSIVE {REQ},
-o AS MATERIALIZED (SELECT source_id, at_ms, CASE WHEN status >= 400 THEN 1 ELSE 0 END AS bad,
+o AS MATERIALIZED (SELECT source_id, at_ms, CASE WHEN coalesce(status, 999) >= 400 THEN 1 ELSE 0 END AS bad,
         row_number() OVER (PARTITION BY source_id ORDER BY at_ms, request_id) AS k FROM req),
 run AS (
   SELECT source_id, 0::BIGINT AS k, 0::BIGINT AS until, []::BIGINT[] AS good_at, []::BIGINT[] AS bad_at, 0::BIGINT AS tripped,

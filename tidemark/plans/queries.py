@@ -15,6 +15,7 @@ from tidemark.operators import (
 )
 from tidemark.plans import views
 from tidemark.session import cut_lineage, scratch_path
+from tidemark.sources import sweeps
 from tidemark.streaming import batches, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -304,6 +305,27 @@ def history_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def history_diff_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two histories of which one has a column more, which some rows fill."""
+    rows = views.observations(spark, sf_dir)
+    graded = rows.withColumn("grade", F.when(F.col("amount_minor_units") % 13 == 0, F.col("currency")))
+    return history.history_diff(rows, graded).select("obs_id", "listing_id", "grade", "side")
+
+
+@query
+def sweep_with_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history that is swept while a part of it still arrives."""
+    rows = views.observations(spark, sf_dir)
+    path, late = scratch_path(spark, "history"), F.col("amount_minor_units") % 4 == 0
+    rows.where(~late).write.partitionBy("source_id").parquet(path)
+    due = history.retention_expired(views.AS_OF_MS)
+    sweep = sweeps.begin(spark, path, rows.schema, due, lambda held: history.sweep_retention(held, views.AS_OF_MS))
+    rows.where(late).write.mode("append").partitionBy("source_id").parquet(path)
+    sweep.publish()
+    return sweeps.current(spark, path, rows.schema).select("listing_id", "obs_id", "raw_context")
+
+
 # -- watchlist ----------------------------------------------------------------
 
 

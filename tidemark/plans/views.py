@@ -167,7 +167,7 @@ def requests_of(events: DataFrame) -> DataFrame:
         "event_id AS request_id", "concat('src-', user_id % 7) AS source_id",
         "concat('h', user_id % 11, '.example') AS host", "cast(ts AS timestamp) AS at",
         """CASE WHEN event_type <> 'error' THEN 200 WHEN event_id % 5 = 0 THEN 403 WHEN event_id % 5 = 1 THEN 429
-           WHEN event_id % 5 = 2 THEN 404 ELSE 503 END AS status""",
+           WHEN event_id % 5 = 2 THEN 404 WHEN event_id % 3 = 0 THEN NULL ELSE 503 END AS status""",
         """CASE WHEN event_type <> 'error' THEN NULL WHEN event_id % 7 = 0 THEN cast(60 * (event_id % 90) AS string)
            WHEN event_id % 7 = 1 THEN 'Wed, 10 Jan 2024 12:00:00 GMT' WHEN event_id % 7 = 2 THEN 'soon'
            WHEN event_id % 7 = 3 THEN '0' END AS retry_after""",

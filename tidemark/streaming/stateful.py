@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.config import DAY_MS, BreakerSettings, Rule
+from tidemark.config import BreakerSettings, Rule
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -76,18 +76,17 @@ class BreakerState(StatefulProcessor):
     Time is cut into buckets of a 64th of the window. State is a map from bucket to the outcomes in it, and the sums over
     the whole window; an arriving outcome touches its own bucket and those that leave the window, whatever the window
     holds. An outcome that comes late counts if the window of the newest one still reaches back to it, and is judged at
-    the newest instant; one that is older, or lies in a pause, is dropped. A source that stays silent is forgotten by a
-    timer.
+    the newest instant; one that is older, or lies in a pause, is dropped. A silent source keeps at most its last window:
+    with a timer in processing time a run over what is available would never end.
     """
 
-    def __init__(self, settings: BreakerSettings, idle_ms: int) -> None:
-        self.settings, self.idle_ms = settings, idle_ms
+    def __init__(self, settings: BreakerSettings) -> None:
+        self.settings = settings
         self.width = max(1, settings.window_ms // 64)
         share = Fraction(Decimal(str(settings.failure_rate_threshold)))
         self.num, self.den = share.numerator, share.denominator
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.buckets = handle.getMapState("buckets", _BUCKET, _OUTCOMES)
         self.sums = handle.getValueState("sums", _SUMS)
 
@@ -137,17 +136,9 @@ class BreakerState(StatefulProcessor):
                 self.buckets.removeKey((bucket,))
         if newest is not None or until is not None:
             self.sums.update((newest, oldest, n, bad, until))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         if trips:
             yield pd.DataFrame(trips, columns=PAUSES.names)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.buckets.clear()
-        self.sums.clear()
-        return iter([])
-
     def close(self) -> None:
         pass
 
@@ -163,12 +154,9 @@ def stream_cooldowns(firings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
-def stream_breaker(outcomes: DataFrame, settings: BreakerSettings, idle_ms: int = 7 * DAY_MS) -> DataFrame:
-    """Pauses per source, for a stream of `source_id, request_id, at_ms, failed`.
-
-    `idle_ms` of processing time without an outcome end what is remembered of a source.
-    """
+def stream_breaker(outcomes: DataFrame, settings: BreakerSettings) -> DataFrame:
+    """Pauses per source, for a stream of `source_id, request_id, at_ms, failed`."""
     outcomes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return outcomes.select("source_id", "request_id", "at_ms", "failed").groupBy("source_id").transformWithStateInPandas(
-        statefulProcessor=BreakerState(settings, idle_ms), outputStructType=PAUSES, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=BreakerState(settings), outputStructType=PAUSES, outputMode="Append", timeMode="None"
     )
