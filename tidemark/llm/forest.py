@@ -34,7 +34,7 @@ TREES, DEPTH, LEAST_DEPTH = 20, 12, 3
 REGION = 1024
 #: The most alike partners that a set is compared with in a round.
 CLOSEST = 4
-#: Sets whose sketches agree less can't be linked: 0.8 less 4.6 standard deviations.
+#: Sets whose sketches agree less can't be linked: 0.8 less about 4.4 standard deviations.
 LEAST_AGREEMENT = 0.68
 #: Bytes of one batch that is handed to Python.
 BATCH_BYTES = 32 << 20
