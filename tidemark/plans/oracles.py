@@ -592,6 +592,84 @@ SELECT event_id, zone, stamp, CASE
   WHEN form = 4 AND day(ts) = 1 THEN epoch_ms(date_trunc('month', sec)) + 2592000000 + epoch_ms(sec) % 86400000 END AS at_ms
 FROM s"""
 
+# -- signals: each row against all earlier ones of its window --------------------
+
+
+def earlier(width_ms: int | None, n: int = 1) -> str:
+    """CTE `e{n}`: what lies before each (listing, instant) in the window."""
+    since = "" if width_ms is None else f" AND h.at_ms > p.at_ms - {width_ms}"
+    return f"""
+e{n} AS (
+  SELECT p.listing_id, p.at_ms, count(*) AS n, min(h.amount) AS low, sum(h.amount::HUGEINT) AS s, sum(h.amount::HUGEINT * h.amount) AS q,
+         min(h.currency) AS c1, max(h.currency) AS c2
+  FROM (SELECT DISTINCT listing_id, at_ms FROM obs) p JOIN obs h ON h.listing_id = p.listing_id AND h.at_ms < p.at_ms{since}
+  GROUP BY ALL)"""
+
+
+def refused(least: int, rest: str, n: int = 1) -> str:
+    return f"""CASE WHEN e{n}.n IS NULL THEN 'empty-window' WHEN e{n}.c1 <> o.currency OR e{n}.c2 <> o.currency THEN 'currency-mismatch'
+  WHEN e{n}.n < {least} THEN 'insufficient-history' {rest} END"""
+
+
+def signal(signal_id: str, width_ms: int | None, least: int, rest: str, reference: str) -> str:
+    status = refused(least, rest)
+    return f"""
+SELECT * FROM (WITH {earlier(width_ms)}
+  SELECT o.listing_id, o.obs_id, o.at_ms, '{signal_id}' AS signal_id, {status} AS status, coalesce(e1.n, 0) AS window_count,
+         CASE WHEN {status} IN ('fired', 'not-lower') THEN {reference} END AS reference_amount
+  FROM obs o LEFT JOIN e1 ON e1.listing_id = o.listing_id AND e1.at_ms = o.at_ms)"""
+
+
+_LOW = "WHEN o.amount + 1 <= e1.low THEN 'fired' ELSE 'not-lower'"
+_FAR = """WHEN e1.n * e1.q = e1.s * e1.s THEN 'no-spread'
+  WHEN e1.s > e1.n * o.amount AND 100 * (e1.s - e1.n * o.amount) * (e1.s - e1.n * o.amount) * (e1.n - 1) >= {z} * e1.n * (e1.n * e1.q - e1.s * e1.s)
+  THEN 'fired' ELSE 'not-lower'"""
+YEAR, QUARTER = 365 * DAY_MS, 90 * DAY_MS
+ORACLES["historical_lows"] = f"WITH {OBS} " + " UNION ALL ".join([
+    signal("low-all-time", None, 5, _LOW, "e1.low"), signal("low-365d", YEAR, 3, _LOW, "e1.low"), signal("low-90d", QUARTER, 2, _LOW, "e1.low"),
+])
+ORACLES["average_drops"] = f"WITH {OBS} " + signal(
+    "drop-365d", YEAR, 3, "WHEN 10000 * e1.n * o.amount <= 7000 * e1.s THEN 'fired' ELSE 'not-lower'", "CAST(e1.s // e1.n AS BIGINT)"
+)
+ORACLES["price_outliers"] = f"WITH {OBS} SELECT * EXCLUDE (reference_amount) FROM (" + " UNION ALL ".join([
+    signal("outlier-365d", YEAR, 4, _FAR.format(z=225), "0"), signal("outlier-all-time", None, 8, _FAR.format(z=400), "0"),
+]) + ")"
+ORACLES["back_in_stock"] = f"""
+WITH {OBS},
+s AS (SELECT *, CASE amount % 6 WHEN 0 THEN 'out' WHEN 1 THEN 'in' WHEN 2 THEN 'in' WHEN 3 THEN 'out' END AS state FROM obs),
+k AS (SELECT p.listing_id, p.at_ms, arg_max(struct_pack(state := h.state, amount := h.amount), (h.at_ms, h.obs_id)) AS last
+  FROM (SELECT DISTINCT listing_id, at_ms FROM obs) p JOIN s h ON h.listing_id = p.listing_id AND h.at_ms < p.at_ms AND h.state IS NOT NULL GROUP BY ALL)
+SELECT s.listing_id, s.obs_id, s.at_ms,
+  CASE WHEN s.state IS NULL THEN 'unknown' WHEN k.last IS NULL THEN 'no-earlier-state' WHEN s.state = 'in' AND k.last.state = 'out' THEN 'fired'
+    ELSE 'no-change' END AS status,
+  CASE WHEN s.state IS NOT NULL THEN k.last.amount END AS reference_amount
+FROM s LEFT JOIN k ON k.listing_id = s.listing_id AND k.at_ms = s.at_ms"""
+ORACLES["target_prices"] = f"""
+WITH {OBS},
+t AS (SELECT CAST(p_partkey AS VARCHAR) AS listing_id, CAST(CAST(p_retailprice AS DECIMAL(18,2)) * 90 AS BIGINT) AS target,
+  CASE WHEN p_partkey % 5 = 0 THEN ['CAD'] WHEN p_partkey % 7 = 0 THEN ['USD', 'EUR'] ELSE ['USD'] END AS codes FROM part WHERE p_partkey % 3 <> 0)
+SELECT o.listing_id, o.obs_id, o.amount AS amount_minor_units, CASE WHEN list_contains(t.codes, o.currency) THEN t.target END AS target_minor_units,
+  CASE WHEN NOT list_contains(t.codes, o.currency) THEN 'currency-mismatch' WHEN o.amount <= t.target THEN 'fired' ELSE 'above-target' END AS status
+FROM obs o JOIN t ON t.listing_id = o.listing_id"""
+ORACLES["seasonal_drops"] = f"""
+WITH {OBS}, {earlier(YEAR, 1)}, {earlier(None, 2)},
+c AS (SELECT CASE WHEN s_suppkey % 11 <> 0 THEN 'src-' || (s_suppkey % 5) END AS source_id, (s_suppkey * 37) % 2500 AS d0, s_suppkey % 41 AS days,
+  500 + 300 * (s_suppkey % 10) AS extra FROM supplier),
+r AS (SELECT source_id, extra, epoch_ms(TIMESTAMP '1995-01-01') + d0 * {DAY_MS} AS lo, epoch_ms(TIMESTAMP '1995-01-01') + (d0 + days) * {DAY_MS} AS hi FROM c),
+b AS (SELECT i.source_id, i.at_ms, count(*) AS seasons, max(r.extra) AS extra
+  FROM (SELECT DISTINCT source_id, at_ms FROM obs) i JOIN r ON coalesce(r.source_id, i.source_id) = i.source_id AND i.at_ms >= r.lo AND i.at_ms < r.hi
+  GROUP BY ALL),
+o AS (SELECT obs.*, coalesce(b.seasons, 0) AS seasons, coalesce(b.extra, 0) AS extra FROM obs LEFT JOIN b ON b.source_id = obs.source_id AND b.at_ms = obs.at_ms),
+v AS (SELECT o.*, coalesce(e1.n, 0) AS window_count, CAST(e1.s // e1.n AS BIGINT) AS average,
+  {refused(3, "WHEN 10000 * e1.n * o.amount <= 8000 * e1.s THEN 'fired' ELSE 'not-lower'", 1)} AS plain,
+  {refused(3, "WHEN 10000 * e1.n * o.amount <= (8000 - o.extra) * e1.s THEN 'fired' ELSE 'not-lower'", 1)} AS raised,
+  {refused(3, "WHEN o.amount < e2.low THEN 'fired' ELSE 'not-lower'", 2)} AS lowest
+  FROM o LEFT JOIN e1 ON e1.listing_id = o.listing_id AND e1.at_ms = o.at_ms LEFT JOIN e2 ON e2.listing_id = o.listing_id AND e2.at_ms = o.at_ms)
+SELECT source_id, listing_id, obs_id, at_ms, CAST(seasons AS BIGINT) AS seasons, CAST(extra AS INTEGER) AS extra,
+  CASE WHEN lowest = 'fired' THEN 'all-time-low' WHEN raised = 'fired' THEN 'fired' WHEN plain = 'fired' THEN 'seasonal' ELSE plain END AS status,
+  window_count, CASE WHEN plain IN ('fired', 'not-lower') THEN average END AS reference_amount
+FROM v"""
+
 # -- streams: what the batch statements say ---------------------------------------
 
 ORACLES["stream_period_counts"] = ORACLES["period_counts"]

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tidemark.config import DAY_MS, HOUR_MS, by_source
 from tidemark.functions import instants, money, text
 from tidemark.operators import (
-    delivery, export, extraction, history, requestlog, robots, rules, vendor, watchlist,
+    delivery, export, extraction, history, requestlog, robots, rules, signals, vendor, watchlist,
 )
 from tidemark.plans import views
 from tidemark.session import cut_lineage, scratch_path
@@ -63,6 +63,52 @@ def window_low_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("source_id", "listing_id", "obs_id", "at_ms", "status", "window_count")
 
 
+# -- signals ------------------------------------------------------------------
+
+
+def _signals(spark: SparkSession, sf_dir: str, prefix: str) -> DataFrame:
+    asked = [signal for signal in views.SIGNALS if signal.signal_id.startswith(prefix)]
+    return signals.judge(views.observations(spark, sf_dir), asked).select(
+        "listing_id", "obs_id", "at_ms", "signal_id", "status", "window_count", "reference_amount"
+    )
+
+
+@query
+def historical_lows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _signals(spark, sf_dir, "low-")
+
+
+@query
+def average_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _signals(spark, sf_dir, "drop-")
+
+
+@query
+def price_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _signals(spark, sf_dir, "outlier-").drop("reference_amount")
+
+
+@query
+def back_in_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.judge(views.stocked(spark, sf_dir), [signals.back_in_stock()]).select(
+        "listing_id", "obs_id", "at_ms", "status", "reference_amount"
+    )
+
+
+@query
+def target_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.target_prices(views.observations(spark, sf_dir), views.targets(spark, sf_dir)).select(
+        "listing_id", "obs_id", "amount_minor_units", "target_minor_units", "status"
+    )
+
+
+@query
+def seasonal_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.seasonal_drops(
+        views.observations(spark, sf_dir), views.calendar(spark, sf_dir), 365 * DAY_MS, 3, 2_000
+    ).select("source_id", "listing_id", "obs_id", "at_ms", "seasons", "extra", "status", "window_count", "reference_amount")
+
+
 @query
 def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.between(views.observations(spark, sf_dir), views.AS_OF_MS - 90 * DAY_MS, views.AS_OF_MS)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.config import DAY_MS, HOUR_MS, Allowance, BreakerSettings, Ceiling, Registry, Rule, Source
+from tidemark.operators import signals
 from tidemark.session import configure
 
 # 2001-06-01T00:00:00Z, inside the span of the derived observations.
@@ -22,6 +23,14 @@ RULES = (
     Rule("low-90d", 90 * DAY_MS, 2, 500, 30 * DAY_MS),
 )
 REPLAY_RULES = (Rule("low-365d", 365 * DAY_MS, 3, 100, 60 * DAY_MS),)
+SIGNALS = (
+    signals.low("low-all-time", None, 5, 1),
+    signals.low("low-365d", 365 * DAY_MS, 3, 1),
+    signals.low("low-90d", 90 * DAY_MS, 2, 1),
+    signals.drop("drop-365d", 365 * DAY_MS, 3, 3_000),
+    signals.outlier("outlier-365d", 365 * DAY_MS, 4, 15),
+    signals.outlier("outlier-all-time", None, 8, 20),
+)
 ENDINGS = {"src-0": ["97", "7"], "src-1": ["99"], "src-2": ["00", "0", "5"], "src-3": []}
 REGISTRY = Registry(
     (
@@ -156,6 +165,34 @@ def cooldowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations with an availability that comes and goes and is often unknown."""
+    return observations(spark, sf_dir).selectExpr(
+        "* EXCEPT (availability)",
+        """CASE amount_minor_units % 6 WHEN 0 THEN 'https://schema.org/OutOfStock' WHEN 1 THEN 'http://schema.org/InStock '
+           WHEN 2 THEN 'LimitedAvailability' WHEN 3 THEN 'BackOrder' WHEN 4 THEN 'https://schema.org/PreOrder' END AS availability""",
+    )
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A target price for two parts in three, some of them twice or in another currency."""
+    return table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").selectExpr(
+        "cast(p_partkey AS string) AS listing_id",
+        "explode(CASE WHEN p_partkey % 5 = 0 THEN array('CAD') WHEN p_partkey % 7 = 0 THEN array('USD', 'USD', 'EUR') ELSE array('USD') END) AS currency",
+        "cast(cast(p_retailprice AS decimal(18,2)) * 90 AS bigint) AS target_minor_units",
+    )
+
+
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sale season per supplier, for one source or for all; seasons overlap."""
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "CASE WHEN s_suppkey % 11 <> 0 THEN concat('src-', s_suppkey % 5) END AS source_id",
+        "date_add(date'1995-01-01', cast(s_suppkey * 37 % 2500 AS int)) AS starts_on",
+        "date_add(date'1995-01-01', cast(s_suppkey * 37 % 2500 + s_suppkey % 41 AS int)) AS ends_before",
+        "cast(500 + 300 * (s_suppkey % 10) AS int) AS extra_basis_points",
+    )
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request log from the events: a source and a host per user group, statuses and back-off headers by id."""
     return requests_of(table(spark, sf_dir, "events"))
