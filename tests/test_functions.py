@@ -1,10 +1,12 @@
+import random
+import re
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import functions as F
 
 from tidemark.functions.instants import (
-    hold_ms, is_failure, is_robots_failure, is_time_zone, local_to_instant_ms, period_start, retry_after_ms,
+    header_date_ms, hold_ms, is_failure, is_robots_failure, is_time_zone, local_to_instant_ms, period_start, retry_after_ms,
     robots_status_class, time_zone_names, vendor_timestamp_ms, zone_offset_ms,
 )
 from tidemark.functions.money import format_minor_units, minor_unit_exponent, normalise_currency, to_minor_units
@@ -12,7 +14,7 @@ from tidemark.functions.text import (
     bound_text, carries_userinfo, channel_origin, hide_password, host_key, redact_credentials, scrub, single_line, summarise,
     url_origin, usable_link,
 )
-from tidemark.operators.robots import normalise_path, path_regex
+from tidemark.operators.robots import normalise_path, path_fits, path_pieces, path_regex
 
 
 def column(spark, rows, schema, expression):
@@ -118,6 +120,19 @@ def test_retry_after(spark):
     assert column(spark, absent, "h string, s int", hold_ms(F.col("s"), F.col("h"), F.lit(0).cast("long"), 9000)) == [9000, None, None]
 
 
+def test_header_dates(spark):
+    at = _ms("1994-11-06T08:49:37+00:00")
+    cases = {
+        "Sun, 06 Nov 1994 08:49:37 GMT": at, "Sunday, 06-Nov-94 08:49:37 GMT": at, "Sun Nov  6 08:49:37 1994": at, "1994-11-06T08:49:37Z": at,
+        "1994-11-06T09:49:37.25+01:00": at + 250, "1994-11-06 08:49:37": at, "1994-11-06": at - 31_777_000, "6 November 1994 08:49 UTC": at - 37_000,
+        "Nov 6, 1994 03:49:37 EST": at, "sun, 06 nov 1994 00:49:37 PST": at, "Sun Nov 06 1994 08:49:37 GMT+0000": at, "11/6/1994 08:49:37": at,
+        "Sun, 06 Nov 1994 08:49:37 -0130": at + 5_400_000, "06 Nov 2094 08:49:37 GMT": _ms("2094-11-06T08:49:37+00:00"),
+        "06-Nov-31 08:49:37 GMT": _ms("2031-11-06T08:49:37+00:00"), "1994-13-06T08:49:37Z": None, "1994-02-30": None, "06 Nox 1994": None,
+        "06 Nov 1994 24:00:00 GMT": None, "1994": None, "": None, None: None, "soon": None, "06 Nov 1994 08:49:37 GMT x": None,
+    }
+    assert dict(zip(cases, column(spark, [(c,) for c in cases], "h string", header_date_ms(F.col("h"))), strict=True)) == cases
+
+
 def test_status_classes(spark):
     rows = [(200,), (204,), (301,), (404,), (429,), (500,)]
     assert column(spark, rows, "s int", is_failure(F.col("s"))) == [False, False, False, True, True, True]
@@ -180,3 +195,17 @@ def test_path_patterns(spark):
     ]
     expression = F.rlike(normalise_path(F.col("u")), path_regex(normalise_path(F.col("p"))))
     assert column(spark, [c[:2] for c in cases], "p string, u string", expression) == [c[2] for c in cases]
+    fits = path_fits(normalise_path(F.col("u")), path_pieces(normalise_path(F.col("p"))))
+    assert column(spark, [c[:2] for c in cases], "p string, u string", fits) == [c[2] for c in cases]
+
+
+def test_pieces_and_expressions_agree(spark):
+    dice = random.Random(2)
+    pick = lambda letters, most: "".join(dice.choice(letters) for _ in range(dice.randint(0, most)))
+    rows = [("/" + pick("ab*é", 5) + dice.choice(["", "$", "*$", "*"]), "/" + pick("abé", 7)) for _ in range(1500)]
+    got = column(spark, rows, "p string, u string", path_fits(F.col("u"), path_pieces(F.col("p"))))
+    want = []
+    for pattern, path in rows:
+        body, end = (pattern[:-1], r"\Z") if pattern.endswith("$") else (pattern, "")
+        want.append(re.match("(?s)" + ".*".join(map(re.escape, body.split("*"))) + end, path) is not None)
+    assert got == want and 100 < sum(got) < 1400

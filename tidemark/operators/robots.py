@@ -47,6 +47,38 @@ def path_regex(pattern: Column) -> Column:
     return F.concat(F.lit(r"(?s)\A"), first, middle, last, end)
 
 
+def path_pieces(pattern: Column) -> Column:
+    """A normalised path pattern as what `path_fits` looks for: `head`, the `inner` pieces, and `tail` where `$` ends it."""
+    anchored = F.endswith(pattern, F.lit("$"))
+    body = F.when(anchored, F.left(pattern, F.length(pattern) - 1)).otherwise(pattern)
+    pieces = F.split(body, r"\*", -1)
+    many = F.size(pieces) > 1
+    # The last piece of an anchored pattern is its tail; a pattern without a wildcard has no other piece than its head.
+    between = F.when(many, F.slice(pieces, F.lit(2), F.size(pieces) - 1 - anchored.cast("int"))).otherwise(F.array().cast("array<string>"))
+    return F.struct(
+        F.element_at(pieces, 1).alias("head"),
+        F.filter(between, lambda piece: piece != "").alias("inner"),
+        F.when(anchored & many, F.element_at(pieces, -1)).alias("tail"),
+        (anchored & ~many).alias("whole"),
+    )
+
+
+def path_fits(path: Column, pieces: Column) -> Column:
+    """Whether a path fits the pieces: each is found as early as possible, which is exact for wildcards.
+
+    Plain comparisons and searches, so nothing is compiled for a URL and a rule; most rules are a head alone.
+    """
+    start = F.length(pieces["head"]) + 1
+
+    def found(at: Column, piece: Column) -> Column:
+        place = F.call_function("locate", piece, path, at)
+        return F.when((at > 0) & (place > 0), place + F.length(piece)).otherwise(F.lit(0))
+
+    end = F.when(F.size(pieces["inner"]) == 0, start).otherwise(F.aggregate(pieces["inner"], start, found))
+    rest = pieces["tail"].isNull() | (F.endswith(path, pieces["tail"]) & (F.length(path) - F.length(pieces["tail"]) + 1 >= end))
+    return F.when(pieces["whole"], path == pieces["head"]).otherwise(F.startswith(path, pieces["head"]) & (end > 0) & rest)
+
+
 def robots_lines(robots: DataFrame) -> DataFrame:
     """Files (`origin, status, body, truncated`) to one row per field line.
 
@@ -117,7 +149,7 @@ def robots_decide(urls: DataFrame, robots: DataFrame, token: str, hot_rows: int
         (F.col("kind") == "allow").alias("allow"),
         (-F.col("line_no")).alias("turn"),
         "pattern",
-        path_regex(normalise_path(F.col("pattern"))).alias("regex"),
+        path_pieces(normalise_path(F.col("pattern"))).alias("pieces"),
     )
     per_origin = rules.groupBy("origin").agg(F.collect_list(rule).alias("rules"))
     files = robots.select("origin", robots_status_class(F.col("status")).alias("file")).join(per_origin, "origin", "left")
@@ -125,7 +157,7 @@ def robots_decide(urls: DataFrame, robots: DataFrame, token: str, hot_rows: int
     path = F.when(F.startswith(tail, F.lit("/")), tail).otherwise(F.concat(F.lit("/"), tail))
     asked = urls.withColumn("origin", url_origin(F.col("url"))).withColumn("path", normalise_path(path))
     rows = attach(asked, files, ["origin"], hot_rows=hot_rows)
-    matching = F.filter("rules", lambda r: F.rlike(F.col("path"), r["regex"]))
+    matching = F.filter("rules", lambda r: path_fits(F.col("path"), r["pieces"]))
     # The most octets win, and an allow wins a tie.
     rows = rows.withColumn("best", F.array_max(matching))
     ruled = (F.col("file") == "rules") & (F.col("path") != ROBOTS_PATH)
