@@ -74,10 +74,28 @@ def test_packing(docs, nothing):
     assert brute.check_packing(DOCS, [r.asDict() for r in packing.pack_documents(docs, TOKENIZER).collect()]) == 0
     assert brute.check_packing(DOCS, [r.asDict() for r in packing.pack_documents(docs, TOKENIZER, 64).collect()], 64) == 0
     assert packing.pack_documents(nothing, TOKENIZER).count() == 0
+    one = [r.asDict() for r in packing.pack_documents(docs.coalesce(1), TOKENIZER, 256).collect()]
+    assert brute.check_packing(DOCS, one, 256) == 0
+    # Uncut, a document of n tokens takes n / 256 pieces, rounded up; beyond that a bin cuts one document at most.
+    uncut = sum({r["doc_id"]: -(-r["doc_tokens"] // 256) for r in one}.values())
+    assert len(one) <= uncut + len({r["sequence_id"] for r in one})
     with pytest.raises(ValueError):
         packing.pack_documents(docs, TOKENIZER, 100)
 
 
+def test_a_bin_holds_the_number_of_its_class():
+    ids = lambda n: bytes(4 * n)
+    bins = packing.Bins(0, 64)
+    for i, n in enumerate([20, 21, 17, 19, 64, 32, 32]):
+        bins.add((i, 0, ids(n), n))
+    # Three of class 3 leave six tokens, which the next of the class gives; its rest is of class 4.
+    assert [(p[0], p[2], p[5], p[6]) for p in bins.done] == [
+        (0, 20, 0, 0), (1, 21, 0, 20), (2, 17, 0, 41), (3, 6, 0, 58), (4, 64, 1, 0), (5, 32, 2, 0), (6, 32, 2, 32),
+    ]
+    bins.rest()
+    assert [p[:3] + p[5:] for p in bins.done[7:]] == [(3, 6, 8, 3, 0), (3, 14, 4, 4, 0), (3, 18, 1, 5, 0)]
+
+
 #: Special tokens in any case, the mark between words, capitals that become two characters, composed and lone marks.
 ODD_TEXTS = [
     "<|endoftext|> <|ENDOFTEXT|> x<|startoftext|>y", "a|b | || A|B|", "\u0130. s\u0130... \u0130", "don't I'LL 'S x'",
@@ -91,7 +109,7 @@ def test_packing_with_a_full_memory(monkeypatch):
     encode, coder = packing.encoder(TOKENIZER), brute.tokenizer()
     for text in [*DOCS.values(), *ODD_TEXTS]:
         want = [*coder.encode(text or "", add_special_tokens=False).ids, 1]
-        assert np.frombuffer(encode(text or ""), "<u4").tolist() == want
+        assert np.frombuffer(next(encode([text or ""])), "<u4").tolist() == want
 
 
 @pytest.mark.parametrize("broadcast", [True, False])
