@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from tidemark import schemas
 from tidemark.config import DAY_MS, HOUR_MS, by_source
 from tidemark.functions import instants, money, text
 from tidemark.operators import (
@@ -16,7 +17,7 @@ from tidemark.operators import (
 from tidemark.plans import views
 from tidemark.session import cut_lineage, scratch_path
 from tidemark.sources import sweeps
-from tidemark.streaming import batches, stateful
+from tidemark.streaming import batches, folders, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -636,5 +637,5 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, aside = scratch_path(spark, "history"), scratch_path(spark, "quarantine")
     _run(batches.stream_ingest(arriving, views.REGISTRY, kept, aside), scratch_path(spark, "checkpoint"))
     columns = ["source_id", "listing_id", "amount_minor_units", "currency"]
-    written = spark.read.parquet(kept).select(*columns, F.lit("history").alias("state"))
+    written = folders.read(spark, kept, schemas.OBSERVATIONS).select(*columns, F.lit("history").alias("state"))
     return written.unionByName(spark.read.parquet(aside).select(*columns, F.col("refusal").alias("state")))

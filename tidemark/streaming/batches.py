@@ -1,7 +1,8 @@
 """Streams whose state is a table: each micro-batch is one idempotent write.
 
-A batch writes its own `batch=<id>` directories and overwrites them when it is
-repeated, so a restart from the checkpoint changes nothing.
+A batch writes its own `batch=<id>` directories, or its own part of each month of
+a history, and overwrites them when it is repeated, so a restart from the
+checkpoint changes nothing.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from tidemark.functions.instants import millis
 from tidemark.operators.history import accepted, ingest, refused
 from tidemark.operators.requestlog import period_counts
 from tidemark.operators.rules import between, window_low
+from tidemark.streaming import folders
 
 
 def _replace(df: DataFrame, path: str, batch_id: int) -> None:
@@ -24,12 +26,12 @@ def _replace(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def stream_ingest(outcomes: DataFrame, registry: Registry, history: str, quarantine: str) -> DataStreamWriter:
-    """Outcomes to the history and the quarantine; nothing is dropped."""
+    """Outcomes to the history (read it with `folders.read`) and the quarantine; nothing is dropped."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         judged = ingest(batch, registry).persist()
         try:
-            _replace(accepted(judged), history, batch_id)
+            folders.append(accepted(judged), history, batch_id)
             _replace(refused(judged), quarantine, batch_id)
         finally:
             judged.unpersist()
@@ -53,13 +55,15 @@ def stream_window_low(
         if batch.isEmpty():
             return
         spark = batch.sparkSession
-        _replace(batch, history, batch_id)
-        arrived = spark.read.schema(batch.schema).parquet(f"{history}/batch={batch_id}")
+        folders.append(batch, history, batch_id)
+        arrived = folders.arrived(spark, history, batch.schema, batch_id)
         span = arrived.agg(F.min(millis(F.col("observed_at"))), F.max(millis(F.col("observed_at")))).first()
-        stored = spark.read.parquet(history).where(F.col("batch") <= batch_id)
-        _replace(
-            window_low(between(stored, span[0] - widest, span[1]), rules, history_keys, only=arrived), verdicts, batch_id
-        )
+        if span[0] is None:
+            _replace(window_low(arrived, rules, history_keys), verdicts, batch_id)
+            return
+        # Only the months that a window of this batch reaches are listed, and few folders in each.
+        stored = folders.read(spark, history, batch.schema, span[0] - widest, span[1])
+        _replace(window_low(between(stored, span[0] - widest, span[1]), rules, history_keys, only=arrived), verdicts, batch_id)
 
     return observations.writeStream.foreachBatch(write)
 
