@@ -202,3 +202,12 @@ def test_ids_come_through_ingest(spark):
     given, derived = (history.ingest(r, REGISTRY).select("obs_id", "amount_minor_units").collect() for r in (rows, rows.drop("obs_id")))
     assert {r.obs_id for r in given if r.amount_minor_units < 5} == {f"o{i}" for i in range(5)}
     assert len({r.obs_id for r in derived}) == 20 and None not in {r.obs_id for r in given}
+
+
+def test_a_registry_beyond_broadcasting_size(spark):
+    few, many = (Registry(tuple(Source(f"s{i}", attribution_required=True, notice=f"by {i}") for i in range(n))) for n in (10, 10_001))
+    rows = observations(spark, 20).withColumn("source_id", F.concat(F.lit("s"), F.col("amount_minor_units") % 12))
+    told = lambda registry: sorted((r.source_id, r.attribution) for r in export.attributed(rows, registry).collect())
+    assert [t for t in told(many) if int(t[0][1:]) < 10] == [t for t in told(few) if t[1] is not None]
+    plan = export.attributed(rows, many)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan and "broadcast" in export.attributed(rows, few)._jdf.queryExecution().optimizedPlan().toString()

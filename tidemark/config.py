@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 HOUR_MS = 3_600_000
 DAY_MS = 24 * HOUR_MS
 
-# More sources or rules than this is a mistake in the configuration, and the
-# bound is what makes broadcasting a registry safe.
+# Configuration of at most so many rows is broadcast; more of it joins like any other table.
 MAX_CONFIG_ROWS = 10_000
 
 
@@ -92,6 +91,11 @@ class BreakerSettings:
     pause_ms: int
 
 
+def small(frame: DataFrame, rows: int) -> DataFrame:
+    """Configuration, marked for broadcasting after a check of its number of rows."""
+    return F.broadcast(frame) if rows <= MAX_CONFIG_ROWS else frame
+
+
 @dataclass(frozen=True)
 class Registry:
     """The known sources, in the order they were declared."""
@@ -100,11 +104,11 @@ class Registry:
 
     def __post_init__(self) -> None:
         ids = [source.source_id for source in self.sources]
-        if len(ids) > MAX_CONFIG_ROWS or len(set(ids)) != len(ids):
-            raise ValueError("source ids must be unique and few")
+        if len(set(ids)) != len(ids):
+            raise ValueError("source ids must be unique")
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """One row per source; at most MAX_CONFIG_ROWS rows, so safe to broadcast."""
+        """One row per source, marked for broadcasting if there are few."""
         schema = (
             "source_id string, currency string, time_zone string, retention_hours int, ceiling_hours int, "
             "attribution_required boolean, attribute_to string, notice string, limit_statuses array<int>, "
@@ -118,7 +122,7 @@ class Registry:
             )
             for s in self.sources
         ]
-        return spark.createDataFrame(rows, schema)
+        return small(spark.createDataFrame(rows, schema), len(rows))
 
 
 def stop_period_ms(allowance: Allowance | None, breaker: BreakerSettings | None, default_pause_ms: int) -> int:

@@ -16,10 +16,7 @@ class UnattributedExport(ValueError):
 
 def attributed(observations: DataFrame, registry: Registry) -> DataFrame:
     """Observations with the notice their source's terms require, if they require one."""
-    # The registry is bounded by MAX_CONFIG_ROWS.
-    terms = F.broadcast(
-        registry.frame(observations.sparkSession).select("source_id", "attribution_required", "attribute_to", "notice")
-    )
+    terms = registry.frame(observations.sparkSession).select("source_id", "attribution_required", "attribute_to", "notice")
     rows = observations.join(terms, "source_id", "left")
     noted = rows.withColumn("attribution", F.when(F.col("attribution_required"), F.col("notice"))).drop("notice")
     return with_code(noted, F.col("currency"))

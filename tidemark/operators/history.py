@@ -47,8 +47,7 @@ def ingest(outcomes: DataFrame, registry: Registry) -> DataFrame:
     if "obs_id" in outcomes.columns:
         own_id = F.coalesce(F.col("obs_id").cast("string"), own_id)
     outcomes = outcomes.withColumn("obs_id", own_id)
-    # The registry is bounded by MAX_CONFIG_ROWS.
-    rows = outcomes.join(F.broadcast(known), "source_id", "left").withColumn("observed_at", F.col("received_at"))
+    rows = outcomes.join(known, "source_id", "left").withColumn("observed_at", F.col("received_at"))
     refusal = (
         F.when(F.col("_known").isNull(), F.lit("unknown-source"))
         .when(F.col("kind") != "observed", F.coalesce(F.col("reason"), F.col("kind")))
@@ -104,10 +103,7 @@ def swept(observations: DataFrame, as_of_ms: int) -> DataFrame:
 
 def retention_audit(observations: DataFrame, registry: Registry) -> DataFrame:
     """Rows of a source with a retention ceiling whose stamped hours are absent, below 1 or above it."""
-    # The registry is bounded by MAX_CONFIG_ROWS.
-    capped = F.broadcast(
-        registry.frame(observations.sparkSession).where("ceiling_hours is not null").select("source_id", "ceiling_hours")
-    )
+    capped = registry.frame(observations.sparkSession).where("ceiling_hours is not null").select("source_id", "ceiling_hours")
     hours = F.col("raw_context_retention_hours")
     return observations.join(capped, "source_id").where(
         hours.isNull() | (hours < 1) | (hours > F.col("ceiling_hours"))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import MAX_CONFIG_ROWS, Allowance, BreakerSettings, Ceiling, Registry, Source
+from tidemark.config import Allowance, BreakerSettings, Ceiling, Registry, Source, small
 from tidemark.functions.instants import hold_ms, is_failure, millis, period_start
 from tidemark.operators.breaker import breaker_replay  # noqa: F401
 from tidemark.operators.skew import attach
@@ -34,13 +34,6 @@ def _chunk(period_ms: int, most: int = 1024) -> int:
     return max(1, -(-period_ms // most))
 
 
-def small(frame: DataFrame, rows: Sequence) -> DataFrame:
-    """Configuration rows, marked for broadcasting after a check of their number."""
-    if len(rows) > MAX_CONFIG_ROWS:
-        raise ValueError("too many configuration rows")
-    return F.broadcast(frame)
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -62,7 +55,7 @@ def allowance_usage(requests: DataFrame, allowances: Mapping[str, Allowance]) ->
     spark = requests.sparkSession
     schema = "source_id string, period_ms long, most long, warn long"
     rows = [(source, a.period_ms, a.limit, a.warn_count) for source, a in allowances.items()]
-    limits = small(spark.createDataFrame(rows, schema), rows)
+    limits = small(spark.createDataFrame(rows, schema), len(rows))
     log = requests.select("source_id", millis(F.col("at")).alias("at_ms")).join(limits, "source_id")
     log = log.withColumn("period_start_ms", period_start(F.col("at_ms"), F.col("period_ms")))
     chunk_ms = _chunk(min(a.period_ms for a in allowances.values()))
@@ -125,7 +118,7 @@ def ceiling_audit(requests: DataFrame, default: Ceiling, hosts: Mapping[str, Cei
     spark = requests.sparkSession
     schema = "host string, most long, span long, gap long"
     rows = [(host, c.max_requests, c.interval_ms, c.min_delay_ms) for host, c in special.items()]
-    own = small(spark.createDataFrame(rows, schema), rows)
+    own = small(spark.createDataFrame(rows, schema), len(rows))
     log = requests.select("host", millis(F.col("at")).alias("at_ms")).join(own, "host", "left").select(
         "host", "at_ms",
         F.coalesce("most", F.lit(default.max_requests)).alias("most"),
@@ -163,7 +156,7 @@ def documented_limit_audit(requests: DataFrame, sources: list[Source]) -> DataFr
     peak = seconds.groupBy("source_id").agg(F.max(F.coalesce("n", F.lit(0)) + F.col("own_n")).alias("peak_per_second"))
     days = period_counts(requests, 86_400_000).groupBy("source_id").agg(F.max("requests").alias("peak_per_day"))
     known = Registry(tuple(sources)).frame(requests.sparkSession)
-    terms = F.broadcast(known.select("source_id", "documented_per_second", "documented_per_day"))
+    terms = known.select("source_id", "documented_per_second", "documented_per_day")
     over = lambda peak, limit: F.coalesce(F.col(peak) > F.col(limit), F.lit(False))
     return peak.join(days, "source_id").join(terms, "source_id", "left").select(
         "source_id", "peak_per_second", "peak_per_day",

@@ -95,8 +95,7 @@ def response_outcomes(
     if "refusal" not in responses.columns:
         responses = responses.withColumn("refusal", F.lit(None).cast("string"))
     known = registry.frame(responses.sparkSession).select("source_id", "currency", "time_zone", "limit_statuses")
-    # The registry is bounded by MAX_CONFIG_ROWS.
-    rows = responses.join(F.broadcast(known), "source_id", "left")
+    rows = responses.join(known, "source_id", "left")
     mapped = mapper(rows.withColumn("_body", F.col("body")))
     sent = trim_all(F.col("listing_id")).rlike(SKU)
     success = F.col("status").between(200, 299)

@@ -592,6 +592,18 @@ SELECT event_id, zone, stamp, CASE
   WHEN form = 4 AND day(ts) = 1 THEN epoch_ms(date_trunc('month', sec)) + 2592000000 + epoch_ms(sec) % 86400000 END AS at_ms
 FROM s"""
 
+ORACLES["other_vendor_outcomes"] = """
+WITH r AS (SELECT *, p_partkey % 9 AS form, CASE WHEN p_partkey % 19 = 0 THEN 403 WHEN p_partkey % 19 = 2 THEN 500 ELSE 200 END AS status FROM part),
+k AS (SELECT *, CASE WHEN status = 403 AND p_size % 5 <> 4 THEN 'limit-exceeded' WHEN status <> 200 THEN 'source-error'
+  WHEN form IN (0, 1, 2) THEN 'extraction-failed' ELSE 'observed' END AS kind FROM r)
+SELECT 'src-' || (p_size % 5) AS source_id, CAST(p_partkey AS VARCHAR) AS listing_id, kind,
+  CASE WHEN kind = 'extraction-failed' THEN CASE WHEN form = 2 THEN 'unparseable-price' ELSE 'no-offer' END END AS reason, status,
+  CASE WHEN kind = 'observed' THEN CAST(p_size * 100 + 7 AS BIGINT) END AS amount_minor_units, CASE WHEN kind = 'observed' THEN 'USD' END AS currency FROM k"""
+ORACLES["stop_ends"] = f"""
+WITH {REQ}, p AS (SELECT *, CASE source_id WHEN 'src-2' THEN {12 * HOUR_MS} WHEN 'src-3' THEN {6 * HOUR_MS} WHEN 'src-5' THEN {12 * HOUR_MS}
+  WHEN 'src-6' THEN 900000 ELSE {DAY_MS} END AS period FROM req WHERE status IN (403, 429))
+SELECT request_id, source_id, at_ms - at_ms % period + period AS ends_ms FROM p"""
+
 # -- signals: each row against all earlier ones of its window --------------------
 
 
@@ -672,7 +684,7 @@ FROM v"""
 
 # -- streams: what the batch statements say ---------------------------------------
 
-ORACLES["stream_period_counts"] = ORACLES["period_counts"]
+ORACLES["stream_period_counts"] = ORACLES["stream_repeated"] = ORACLES["period_counts"]
 ORACLES["stream_window_low"] = f"""
 WITH {OBS}, {judged(RR, 1)} SELECT listing_id, obs_id, at_ms, status, window_count, reference_amount FROM v1"""
 ORACLES["stream_cooldowns"] = f"""

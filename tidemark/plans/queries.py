@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark import schemas
-from tidemark.config import DAY_MS, HOUR_MS, by_source
+from tidemark.config import DAY_MS, HOUR_MS, by_source, stop_period_ms
 from tidemark.functions import instants, money, text
 from tidemark.operators import (
     delivery, export, extraction, history, requestlog, robots, rules, signals, vendor, watchlist,
@@ -228,7 +228,7 @@ def extract_real_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def vendor_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = views.REGISTRY.frame(spark).select("source_id", "currency", "time_zone")
-    rows = views.payloads(spark, sf_dir).join(F.broadcast(known), "source_id", "left")
+    rows = views.payloads(spark, sf_dir).join(known, "source_id", "left")
     return vendor.map_payloads(rows).drop("status", "received_at")
 
 
@@ -243,6 +243,32 @@ def response_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _map_quotes(rows: DataFrame) -> DataFrame:
+    """Another vendor's documents: `{"ref": listing, "quote": {"units": whole minor units, "was": the same, "code": currency}}`."""
+    read = rows.withColumn("_quote", F.from_json("body", "ref string, quote struct<units: long, was: long, code: string>"))
+    named = money.normalise_currency(F.col("_quote.quote.code"))
+    reason = (
+        F.when(F.col("_quote.quote").isNull() | ~F.col("_quote.ref").eqNullSafe(F.col("listing_id")), F.lit("no-offer"))
+        .when(F.col("_quote.quote.units").isNull(), F.lit("unparseable-price"))
+    )
+    ok = reason.isNull()
+    cells = {"amount_minor_units": F.col("_quote.quote.units"), "regular_minor_units": F.col("_quote.quote.was"), "currency": named}
+    cells |= {"on_sale": F.col("_quote.quote.units") < F.col("_quote.quote.was"), "vendor_on_sale": F.lit(None).cast("boolean")}
+    cells |= {"vendor_updated_ms": F.lit(None).cast("long")}
+    return read.select(
+        *[c for c in rows.columns if c not in ("currency", "time_zone", "body")], ok.alias("ok"), reason.alias("reason"),
+        *[F.when(ok, value).alias(name) for name, value in cells.items()],
+    )
+
+
+@query
+def other_vendor_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = views.quotes(spark, sf_dir)
+    return vendor.response_outcomes(responses, views.REGISTRY, _map_quotes).select(
+        "source_id", "listing_id", "kind", "reason", "status", "amount_minor_units", "currency"
+    )
+
+
 @query
 def minor_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.table(spark, sf_dir, "lineitem").selectExpr(
@@ -510,6 +536,14 @@ def documented_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requestlog.documented_limit_audit(views.requests(spark, sf_dir), sources)
 
 
+@query
+def stop_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    periods = {f"src-{n}": stop_period_ms(views.ALLOWANCES.get(f"src-{n}"), views.BREAKER if n == 5 else None, views.BACKOFF_MS) for n in range(7)}
+    period, at = by_source(periods, F.col("source_id")), _at_ms("at")
+    refused = views.requests(spark, sf_dir).where("status IN (403, 429)")
+    return refused.select("request_id", "source_id", (instants.period_start(at, period) + period).alias("ends_ms"))
+
+
 @query
 def hold_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requestlog.hold_audit(views.requests(spark, sf_dir), views.BACKOFF_MS)
@@ -598,6 +632,15 @@ def stream_period_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.latest_counts(spark.read.parquet(counts))
 
 
+@query
+def stream_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts after the whole stream has run twice over the same output, as after a lost checkpoint."""
+    log, counts = views.requests_of(views.stream(spark, sf_dir, "events")), scratch_path(spark, "counts")
+    for _ in range(2):
+        _run(batches.stream_period_counts(log, DAY_MS, counts), scratch_path(spark, "checkpoint"))
+    return batches.latest_counts(spark.read.parquet(counts))
+
+
 @query
 def stream_window_low(spark: SparkSession, sf_dir: str) -> DataFrame:
     arriving = views.observations_of(views.stream(spark, sf_dir, "lineitem"))

@@ -246,6 +246,18 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved response of another vendor per part: minor units and a code, some of them broken."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "cast(p_partkey AS string) AS listing_id", "concat('src-', p_size % 5) AS source_id",
+        "CASE WHEN p_partkey % 19 = 0 THEN 403 WHEN p_partkey % 19 = 2 THEN 500 ELSE 200 END AS status",
+        f"timestamp_millis({AS_OF_MS}L + p_partkey * 1000) AS received_at",
+        """CASE p_partkey % 9 WHEN 0 THEN 'down' WHEN 1 THEN concat('{"ref":"x', p_partkey, '","quote":{"units":5,"code":"USD"}}')
+           WHEN 2 THEN concat('{"ref":"', p_partkey, '","quote":{"units":null,"code":"USD"}}')
+           ELSE concat('{"ref":"', p_partkey, '","quote":{"units":', p_size * 100 + 7, ',"was":9000,"code":" usd "}}') END AS body""",
+    )
+
+
 def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A robots file for every origin of the given pages, picked by the length of the origin."""
     origins = table(spark, sf_dir, "pages").selectExpr(
