@@ -197,6 +197,47 @@ def test_url_verdicts(spark):
     ]
 
 
+BLOCKED = "http://b.example.net/es/1"
+
+
+#: (url, html, verdict); "a.org" is another host in each.
+LINKING = [
+    ("http://a.org/x", f"<META content=\"0; url='{BLOCKED}'\" http-equiv=Refresh>", "block"),
+    ("http://a.org/x", f"<meta http-equiv='refresh' content='5;URL=\"{BLOCKED}\"'>", "block"),
+    ("http://a.org/x", f"<meta http-equiv=refresh content='0, {BLOCKED}'>", "block"),
+    ("http://a.org/x", f"<!-- <link rel=canonical href={BLOCKED}> -->", "allow"),
+    ("http://a.org/x", f"<!-- never closed <link rel=canonical href={BLOCKED}>", "allow"),
+    ("http://a.org/x", f"<script>'<link rel=canonical href={BLOCKED}>'</script>", "allow"),
+    ("http://a.org/x", f"<link rel=next href=/y><link rel='shortlink CANONICAL' title='a > b href=/z' href={BLOCKED}>", "block"),
+    ("http://a.org/x", f"<link rel=canonical href=/y><link rel=canonical href={BLOCKED}>", "block"),
+    ("http://a.org/x", f"<link rel=alternate href={BLOCKED}><a rel=canonical href={BLOCKED}>", "allow"),
+    ("http://a.org/x", "<link rel=canonical href=mailto:b.example.net/es/1><link rel=canonical><link rel=canonical href=''>", "allow"),
+    ("http://a.org/x?next=http://b.net/es/", "<link rel=canonical href='/login?next=http://b.net/es/'>", "allow"),
+    ("http://b.example.net/de/x/y", "<link rel=canonical href='../../es/1'>", "block"),
+    ("http://b.example.net/de/x/y", "<link rel=canonical href='/a/./../../es/1/.'>", "block"),
+    ("http://a.org/x", "<link rel=canonical href='//b.example.net/a/../es/1'>", "block"),
+    ("http://a.org/x", "<link rel=canonical href='&#104;ttp&#x3a;//b.example.net/es/&#49;?a=1&amp;b=2'>", "block"),
+    ("http://a.org/x?p=1&b=2", "<link rel=canonical href='?p=2&amp;b=2'>", "block"),
+    ("http://a.org/x", "<link rel=canonical href='?p=2&b=2'>", "block"),
+    ("http://a.org/x", "<link rel=canonical href='&#9999999;&bogus;&#xd800;'>", "allow"),
+    ("http://a.org/x", "<link rel=canonical " + "x" * 300_000 + "='" + "y" * 300_000 + f"' href={BLOCKED}>" + "<p>z" * 100_000, "block"),
+    ("http://a.org/x", "", "allow"), (None, f"<link rel=canonical href={BLOCKED}>", "allow"),
+]
+
+
+def test_links_between_pages(spark):
+    rows = [(-1, BLOCKED, None), (-2, "http://b.example.net/es/1?a=1&b=2", None)]
+    for i, (url, html, _) in enumerate(LINKING):
+        url = url and url.replace("a.org", f"a{i}.org").replace("/de/", f"/de{i}/")
+        rows += [(i, url, html), (-3, f"http://a{i}.org/x?p=2&b=2", f"<link rel=canonical href={BLOCKED}>")]
+    table = spark.createDataFrame([(*r, "r", "h", "v") for r in rows], "page_id long, url string, html string, Rule string, host string, verdict string")
+    found = urls.judge(table)
+    assert found.columns == ["page_id", "host", "path", "rule", "verdict"]
+    verdicts = {r.page_id: r.verdict for r in found.collect()}
+    assert [verdicts[i] for i in range(len(LINKING))] == [v for _, _, v in LINKING]
+    assert urls.judge(table.where("false")).count() == 0
+
+
 def test_revisits(spark):
     h = {"date": "1", "content-length": "9"}
     rows = [
