@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -93,3 +94,24 @@ def check_packing(docs: dict[int, str | None], rows: list, capacity: int = 2048)
         assert at <= capacity
         padding += 0 if at & (at - 1) == 0 else capacity - at
     return padding
+
+
+def style_tree(rows: list[tuple[str, list[tuple]]]) -> dict[tuple[str, int], tuple]:
+    """op8: pages and importance of each (host, path), from the branches of each different page of a host:
+    (path, presentation, text, characters, characters in links, kinds of child)."""
+    held = defaultdict(list)
+    for host, found in rows:
+        for path, *rest in found:
+            held[host, path].append(rest)
+
+    def spread(values: list) -> float:
+        n = len(values)
+        shares = [values.count(v) / n for v in set(values)]
+        return 1.0 if n == 1 else sum(-p * math.log(p) for p in shares) / math.log(n)
+
+    out = {}
+    for key, each in held.items():
+        shown, texts, sizes, linked, kinds = zip(*each, strict=True)
+        weight = 0.9 ** max(kinds)
+        out[key] = (len(each), (1 - weight) * spread(list(shown)) + weight * spread(list(texts)) * (1 - sum(linked) / sum(sizes)))
+    return out

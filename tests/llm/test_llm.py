@@ -281,6 +281,57 @@ def test_main_text_of_a_host_full_of_copies(spark):
     assert find(near + unlike)[203].startswith("text 3")
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>A<div class=social-history><p>B</div><div class='search-and-rescue'><p>C</div><section id=related-work><p>D</section></article>", "A B C D"),
+        ("<article><p>A<div class=social-links>x</div><div class=commentsArea><p>y</div><p id=ad-3>z</p><div class='skip-link'>w</div></article>", "A"),
+        ("<article><div class=entry-header><h1>A</h1></div><div class=post-header><p>B</div></article><div class=header>x</div>", "A B"),
+        ("<nav><ul><li>menu<article><p>A</p></article>", "A"),
+        ("<form><main><p>A</main></form>", "A"),
+        ("<article><p>A</article><section class=discussion><article><p>me</article></section>", "A"),
+        ("<article><p>A<section class=discussion><p>B</section></article>", "A B"),
+        ("<article><h1>A</h1><p>B<article><p>me</article></article>", "A B"),
+        ("<article><h1>A</h1><article><p>B</article></article>", "A B"),
+        ("<main><p>A<article class='comment odd'><p>me</article></main>", "A"),
+        ("<div hidden><article><p>x</article></div><p>A", "A"),
+        ("<div>" * 50_000 + "A", "A"),
+        ("<p>A" * 50_000, " ".join("A" * 50_000)),
+        ("<p>" + "A&amp;" * 300_000, "A&" * 300_000),
+        ("", ""),
+    ],
+)
+def test_what_is_main_text(page, text):
+    assert pages.main_text(page).replace("\n\n", " ") == text
+
+
+def _site(dice):
+    """Twelve pages whose menu has other links on each page, and a list of facts of a fixed form."""
+    for i in range(12):
+        menu = "".join(f"<li><a href=/{dice.random()}>go {dice.random()}</a>" for _ in range(5))
+        facts = "".join(f"<li>fact {dice.random()}, see <a href=/>here</a>" for _ in range(5))
+        yield i, f"http://h/{i}", f"<div class=x1><ul class=l>{menu}</ul></div><div class=x2>same<p>said {i}</p><ul>{facts}</ul></div><nav>menu {i}</nav>"
+
+
+def test_style_tree(spark):
+    rows = [*_site(random.Random(1)), (50, None, "<p>alone"), (51, "http://h/", None)]
+    rows += [(100 + i, url, page) for i, url, page in rows[:5]]  # copies
+    table = spark.createDataFrame([(*r, "c", 1.0) for r in rows], "page_id long, url string, html string, CUT string, Importance double")
+    read = {(url and "h" or "", page): pages.Page(page or "").branches() for _, url, page in rows}
+    want = brute.style_tree([(host, [(p, *r[:5]) for p, r in found.items()]) for (host, _), found in read.items()])
+    tree = pages.style_tree(table).collect()
+    found = {(r.host, r.path): (r.pages, r.importance) for r in tree}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+    assert any(r.named for r in tree) and all(r.n <= r.pages for r in tree)
+    texts = {r.page_id: r.text for r in pages.extract(table).collect()}
+    assert len(texts) == len(rows) and texts[50] == "alone" and texts[51] == ""
+    assert all("go" not in texts[i] and "menu" not in texts[i] and "same" not in texts[i] for i in range(12))
+    assert all(texts[i].startswith(f"said {i}") and texts[i].count("fact") == 5 for i in range(12))
+    alone = pages.extract(table.where("page_id = 3")).first().text
+    assert "go" in alone and "same" in alone and "menu" not in alone
+    assert pages.extract(table.where("false")).count() == 0 and pages.style_tree(table.where("false")).count() == 0
+
+
 def test_quality(spark, docs, nothing):
     good = [(1000 + i, " ".join(f"w{(i * 7 + k * k) % 50}x" for k in range(60)), 1) for i in range(60)]
     bad = [(2000 + i, "BUY NOW!!! " * 30, 0) for i in range(60)]
