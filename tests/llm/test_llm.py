@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import brute
 import duckdb
@@ -340,6 +341,11 @@ def test_quality(spark, docs, nothing):
     found = quality.quality(table, labels).join(table.select("doc_id", "quality"), "doc_id").collect()
     assert all(r.predicted == r.quality and 0 <= r.score <= 1 for r in found) and any(r.held_out for r in found)
     assert quality.keep_good(table, labels).count() == 60
+    ranking = quality.learn(table, labels)
+    repeated = quality.learn(table.unionByName(table).repartition(5), labels)
+    assert (ranking.weights == repeated.weights).all() and ranking.cut == repeated.cut
+    first = quality.learn(table.unionByName(table.withColumn("text", F.lit("other"))), labels, 10)
+    assert first.weights.shape == ranking.weights.shape
     unlabelled = quality.quality(docs, labels.where("false")).collect()
     assert len(unlabelled) == len(DOCS) and {(r.score, r.predicted) for r in unlabelled} == {(0.5, 1)}
     assert quality.quality(nothing, labels).count() == 0
@@ -396,6 +402,17 @@ def test_pipeline(spark):
         rows = {r.doc_id: r.text for r in kept.collect()}
         had = {r.doc_id: r.text for r in before.collect()}
         assert rows and set(rows) <= set(had)
+        if stage is corpus_pipeline.good_quality:
+            known = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+            fitted = [i for i in sorted(had) if known.get(i) is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+            ranking = quality.fit(np.array([quality.features(had[i]) for i in fitted]), np.array([known[i] for i in fitted]))
+            assert set(rows) == {i for i, t in had.items() if ranking.scores(np.array([quality.features(t)]))[0] >= 0.5}
+        if stage is corpus_pipeline.benchmark_free:
+            con = duckdb.connect()
+            con.register("documents", before.select("doc_id", "text").toPandas())
+            con.register("benchmark", spark.read.parquet(f"{SMALL}/benchmark.parquet").toPandas())
+            hit = con.execute(f"SELECT doc_id FROM ({ORACLES['op3_decontamination']}) WHERE contaminated").fetchall()
+            assert set(rows) == set(had) - {i for (i,) in hit}
         if stage is corpus_pipeline.exact_copies:
             last = {t: i for i, t in sorted(had.items())}
             assert set(rows) == set(last.values())
@@ -404,3 +421,10 @@ def test_pipeline(spark):
         kept = spark.createDataFrame(kept.collect(), kept.schema)
     packed = [r.asDict() for r in corpus_pipeline.run(spark, SMALL).collect()]
     assert brute.check_packing(rows, packed) == 0
+
+
+def test_pipeline_over_no_documents(spark):
+    kept = spark.read.parquet(f"{SMALL}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, kept, SMALL)
+        assert kept.count() == 0

@@ -109,12 +109,16 @@ def _vector(text: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Ranking:
-    """Fit on labelled documents outside the held-out fold; labels without id or quality are ignored."""
+    """Fit on labelled documents outside the held-out fold; labels without id or quality are ignored.
+
+    Of rows that repeat a doc_id one, chosen by the hash of its text, is fitted on.
+    """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().distinct()
     known = known.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    found = rows.select("doc_id", "quality", _vector(F.col("text")).alias("x")).toPandas()  # at most max_labelled documents
+    rows = rows.select("doc_id", "quality", F.xxhash64("text").alias("order"), _vector(F.col("text")).alias("x"))
+    found = rows.groupBy("doc_id", "quality").agg(F.min_by("x", "order").alias("x")).toPandas()  # at most max_labelled rows
     found = found.sort_values(["doc_id", "quality"], kind="stable")
     x = np.array(found["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return fit(x, found["quality"].to_numpy())
