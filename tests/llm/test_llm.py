@@ -428,3 +428,17 @@ def test_pipeline_over_no_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         kept = stage(spark, kept, SMALL)
         assert kept.count() == 0
+
+
+def test_the_network_knows_the_words_most_frequent_over_all_chunks(spark, monkeypatch):
+    import zlib
+
+    width = 2 * language_model.HEAD
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5 != 1][:8]
+    rows = [(i, " ".join([f"w{i}x{k}" for k in range(width)] * 3) + " common common") for i in ids]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")  # a chunk each
+    seen, fresh = [], language_model.Network.fresh
+    monkeypatch.setattr(language_model.Network, "fresh", staticmethod(lambda f: seen.append(f) or fresh(f)))
+    assert language_model.score(docs).count() == len(rows)
+    # In every chunk more words than the head has places come before the common one and the end.
+    assert seen[0][:3].tolist() == [16, 8, 3] and seen[0].sum() == 8 * (3 * width + 3)

@@ -1,7 +1,7 @@
 """A gated recurrent language model with a class-factored softmax, next to a unigram base.
 
-Every training document counts towards the vocabulary. The network knows the most frequent words (the head), dealt
-into classes by frequency; all other words are one class, inside which a word's probability is its share of the
+Every training document counts towards the vocabulary. The network knows the words most frequent over all of them (the
+head, by exact counts), dealt into classes by frequency; all other words are one class, inside which a word's probability is its share of the
 class's training counts. So every token of every text has a probability, and a text's score is the sum of their logs.
 
 Training is data-parallel: every training document takes part in exactly one round, by the hash of its id. In each
@@ -58,6 +58,25 @@ def _keys(words: list[bytes]) -> np.ndarray:
     return np.fromiter((digest(w) for w in words), np.uint64, len(words))
 
 
+def _most_frequent(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The HEAD keys with the largest sums of their counts, above zero, and the sums; equal ones by their keys."""
+    distinct, where = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, where, counts.astype(np.int64))
+    top = np.lexsort((distinct, -total))[:HEAD]
+    top = top[total[top] > 0]
+    return distinct[top], total[top]
+
+
+def _places(keys: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The place of each key in the head, HEAD for all others."""
+    if not len(head):
+        return np.full(len(keys), HEAD, np.int64)
+    order = np.argsort(head)
+    at = order[np.minimum(np.searchsorted(head, keys, sorter=order), len(head) - 1)]
+    return np.where(head[at] == keys, at, HEAD)
+
+
 class Words:
     """The distinct tokens of a chunk in the order of their hashes, and how often its training documents have them."""
 
@@ -283,43 +302,35 @@ def score(docs: DataFrame) -> DataFrame:
     buckets = max(1, -(-int(total * 0.03) // BUCKET_KEYS))
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A chunk's words by bucket and, as bucket -1, its most frequent words."""
+        """A chunk's words by bucket, with their counts."""
         for batch in rows:
             for row in range(batch.num_rows):
                 chunk, ids, at, data = C.opened(batch, row)
                 words = Words(ids, at, data, buckets)
                 counts = words.counts()
                 yield C.questions(chunk, words.bucket, lambda s: pack(words.keys[s], counts[s]))  # noqa: B023
-                top = np.lexsort((words.keys, -counts.astype(np.int64)))[: 2 * HEAD]
-                blob = counts[top].astype("<u4").tobytes() + b" ".join([words.words[i] for i in top.tolist()])
-                size = len(top).to_bytes(4, "little")
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([chunk]), pa.array([size + blob], pa.binary())], schema=C.QUESTION)
 
     asked = cut_lineage(table.mapInArrow(ask, "bucket int, chunk long, blob binary"))
-    counted = cut_lineage(C.answered(asked.where("bucket >= 0"), _add))
+    counted = cut_lineage(C.answered(asked, _add))
     known = C.with_answers(table, counted, "counts")
 
-    def frequent(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for blob in batch.column(0):
-                raw = blob.as_py()
-                n = int.from_bytes(raw[:4], "little")
-                columns = [pa.array(raw[4 + 4 * n :].split(b" ")[:n], pa.binary()), pa.array(np.frombuffer(raw, "<u4", n, 4).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["word", "n"])
-
-    def distinct(table_: pa.Table) -> pa.Table:
-        keys, seen = zip(*(unpack(b, "u8", "u4") for b in table_.column("blob").to_pylist()), strict=True)
-        keys, seen = np.concatenate(keys), np.concatenate(seen)
-        return pa.table({"n": pa.array([int(seen.sum())], pa.int64()), "v": pa.array([len(np.unique(keys[seen > 0]))], pa.int64())})
-
-    sizes = asked.where("bucket >= 0").groupBy("bucket").applyInArrow(distinct, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    n_all, v_all = int(sizes[0] or 0), int(sizes[1] or 0)
-    ranked = asked.where("bucket = -1").select("blob").mapInArrow(frequent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    head = ranked.where("n > 0").orderBy(F.desc("n"), "word").limit(HEAD).collect()  # the network's vocabulary, of fixed size
-    places = {bytes(r.word): i for i, r in enumerate(head)}
+    def sized(table_: pa.Table) -> pa.Table:
+        """A bucket's tokens and distinct words and, by their sums over all chunks, its most frequent words."""
+        keys, seen = (np.concatenate(c) for c in zip(*(unpack(b, "u8", "u4") for b in table_.column("blob").to_pylist()), strict=True))
+        top, sums = _most_frequent(keys, seen)
+        columns = [int(seen.sum(dtype=np.int64))], [len(np.unique(keys[seen > 0]))], [top.view(np.int64).tolist()], [sums.tolist()]
+        kinds = pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["n", "v", "keys", "sums"])
+
+    sizes = cut_lineage(asked.groupBy("bucket").applyInArrow(sized, "n long, v long, keys array<long>, sums array<long>"))
+    n_all, v_all = (int(x or 0) for x in sizes.agg(F.sum("n"), F.sum("v")).first())
+    # A word lies in one bucket, so the most frequent of all are among the most frequent of their buckets.
+    ranked = sizes.select(F.explode(F.arrays_zip("keys", "sums")).alias("w")).select("w.*")
+    top = ranked.orderBy(F.desc("sums"), "keys").limit(HEAD).collect()  # the network's vocabulary, of fixed size
+    head = np.array([r["keys"] for r in top], np.int64).view(np.uint64)
     frequencies = np.zeros(HEAD + 1)
-    frequencies[: len(head)] = [r.n for r in head]
-    rest, rest_words = n_all - int(frequencies.sum()), v_all - len(head)
+    frequencies[: len(top)] = [r["sums"] for r in top]
+    rest, rest_words = n_all - int(frequencies.sum()), v_all - len(top)
     frequencies[HEAD] = max(0, rest)
     network = Network.fresh(frequencies)
 
@@ -334,7 +345,9 @@ def score(docs: DataFrame) -> DataFrame:
                     take = _in_round(ids, turn)
                     raw = data.tobytes()
                     lower = [raw[a:b].translate(ASCII_LOWER).split() for a, b, t in zip(at[:-1].tolist(), at[1:].tolist(), take, strict=True) if t]
-                    texts = [np.array([places.get(w, HEAD) for w in (*doc, END)], np.int64) for doc in lower]
+                    words = list({END}.union(*lower))
+                    places = dict(zip(words, _places(_keys(words), head).tolist(), strict=True))
+                    texts = [np.array([places[w] for w in (*doc, END)], np.int64) for doc in lower]
                     if texts:
                         train(own, texts, memory)
                         seen += sum(map(len, texts))
@@ -385,7 +398,7 @@ def score(docs: DataFrame) -> DataFrame:
                 words = Words(ids, at, data, buckets)
                 c = words.answers(C.answers_of(batch, row, "counts"))
                 base = np.log10((c + 0.5) / (n_all + 0.5 * (v_all + 1)))
-                head_of = np.array([places.get(w, HEAD) for w in words.words], np.int64)
+                head_of = _places(words.keys, head)
                 # Inside the last class: the share of its counts, with half a count for each word and one for all unseen.
                 inside = np.where(head_of == HEAD, np.log10((c + 0.5) / (max(0, rest) + 0.5 * (max(0, rest_words) + 1))), 0.0)
                 place = {w: i for i, w in enumerate(words.words)}
