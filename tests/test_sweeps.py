@@ -80,3 +80,20 @@ def test_days_that_agree_are_left_out(spark):
     bare = left.select("listing_id", "amount_minor_units")
     assert history_diff(bare, bare.where("amount_minor_units <> 3")).count() == 1
     assert history_diff(left, left).isEmpty()
+
+
+def test_the_name_of_a_file_takes_time_by_the_length_of_its_path():
+    import re
+    import time
+
+    from tidemark.sources import sweeps
+
+    found = re.compile(getattr(sweeps, "FILE", r"([^/]+=[^/]*/)*[^/]+$"))
+    cases = [
+        ("file:/a/t/source_id=s/part.parquet", "source_id=s/part.parquet"), ("file:///a/t/x=1/y=a=b/p", "x=1/y=a=b/p"),
+        ("/a=1/t/x=/p", "x=/p"), ("/a/t/p=1.parquet", "p=1.parquet"), ("p", "p"),
+    ]
+    assert [found.search(path).group() for path, _ in cases] == [want for _, want in cases]
+    began = time.monotonic()
+    assert found.search("/" + "a" * 20_000 + "/x=1/p").group() == "x=1/p"
+    assert time.monotonic() - began < 0.5

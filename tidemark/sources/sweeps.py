@@ -23,11 +23,14 @@ from tidemark.session import cut_lineage
 
 #: How long a sweep waits for another one that has taken a number and not yet signed it.
 WAIT_SECONDS = 60
+#: Partition folders and name at the end of a path. It is matched for every row, so it is tried at the start of each
+#: segment only, and without backtracking.
+FILE = r"(?<![^/])(?:[^/=]++=[^/]*+/)*+[^/]++$"
 
 
 def _file() -> Column:
     """A row's file by its partition folders and name, the same however the table's path is written."""
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+=[^/]*/)*[^/]+$", 0)
+    return F.regexp_extract(F.col("_metadata.file_path"), FILE, 0)
 
 
 def _files(spark: SparkSession, path: str) -> tuple:
