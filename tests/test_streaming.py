@@ -1,5 +1,7 @@
 """Streams against the batch operators on the same rows, split over files and restarts."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from tidemark.config import DAY_MS, BreakerSettings, Registry, Rule, Source
@@ -125,6 +127,27 @@ def test_ingest_stream_splits_without_loss(spark, tmp_path):
     assert kept.where("raw_context_retention_hours = 24 and source_time_zone = 'UTC' and availability is null").count() == kept.count()
 
 
+def test_an_ingest_stream_caches_nothing_and_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from tidemark.session import shared_folder
+
+    def refuse(self, *_):
+        raise AssertionError("a cached split is read whole by one task")
+
+    monkeypatch.setattr(DataFrame, "persist", refuse)
+    rows = spark.range(30).selectExpr(
+        "'s' AS source_id", "string(id) AS listing_id", "'observed' AS kind", "string(null) AS reason", "id - 3 AS amount_minor_units",
+        "'USD' AS currency", "'' AS availability", "cast(null AS long) AS vendor_updated_ms", "'raw' AS raw_context",
+        "timestamp_millis(1000L) AS received_at",
+    )
+    source, history, quarantine, checkpoint = (str(tmp_path / n) for n in ("in", "h", "q", "cp"))
+    rows.write.parquet(source)
+    _drain(stream_ingest(_stream(spark, source, rows.schema), Registry((Source("s", "USD", "UTC", 24),)), history, quarantine), checkpoint)
+    assert (spark.read.parquet(history).count(), spark.read.parquet(quarantine).count()) == (27, 3)
+    assert not [name for name in os.listdir(shared_folder(spark)) if name.startswith("judged-")]
+
+
 def test_a_request_without_a_status_is_a_failure_of_the_breaker_query(spark, monkeypatch):
     from tidemark.plans import queries, views
 

@@ -18,6 +18,8 @@ from tidemark.functions.instants import millis
 from tidemark.operators.history import accepted, ingest, refused
 from tidemark.operators.requestlog import period_counts
 from tidemark.operators.rules import between, window_low
+from tidemark.session import scratch_path
+from tidemark.sources.sweeps import _files
 from tidemark.streaming import folders
 
 
@@ -29,12 +31,17 @@ def stream_ingest(outcomes: DataFrame, registry: Registry, history: str, quarant
     """Outcomes to the history (read it with `folders.read`) and the quarantine; nothing is dropped."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        judged = ingest(batch, registry).persist()
+        spark = batch.sparkSession
+        # Judged once, in files, which later tasks read in bounded pieces: a cached split is many times its file's size.
+        path, told = scratch_path(spark, "judged"), ingest(batch, registry)
         try:
+            told.write.parquet(path)
+            judged = spark.read.schema(told.schema).parquet(path)
             folders.append(accepted(judged), history, batch_id)
             _replace(refused(judged), quarantine, batch_id)
         finally:
-            judged.unpersist()
+            fs, folder = _files(spark, path)
+            fs.delete(folder, True)
 
     return outcomes.writeStream.foreachBatch(write)
 
