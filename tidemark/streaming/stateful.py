@@ -9,7 +9,7 @@ trigger bounds what a task holds.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from decimal import Decimal
 from fractions import Fraction
 
@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.config import BreakerSettings, Rule
 
@@ -45,29 +46,29 @@ def _in_order(rows: Iterator[pd.DataFrame], by: Sequence[str]) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(list(by))
 
 
-class Cooldown(StatefulProcessor):
-    """Lets a firing through when the last one let through is at least a cooldown back."""
+def _cooldown(cooldown_ms: dict[str, int]) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Lets a firing through when the last one let through is at least a cooldown back.
 
-    def __init__(self, cooldown_ms: dict[str, int]) -> None:
-        self.cooldown_ms = cooldown_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last_fired", _INSTANT)
+    The state travels with the rows, many keys to a batch, where a state server would be asked for every key.
+    """
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        firings = _in_order(rows, ("at_ms", "amount_minor_units", "obs_id"))
-        last = self.last.get()[0] if self.last.exists() else None
+    def judge(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = list(rows)
+        firings = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        # Most keys have a handful of rows, for which sorting a frame takes longer than all the rest.
+        columns = [firings[name].tolist() for name in ("at_ms", "amount_minor_units", "obs_id", "rule_id")]
+        turns = sorted(zip(*columns, range(len(firings)), strict=True), key=lambda row: [(pd.isna(cell), cell) for cell in row[:3]])
+        last = state.get[0] if state.exists else None
         kept = []
-        for row in firings[KEPT.names].itertuples(index=False):
-            if last is None or row.at_ms >= last + self.cooldown_ms[row.rule_id]:
-                kept.append(row)
-                last = row.at_ms
+        for at, _, _, rule, place in turns:
+            if last is None or at >= last + cooldown_ms[rule]:
+                kept.append(place)
+                last = at
         if kept:
-            self.last.update((int(last),))
-            yield pd.DataFrame(kept, columns=KEPT.names)
+            state.update((int(last),))
+            yield firings if kept == list(range(len(firings))) else firings.iloc[kept]
 
-    def close(self) -> None:
-        pass
+    return judge
 
 
 class BreakerState(StatefulProcessor):
@@ -146,11 +147,9 @@ class BreakerState(StatefulProcessor):
 def stream_cooldowns(firings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The firings of a stream that a per-listing, per-rule cooldown lets through."""
     firings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return firings.select(*KEPT.names).groupBy("source_id", "listing_id", "rule_id").transformWithStateInPandas(
-        statefulProcessor=Cooldown({rule.rule_id: rule.cooldown_ms for rule in rules}),
-        outputStructType=KEPT,
-        outputMode="Append",
-        timeMode="None",
+    judge = _cooldown({rule.rule_id: rule.cooldown_ms for rule in rules})
+    return firings.select(*KEPT.names).groupBy("source_id", "listing_id", "rule_id").applyInPandasWithState(
+        judge, outputStructType=KEPT, stateStructType=_INSTANT, outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout
     )
 
 
