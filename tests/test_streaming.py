@@ -174,3 +174,26 @@ def test_breaker_batches_out_of_order(spark, tmp_path):
     # into the pause is dropped, and the window starts empty behind it.
     got = _rows(spark.read.parquet(out), "source_id", "tripped_ms", "paused_until_ms", "failures", "outcomes")
     assert got == [("s", 3_200_000, 4_400_000, 2, 4), ("s", 9_000_003, 10_200_003, 4, 4)]
+
+
+def test_cooldown_state_comes_with_the_rows(spark, tmp_path):
+    import pandas as pd
+
+    from tidemark.streaming import stateful
+
+    class State:
+        exists, get, told = True, (1_000,), None
+
+        def update(self, value):
+            self.told = value
+
+    names, state = stateful.KEPT.names, State()
+    parts = [
+        pd.DataFrame([("s", "1", "r", at, obs, amount)], columns=names)
+        for at, obs, amount in ((4_500, "d", 1), (2_500, "b", 2), (2_500, "a", 2), (1_500, "z", 1), (2_500, "c", 1))
+    ]
+    kept = pd.concat(stateful._cooldown({"r": 1_500})(("s", "1", "r"), iter(parts), state))
+    assert (kept["obs_id"].tolist(), state.told) == (["c", "d"], (4_500,))
+    firings = spark.readStream.schema(stateful.KEPT).parquet(str(tmp_path))
+    plan = stream_cooldowns(firings, [RULE])._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan  # no server that is asked for each key
