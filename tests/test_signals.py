@@ -87,6 +87,16 @@ def test_a_gap_keeps_the_last_state(spark):
         assert told(spark, points, back_in_stock(), hot_rows=hot_rows) == [("no-earlier-state", 0, None), ("unknown", 1, None), ("fired", 2, 5)]
 
 
+def test_a_long_listing_is_cut_only_for_windows_with_a_lower_end(spark, monkeypatch):
+    points = [("a", NOW + i * DAY_MS // 4, 1000 + i * 7919 % 613, "USD", STATES[i * 31 % 6]) for i in range(signals.FRAME_ROWS + 100)]
+    want = told(spark, points, back_in_stock(), hot_rows=0)
+    cut = []
+    monkeypatch.setattr(signals, "_chunked", lambda *given, plain=signals._chunked: cut.append(given) or plain(*given))
+    assert told(spark, points, back_in_stock()) == want and not cut
+    told(spark, points, low("low", DAY_MS, 1, 1))
+    assert len(cut) == 1
+
+
 def test_bounds_of_the_exact_comparison(spark):
     huge, big = 2**63 - 1, 10**12
     four = lambda x, p: [("a", NOW + i, v) for i, v in enumerate([x, x, x, p])]
