@@ -1,9 +1,12 @@
 """Sweeps next to appends and other sweeps, and comparisons of histories whose schemas differ."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.config import DAY_MS, HOUR_MS
+from tidemark.operators import history
 from tidemark.operators.history import history_diff, retention_expired, schema_diff, sweep_retention
 from tidemark.sources import sweeps
 from tidemark.sources.tables import append_observations, read_observations, sweep_history
@@ -82,6 +85,36 @@ def test_days_that_agree_are_left_out(spark):
     assert history_diff(left, left).isEmpty()
 
 
+def test_compared_rows_travel_once_as_values(spark, monkeypatch):
+    monkeypatch.setattr(history, "ROWS_PER_TASK", 10)
+    left = _rows(spark, 0, 40)
+    right = left.withColumn("raw_context", F.lit(None).cast("string"))
+    found = history_diff(left, right)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 1 and ", 8), REPARTITION_BY_NUM" in dealt[0] and "amount_minor_units" in dealt[0]
+    # Nothing is combined between the reading and the exchange.
+    assert "HashAggregate" not in plan[plan.index(dealt[0]) :]
+    got = {(r.obs_id, r.side): r for r in found.collect()}
+    assert len(got) == 80 and got["7", "right"].raw_context is None
+    for r in history.snapshot(left).collect():
+        assert got[r.obs_id, "left"][: len(left.columns)] == r
+
+
+def test_compared_texts_of_all_lengths(spark):
+    texts = [None, "", "a", "x" * 15, "x" * 16, "x" * 17, "\u00e9" * 8, "y" * 9000]
+    left = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "obs_id int, raw_context string")
+    for i in range(len(texts)):
+        right = spark.createDataFrame([(k, texts[i] if k == 0 else t) for k, t in enumerate(texts)], "obs_id long, raw_context string")
+        got = sorted((r.side, r.obs_id, r.raw_context) for r in history_diff(left, right).collect())
+        md5 = None if texts[i] is None else hashlib.md5(texts[i].encode()).hexdigest()
+        assert got == ([] if i == 0 else [("left", "0", None), ("right", "0", md5)])
+    bare = left.select("raw_context")
+    assert history_diff(bare, bare).isEmpty()
+    swapped = spark.createDataFrame([(1, None), (None, 2)], "a int, b int")
+    assert history_diff(swapped.where("a = 1"), swapped.selectExpr("b as a", "a as b").where("b = 1")).count() == 2
+
+
 def test_the_name_of_a_file_takes_time_by_the_length_of_its_path():
     import re
     import time
