@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DAY_MS, BreakerSettings, Registry, Rule, Source
 from tidemark.operators.requestlog import breaker_replay, period_counts
 from tidemark.operators.rules import fired, replay_alerts, window_low
+from tidemark.streaming import batches
 from tidemark.streaming.batches import latest_counts, stream_ingest, stream_period_counts, stream_window_low
 from tidemark.streaming.stateful import stream_breaker, stream_cooldowns
 
@@ -60,6 +61,32 @@ def test_window_low_stream_matches_batch(spark, tmp_path):
     assert got.select("batch").distinct().count() == 3
 
 
+def test_a_batch_reads_its_own_rows_once(spark, tmp_path, monkeypatch):
+    rows = _observations(spark)
+    source, history, verdicts, checkpoint = (str(tmp_path / n) for n in ("in", "history", "verdicts", "cp"))
+    _files(rows.withColumn("k", F.col("obs_id").cast("long")), source, "k", 3)
+    asked = []
+
+    def spied(earlier, *given, only, **options):
+        asked.append((earlier.count(), only.count(), earlier.join(only, "obs_id", "left_semi").count()))
+        return window_low(earlier, *given, only=only, **options)
+
+    monkeypatch.setattr(batches, "window_low", spied)
+    _drain(stream_window_low(_stream(spark, source, rows.schema), [RULE], history, verdicts), checkpoint)
+    assert asked[0][0] == 0 and asked[1][0] and [n for _, n, _ in asked] == [200] * 3 and not any(both for *_, both in asked)
+
+
+def test_joining_rows_count_like_the_others(spark):
+    rows = _observations(spark).unionByName(_observations(spark).where("obs_id = '00599'").withColumns({"listing_id": F.lit(None), "obs_id": F.lit("x")}))
+    earlier, late = rows.where("try_cast(obs_id AS int) % 5 <> 0"), rows.where("try_cast(obs_id AS int) % 5 = 0 OR obs_id = 'x'")
+    columns = ("obs_id", "status", "window_count", "reference_amount", "reference_at_ms", "mismatch_currency")
+    key = lambda r: tuple("" if v is None else str(v) for v in r)
+    for hot_rows in (2_000, 50):
+        want = window_low(earlier.unionByName(late), [RULE], hot_rows=hot_rows).join(late.select("obs_id"), "obs_id", "left_semi")
+        got = window_low(earlier, [RULE], only=late, hot_rows=hot_rows, joining=True)
+        assert sorted(map(key, got.select(*columns).collect())) == sorted(map(key, want.select(*columns).collect()))
+
+
 def test_cooldown_state_survives_a_restart(spark, tmp_path):
     firings = fired(window_low(_observations(spark), [RULE])).select(
         "source_id", "listing_id", "rule_id", "at_ms", "obs_id", "amount_minor_units"

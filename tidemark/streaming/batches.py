@@ -68,9 +68,11 @@ def stream_window_low(
         if span[0] is None:
             _replace(window_low(arrived, rules, history_keys), verdicts, batch_id)
             return
-        # Only the months that a window of this batch reaches are listed, and few folders in each.
-        stored = folders.read(spark, history, batch.schema, span[0] - widest, span[1])
-        _replace(window_low(between(stored, span[0] - widest, span[1]), rules, history_keys, only=arrived), verdicts, batch_id)
+        # Only the months that a window of this batch reaches are listed, and few folders in each. Its own rows are read
+        # once, as those that ask and count.
+        stored = folders.read(spark, history, batch.schema, span[0] - widest, span[1], but=batch_id)
+        earlier = between(stored, span[0] - widest, span[1])
+        _replace(window_low(earlier, rules, history_keys, only=arrived, joining=True), verdicts, batch_id)
 
     return observations.writeStream.foreachBatch(write)
 

@@ -84,8 +84,13 @@ def _tidy(spark: SparkSession, folder: str, schema: StructType, batch_id: int) -
             rows.write.mode("overwrite").parquet(f"{folder}/{_name(merged)}")
 
 
-def folders(spark: SparkSession, path: str, after_ms: int | None = None, until_ms: int | None = None) -> list[str]:
-    """The folders that hold `after <= observed_at <= until`, or everything: what a reader has to list."""
+def folders(
+    spark: SparkSession, path: str, after_ms: int | None = None, until_ms: int | None = None, but: int | None = None
+) -> list[str]:
+    """The folders that hold `after <= observed_at <= until`, or everything: what a reader has to list.
+
+    `but` leaves out what the batch of that id wrote, as long as no later batch has been.
+    """
     first, last = (None if ms is None else _month(ms) for ms in (after_ms, until_ms))
     asked: Iterable[str] = _months(spark, path)
     if first is not None and last is not None:
@@ -93,7 +98,7 @@ def folders(spark: SparkSession, path: str, after_ms: int | None = None, until_m
     out = []
     for month in asked:
         parts = _parts(spark, f"{path}/month={month}")
-        out += [f"{path}/month={month}/{_name(p)}" for p in sorted(set(parts) - _covered(parts))]
+        out += [f"{path}/month={month}/{_name(p)}" for p in sorted(set(parts) - _covered(parts)) if p != (0, but, but)]
     return out
 
 
@@ -105,7 +110,9 @@ def arrived(spark: SparkSession, path: str, schema: StructType, batch_id: int) -
     return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
 
 
-def read(spark: SparkSession, path: str, schema: StructType | str, after_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
+def read(
+    spark: SparkSession, path: str, schema: StructType | str, after_ms: int | None = None, until_ms: int | None = None, but: int | None = None
+) -> DataFrame:
     """The rows of a stretch of the history (whole months of it), or all of them; each once, merged or not."""
-    asked = folders(spark, path, after_ms, until_ms)
+    asked = folders(spark, path, after_ms, until_ms, but)
     return spark.read.schema(schema).parquet(*asked) if asked else spark.createDataFrame([], schema)
