@@ -442,3 +442,46 @@ def test_the_network_knows_the_words_most_frequent_over_all_chunks(spark, monkey
     assert language_model.score(docs).count() == len(rows)
     # In every chunk more words than the head has places come before the common one and the end.
     assert seen[0][:3].tolist() == [16, 8, 3] and seen[0].sum() == 8 * (3 * width + 3)
+
+
+def test_lanes_stay_full_until_the_last_group():
+    dice = np.random.default_rng(3)
+    sizes = [[5], [300, *dice.integers(1, 30, 40)], [7], [*dice.integers(1, 30, 60)], [90, 2]]
+    groups = [[dice.integers(0, language_model.HEAD, n) for n in own] for own in sizes]
+    docs = [doc for group in groups for doc in group]
+    read, before, at_lane, short = [[] for _ in docs], [], {}, 0
+    for who, previous, token, begins, came in language_model.lanes(groups, 4, 8):
+        for lane, old in enumerate(came.tolist()):
+            live = who[:, lane] >= 0
+            short += not live.all() or len(came) < 4
+            first = int(who[0, lane])
+            # A document that doesn't begin here goes on in the lane that had it before.
+            assert begins[0, lane] or before[old] == first
+            for i, x, y, new in zip(*(a[live, lane].tolist() for a in (who, previous, token, begins)), strict=True):
+                assert new == (not read[i]) and x == (read[i][-1] if read[i] else language_model.HEAD)
+                read[i].append(y)
+        before = who[-1].tolist()
+    assert [*map(list, docs)] == read
+    assert short <= 4 * -(-300 // 8)  # a tail once, not with every group
+    full = sum(map(len, docs)) // 32
+    windows = sum(1 for _ in language_model.lanes(groups, 4, 8))
+    apart = sum(1 for group in groups for _ in language_model.lanes([group], 4, 8))
+    assert windows < apart and windows <= full + -(-300 // 8)
+
+
+def test_gradients_against_finite_differences(monkeypatch):
+    dice = np.random.default_rng(4)
+    weights = language_model.Network.fresh(dice.integers(1, 50, language_model.HEAD + 1).astype(float)).w
+    weights = {k: v + (0.3 * dice.standard_normal(v.shape)).astype(np.float32) for k, v in weights.items()}
+    docs = [dice.integers(0, language_model.HEAD + 1, n) for n in (16, 9, 12, 3, 1)]
+    found = {}
+    monkeypatch.setattr(language_model.Learner, "_move", lambda self, rows, grads: found.update(rows=rows, E=grads))
+    learner = language_model.Learner(weights)
+    language_model.train(learner, [docs])  # one window, so nothing is truncated
+    grads = {**learner.g, "E": np.zeros_like(weights["E"])}
+    grads["E"][found["rows"]] = found["E"]
+    loss = lambda w: -language_model.log_likelihoods(language_model.Network(w), docs).sum() / len(docs)
+    for name, weight in weights.items():
+        way = grads[name] / np.linalg.norm(grads[name])
+        up, down = (loss({**weights, name: (weight + e * way).astype(np.float32)}) for e in (0.01, -0.01))
+        assert (up - down) / 0.02 == pytest.approx(np.linalg.norm(grads[name]), rel=0.02), name

@@ -24,6 +24,18 @@ SCHEMA = pa.schema([("chunk", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.b
 DDL = "chunk long, n_bytes long, ids binary, ends binary, data binary"
 
 
+def chunked(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """chunk, ids, offsets and bytes of whole documents (doc_id, text), inside a task; numbers hold as long as its input does."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in rows:
+        ids, (data, at) = doc_ids(batch.column(0)), utf8(batch.column(1))
+        first = 0
+        while first < len(ids):
+            last = max(first + 1, int(np.searchsorted(at, at[first] + size, side="right")) - 1)
+            yield number, ids[first:last], at[first : last + 1] - at[first], data[at[first] : at[last]]
+            number, first = number + 1, last
+
+
 def gather(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     """Chunks of whole documents, written to the shared folder, so that their numbers hold for all later steps.
 
@@ -31,18 +43,10 @@ def gather(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in rows:
-            ids, (data, at) = doc_ids(batch.column(0)), utf8(batch.column(1))
-            first = 0
-            while first < len(ids):
-                last = max(first + 1, int(np.searchsorted(at, at[first] + size, side="right")) - 1)
-                part = data[at[first] : at[last]]
-                ends = (at[first + 1 : last + 1] - at[first]).astype("<i8")
-                columns = [[number], [len(part)], [ids[first:last].tobytes()], [ends.tobytes()], [pack.compress(part.tobytes())]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
-                number, first = number + 1, last
+        for number, ids, at, part in chunked(rows, size):
+            columns = [[number], [len(part)], [ids.tobytes()], [at[1:].astype("<i8").tobytes()], [pack.compress(part.tobytes())]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
 
     return cut_lineage(docs.select("doc_id", "text").mapInArrow(run, DDL))
 

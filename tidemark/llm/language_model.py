@@ -12,10 +12,11 @@ hidden state through a whole document, over all its windows.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain, count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import chunks as C
-from tidemark.llm.common import ASCII_LOWER, pack, unpack
+from tidemark.llm.common import ASCII_LOWER, pack, runs, unpack
 from tidemark.session import cut_lineage
 
 HELD_OUT, FOLDS = 1, 5
@@ -39,11 +40,6 @@ END = b"\n"  # no word contains it
 BUCKET_KEYS = 250_000
 
 
-def _tokens(raw: bytes, at: np.ndarray) -> list[list[bytes]]:
-    lower = raw.translate(ASCII_LOWER)
-    return [[*lower[a:b].split(), END] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-
-
 def _learns(ids: np.ndarray) -> np.ndarray:
     return np.array([i == C.MISSING or zlib.crc32(str(i).encode()) % FOLDS != HELD_OUT for i in ids.tolist()], bool)
 
@@ -78,42 +74,72 @@ def _places(keys: np.ndarray, head: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The distinct tokens of a chunk in the order of their hashes, and how often its training documents have them."""
+    """A chunk as numbers: its distinct tokens in the order of their hashes, their counts in training documents, and each
+    token of each document by its place in that order."""
 
     def __init__(self, ids: np.ndarray, at: np.ndarray, data: np.ndarray, buckets: int):
-        self.docs = _tokens(data.tobytes(), at)
-        self.learns = _learns(ids)
-        words = list(set().union(*self.docs))
-        keys = _keys(words)
+        lower = data.tobytes().translate(ASCII_LOWER)
+        docs = [[*lower[a:b].split(), END] for a, b in pairwise(at.tolist())]
+        self.lengths = np.fromiter(map(len, docs), np.int64, len(docs))
+        number: defaultdict[bytes, int] = defaultdict(count().__next__)  # a new word gets the next number
+        tokens = np.fromiter(map(number.__getitem__, chain.from_iterable(docs)), np.int64, int(self.lengths.sum()))
+        keys = _keys(list(number))
         order = np.argsort(keys, kind="stable")
-        self.words, self.keys = [words[i] for i in order.tolist()], keys[order]
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        self.keys, self.tokens = keys[order], place[tokens]
+        self.counts = np.bincount(self.tokens[np.repeat(_learns(ids), self.lengths)], minlength=len(order)).astype(np.uint32)
         self.bucket = ((self.keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-    def counts(self) -> np.ndarray:
-        counts: Counter[bytes] = Counter()
-        for doc, learns in zip(self.docs, self.learns, strict=True):
-            if learns:
-                counts.update(doc)
-        return np.array([counts[w] for w in self.words], np.uint32)
 
-    def answers(self, found: dict[int, bytes]) -> np.ndarray:
-        out = np.zeros(len(self.words), np.int64)
-        for bucket, blob in found.items():
-            out[slice(*np.searchsorted(self.bucket, [bucket, bucket + 1]))] = unpack(blob, "u8")[0]
-        return out
+WORDS_DDL = "chunk long, ids binary, lengths binary, tokens binary, words array<struct<bucket:int,blob:binary>>"
+WORDS = pa.schema(
+    [("chunk", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary()),
+     ("words", pa.list_(pa.struct([("bucket", pa.int32()), ("blob", pa.binary())])))]
+)
+
+
+def _by_words(docs: DataFrame, buckets: int) -> DataFrame:
+    """Chunks of whole documents as numbers, with the keys and counts of their words by bucket; written once."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, ids, at, data in C.chunked(rows, C.CHUNK_BYTES):
+            words = Words(ids, at, data, buckets)
+            asked = C.questions(chunk, words.bucket, lambda s: pack(words.keys[s], words.counts[s]))  # noqa: B023
+            blobs = pa.array(asked.select(["bucket", "blob"]).to_pylist(), WORDS.field("words").type.value_type)
+            cells = [[chunk], [ids.tobytes()], [words.lengths.tobytes()], [pack(words.tokens)]]
+            columns = [pa.array(c, f.type) for c, f in zip(cells, WORDS, strict=False)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(blobs)], pa.int32()), blobs)], schema=WORDS)
+
+    return cut_lineage(docs.select("doc_id", "text").mapInArrow(run, WORDS_DDL))
+
+
+def _opened(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, lengths and tokens of a chunk."""
+    get = lambda name: batch.column(batch.schema.get_field_index(name))[row].as_py()
+    return np.frombuffer(get("ids"), np.int64), np.frombuffer(get("lengths"), np.int64), unpack(get("tokens"), "u4")[0]
 
 
-def _add(blobs: list[bytes]) -> list[bytes]:
+def _by_bucket(batch: pa.RecordBatch, row: int, name: str, *types: str) -> list[np.ndarray]:
+    """Arrays over all words of a chunk, put together from its buckets, which are in the order of the hashes too."""
+    found = C.answers_of(batch, row, name)
+    return [np.concatenate(c) for c in zip(*(unpack(found[k], *types) for k in sorted(found)), strict=True)]
+
+
+def _add(blobs: list[bytes]) -> list[np.ndarray]:
     """One bucket of words: the sum of each over all chunks."""
     parts = [unpack(b, "u8", "u4") for b in blobs]
     keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     total = np.zeros(len(keys), np.uint64)
     np.add.at(total, where, np.concatenate([n for _, n in parts]).astype(np.uint64))
-    return [pack(part) for part in np.split(total[where], np.cumsum([len(k) for k, _ in parts])[:-1])]
+    return np.split(total[where], np.cumsum([len(k) for k, _ in parts])[:-1])
 
 
 class Network:
-    """Embedding, one gated recurrent layer, softmax over classes and inside a class; float32 arrays by name."""
+    """Embedding, one gated recurrent layer, softmax over classes and inside a class; float32 arrays by name.
+
+    Arrays of the layer are (feature, lane), so the gates lie apart and every operation runs over unbroken memory.
+    """
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
@@ -133,158 +159,292 @@ class Network:
             }
         )
 
-    def run(self, x: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-        """Hidden states before each token; x: the tokens before (time, lane), start: a document begins here."""
-        w, states, saved = self.w, np.empty((len(x), x.shape[1], HIDDEN), np.float32), []
-        given = w["E"][x] + w["b"]
-        for t in range(len(x)):
-            h = h * ~start[t][:, None]
-            rec = h @ w["U"]
-            zr = 1.0 / (1.0 + np.exp(-(given[t, :, : 2 * HIDDEN] + rec[:, : 2 * HIDDEN])))
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(given[t, :, 2 * HIDDEN :] + r * rec[:, 2 * HIDDEN :])
-            saved.append((h, z, r, n, rec[:, 2 * HIDDEN :]))
-            h = n + z * (h - n)
-            states[t] = h
-        return states, saved
+    def run(self, given: Iterable[np.ndarray], start: np.ndarray, h: np.ndarray, states: np.ndarray, saved: tuple[np.ndarray, ...]) -> None:
+        """Hidden states before each token, from `h` on, into `states` (time, feature, lane).
+
+        given: for each time the embedding of the token before, the gates' part negated; start: a document begins here.
+        saved: room for the state before, both gates, the new value and the recurrent part, of all times or of one.
+        """
+        gates, recurrent, keep = 2 * HIDDEN, self.w["U"].T, ~start[:, None, :]
+        one = len(saved[0]) == 1
+        for t, own in enumerate(given):
+            before, zr, n, rec = (room[0 if one else t] for room in saved)
+            np.multiply(h, keep[t], out=before)
+            np.matmul(recurrent, before, out=rec)
+            np.subtract(own[:gates], rec[:gates], out=zr)
+            np.exp(zr, out=zr)
+            zr += 1.0
+            np.reciprocal(zr, out=zr)
+            np.multiply(zr[HIDDEN:], rec[gates:], out=n)
+            n += own[gates:]
+            np.tanh(n, out=n)
+            h = states[t]
+            np.subtract(before, n, out=h)
+            h *= zr[:HIDDEN]
+            h += n
 
     def output(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Natural log probability of each token given its state; words past the head count as their class."""
+        """Natural log probability of each token given its state; words past the head count as their class.
+
+        Tokens are taken by class, so that each class is one stretch; h: (token, feature).
+        """
         w = self.w
         cls = np.where(y < HEAD, y // PER_CLASS, CLASSES)
-        a = h @ w["C"] + w["c"]
-        a -= a.max(axis=1, keepdims=True)
-        p = np.exp(a)
-        total = p.sum(axis=1, keepdims=True)
-        row = np.arange(len(y))
-        log = a[row, cls] - np.log(total[:, 0])
-        p /= total
         order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        inner = []
-        for k in range(CLASSES):
-            own = order[cuts[k] : cuts[k + 1]]
-            if len(own):
-                b = h[own] @ w["V"][k] + w["v"][k]
-                b -= b.max(axis=1, keepdims=True)
-                q = np.exp(b)
-                total = q.sum(axis=1, keepdims=True)
-                word = y[own] - k * PER_CLASS
-                log[own] += b[np.arange(len(own)), word] - np.log(total[:, 0])
-                inner.append((k, own, word, q / total))
-        return log, (cls, p, inner)
-
-    def step(self, x: np.ndarray, start: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray, memory: dict) -> np.ndarray:
+        h, cls = h[order], cls[order]
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        inner = cuts[CLASSES]
+        p = np.matmul(w["C"].T, h.T)
+        p += w["c"][:, None]
+        p -= p.max(axis=0)
+        own = p[cls, np.arange(len(y))]
+        np.exp(p, out=p)
+        total = p.sum(axis=0)
+        log = own - np.log(total)
+        p /= total
+        word = y[order[:inner]] - cls[:inner] * PER_CLASS
+        row = np.arange(inner)
+        q = np.empty((inner, PER_CLASS), p.dtype)
+        parts = [(k, slice(s, e)) for k, (s, e) in enumerate(pairwise(cuts)) if e > s]
+        for k, part in parts:
+            np.matmul(h[part], w["V"][k], out=q[part])
+        q += w["v"][cls[:inner]]
+        q -= q.max(axis=1, keepdims=True)
+        own = q[row, word]
+        np.exp(q, out=q)
+        total = q.sum(axis=1, keepdims=True)
+        log[:inner] += own - np.log(total[:, 0])
+        q /= total
+        told = np.empty_like(log)
+        told[order] = log
+        return told, (order, h, cls, p, word, q, parts)
+
+
+#: Weights that every window changes as a whole; of the embedding only the rows that it reads.
+WHOLE = ("U", "b", "C", "c", "V", "v")
+
+
+class Learner(Network):
+    """A network of its own with Adagrad's memory; all weights but the embedding lie in one array."""
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        self.flat = np.concatenate([weights[k].reshape(-1) for k in WHOLE])
+        self.grad, self.memory = np.zeros_like(self.flat), np.full_like(self.flat, 0.01)
+        self.embedding_memory = np.full_like(weights["E"], 0.01)
+        views = lambda whole: _unflat(whole, {k: weights[k] for k in WHOLE}, WHOLE)
+        self.g = views(self.grad)
+        self._rooms: dict[str, np.ndarray] = {}
+        super().__init__({"E": weights["E"].copy(), **views(self.flat)})
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """Memory that every window uses again, whatever it holds."""
+        size = math.prod(shape)
+        if name not in self._rooms or len(self._rooms[name]) < size:
+            self._rooms[name] = np.empty(size, np.float32)
+        return self._rooms[name][:size].reshape(shape)
+
+    def step(self, x: np.ndarray, start: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One window of truncated backpropagation, with an Adagrad update; returns the state carried on."""
-        w = self.w
-        states, saved = self.run(x, start, h)
+        w, g = self.w, self.g
         steps, lanes = x.shape
+        room = lambda name, features=HIDDEN: self._room(name, steps, features, lanes)
+        rows = lambda name, features=HIDDEN: self._room(name, steps * lanes, features)
+        words = x.reshape(-1)
+        embedded = np.take(w["E"], words, axis=0, out=rows("embedded", 3 * HIDDEN), mode="clip")
+        embedded += w["b"]
+        given = room("given", 3 * HIDDEN)
+        given[:] = embedded.reshape(steps, lanes, -1).transpose(0, 2, 1)
+        np.negative(given[:, : 2 * HIDDEN], out=given[:, : 2 * HIDDEN])
+        states, saved = room("states"), (room("before"), room("zr", 2 * HIDDEN), room("n"), room("rec", 3 * HIDDEN))
+        self.run(given, start, h, states, saved)
+        last = states[-1].copy()
         where = np.flatnonzero(live.reshape(-1))
         if not len(where):
-            return states[-1]
-        flat, target = states.reshape(-1, HIDDEN)[where], y.reshape(-1)[where]
-        _, (cls, p, inner) = self.output(flat, target)
+            return last
+        seen = rows("seen")
+        seen.reshape(steps, lanes, HIDDEN)[:] = states.transpose(0, 2, 1)
+        _, (order, flat, cls, p, word, q, parts) = self.output(seen[where], y.reshape(-1)[where])
         scale = np.float32(1.0 / lanes)
-        grads = {k: np.zeros_like(v) for k, v in w.items()}
-        p[np.arange(len(target)), cls] -= 1
+        self.grad[:] = 0
+        p[cls, np.arange(len(cls))] -= 1
         p *= scale
-        grads["C"], grads["c"] = flat.T @ p, p.sum(axis=0)
-        back = p @ w["C"].T
-        for k, own, word, q in inner:
-            q[np.arange(len(own)), word] -= 1
-            q *= scale
-            grads["V"][k], grads["v"][k] = flat[own].T @ q, q.sum(axis=0)
-            back[own] += q @ w["V"][k].T
-        into = np.zeros((steps * lanes, HIDDEN), np.float32)
-        into[where] = back
-        into = into.reshape(steps, lanes, HIDDEN)
+        np.matmul(flat.T, p.T, out=g["C"])
+        p.sum(axis=1, out=g["c"])
+        back = np.matmul(p.T, w["C"].T)
+        q[np.arange(len(word)), word] -= 1
+        q *= scale
+        inner = np.empty((len(word), HIDDEN), np.float32)
+        for k, part in parts:
+            np.matmul(flat[part].T, q[part], out=g["V"][k])
+            q[part].sum(axis=0, out=g["v"][k])
+            np.matmul(q[part], w["V"][k].T, out=inner[part])
+        back[: len(word)] += inner
+        into = rows("into")
+        if len(where) < len(into):
+            into[:] = 0
+        into[where[order]] = back
+        carry = room("carry")
+        carry[:] = into.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1)
         # All that the gates contribute to the gradient but the gradient of the state itself, for the whole window.
-        before, z, r, n, rec = (np.stack(part) for part in zip(*saved, strict=True))
-        dn = (1 - z) * (1 - n * n)
-        gates = np.stack([(before - n) * z * (1 - z), dn * rec * r * (1 - r), dn], axis=1)
-        back = w["U"].T.reshape(3, HIDDEN, HIDDEN).copy()
-        carried, pre, through = np.zeros((lanes, HIDDEN), np.float32), np.empty_like(gates), np.empty_like(gates)
+        before, zr, n, rec = saved
+        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+        through = room("through", 3 * HIDDEN)
+        to_z, to_r, to_n = (through[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+        less = np.subtract(1, zr, out=room("less", 2 * HIDDEN))
+        dn = np.multiply(n, n, out=room("dn"))
+        np.subtract(1, dn, out=dn)
+        dn *= less[:, :HIDDEN]
+        np.subtract(before, n, out=to_z)
+        to_z *= z
+        to_z *= less[:, :HIDDEN]
+        np.multiply(dn, r, out=to_n)
+        np.multiply(to_n, rec[:, 2 * HIDDEN :], out=to_r)
+        to_r *= less[:, HIDDEN:]
+        keep = ~start[:, None, :]
+        carried, part = np.zeros((HIDDEN, lanes), np.float32), np.empty((HIDDEN, lanes), np.float32)
         for t in range(steps - 1, -1, -1):
-            d = carried + into[t]
-            np.multiply(gates[t], d, out=pre[t])
-            through[t, :2] = pre[t, :2]
-            np.multiply(pre[t, 2], r[t], out=through[t, 2])
-            carried = (d * z[t] + through[t, 0] @ back[0] + through[t, 1] @ back[1] + through[t, 2] @ back[2]) * ~start[t][:, None]
-        pre, through = (a.transpose(0, 2, 1, 3).reshape(-1, 3 * HIDDEN) for a in (pre, through))
-        grads["U"] = before.reshape(-1, HIDDEN).T @ through
-        grads["b"] = pre.sum(axis=0)
-        order = np.argsort(x.reshape(-1), kind="stable")
-        given, first = np.unique(x.reshape(-1)[order], return_index=True)
-        grads["E"][given] = np.add.reduceat(pre[order], first, axis=0)
-        for k, g in grads.items():
-            np.clip(g, -1, 1, out=g)
-            memory[k] += g * g
-            w[k] -= RATE * g / np.sqrt(memory[k] + 1e-6)
-        return states[-1]
-
-
-def lanes(docs: list[np.ndarray], width: int = LANES, window: int = WINDOW) -> Iterator[tuple[np.ndarray, ...]]:
-    """Documents side by side: (document, previous token, token, document begins), each (time, lane).
-
-    The longest documents are dealt first, each to the lane with the least, so all lanes end at about one time;
-    document -1 is no document. Lanes come by falling length, and a lane that has ended is left out.
+            d, own = carry[t], through[t]
+            d += carried
+            gates = own.reshape(3, HIDDEN, lanes)
+            gates *= d
+            np.matmul(w["U"], own, out=carried)
+            np.multiply(d, z[t], out=part)
+            carried += part
+            carried *= keep[t]
+        np.matmul(before, through.transpose(0, 2, 1)).sum(axis=0, out=g["U"])
+        np.multiply(dn, carry, out=to_n)  # the embedding's part of the new value is not behind the reset gate
+        pre = rows("embedded", 3 * HIDDEN)
+        pre.reshape(steps, lanes, 3 * HIDDEN)[:] = through.transpose(0, 2, 1)
+        order = np.argsort(words.astype(np.int16), kind="stable")
+        ordered = words[order]
+        pre = np.take(pre, order, axis=0, out=rows("ordered", 3 * HIDDEN), mode="clip")
+        first = np.flatnonzero(runs(ordered))
+        grads = np.empty((len(first), 3 * HIDDEN), np.float32)
+        if len(first) > 1:
+            np.add.reduceat(pre[: first[-1]], first[:-1], axis=0, out=grads[:-1])
+        pre[first[-1] :].sum(axis=0, out=grads[-1])  # mostly words past the head, by far the most
+        grads.sum(axis=0, out=g["b"])
+        self._move(ordered[first], grads)
+        return last
+
+    def _move(self, rows: np.ndarray, embedded: np.ndarray) -> None:
+        """An Adagrad update; `embedded` is the gradient of the embedding's `rows`, that of all others is zero."""
+        own = self.embedding_memory[rows]
+        for whole, grad, memory in ((self.flat, self.grad, self.memory), (None, embedded, own)):
+            np.clip(grad, -1, 1, out=grad)
+            memory += grad * grad
+            root = memory + np.float32(1e-6)
+            np.sqrt(root, out=root)
+            grad *= np.float32(RATE)
+            grad /= root
+            if whole is not None:
+                whole -= grad
+        self.embedding_memory[rows] = own
+        self.w["E"][rows] -= embedded
+
+
+def _dealt(rest: list[list[np.ndarray]], docs: list[np.ndarray], number: int, width: int) -> list[list[np.ndarray]]:
+    """What lanes hold when documents are dealt to them: the longest first, each to the lane with the least.
+
+    A lane is a list of four arrays (document, token before, token, document begins); documents count from `number`.
     """
-    width = max(1, min(width, len(docs)))
-    queue: list[list[int]] = [[] for _ in range(width)]
-    free = [(0, k) for k in range(width)]
+    rest = rest + [[] for _ in range(min(width, len(rest) + len(docs)) - len(rest))]
+    free = [(len(own[2]) if own else 0, k) for k, own in enumerate(rest)]
+    heapq.heapify(free)
+    queue: list[list[int]] = [[] for _ in rest]
     for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
         load, k = heapq.heappop(free)
         queue[k].append(i)
         heapq.heappush(free, (load + len(docs[i]), k))
-    lines = []
-    for own in queue:
-        token = np.concatenate([docs[i] for i in own])
+    out = []
+    for old, own in zip(rest, queue, strict=True):
+        length = np.array([len(docs[i]) for i in own], np.int64)
+        token = np.concatenate([np.zeros(0, np.int64), *(docs[i] for i in own)])
         begins = np.zeros(len(token), bool)
-        begins[np.cumsum([0, *(len(docs[i]) for i in own[:-1])])] = True
-        lines.append((np.repeat(own, [len(docs[i]) for i in own]), np.append(0, token[:-1]), token, begins))
-    lines.sort(key=lambda line: -len(line[0]))
-    alive = width
-    for first in range(0, len(lines[0][0]), window):
-        while len(lines[alive - 1][0]) <= first:
-            alive -= 1
-        out = tuple(np.full((alive, window), fill, kind) for fill, kind in ((-1, np.int64), (0, np.int64), (0, np.int64), (False, bool)))
-        for k in range(alive):
-            for whole, line in zip(out, lines[k], strict=True):
-                part = line[first : first + window]
-                whole[k, : len(part)] = part
-        yield tuple(np.ascontiguousarray(x.T) for x in out)
+        begins[np.cumsum(length) - length] = True
+        previous = np.where(begins, HEAD, np.append(HEAD, token)[:-1])
+        new = np.repeat(np.array(own, np.int64) + number, length), previous, token, begins
+        out.append([np.concatenate(both) for both in zip(old, new, strict=True)] if old else [*new])
+    return out
+
+
+def lanes(groups: Iterable[list[np.ndarray]], width: int = LANES, window: int = WINDOW) -> Iterator[tuple[np.ndarray, ...]]:
+    """Documents side by side: (document, token before, token, document begins, lane before), all but the last (time, lane).
+
+    Lanes come by falling length, and one that has ended is left out, so a window has fewer at the end. The next group of
+    documents is dealt as soon as a lane would end, so that lanes stay full up to the last group; no more is held than
+    two groups and what is left of the longest documents. The last array tells which lane of the window before each lane
+    goes on, or else a number past them. Document -1 is no document. A document begins as after a word past the head.
+    """
+    rest: list[list[np.ndarray]] = []
+    number, groups = 0, iter(groups)
+    group = next(groups, None)
+    while group is not None:
+        ahead = next(groups, None)
+        rest = _dealt(rest, group, number, width)
+        number += len(group)
+        came = sorted(range(len(rest)), key=lambda k: -len(rest[k][2]))
+        rest, came = [rest[k] for k in came], np.array(came, np.int64)
+        size = np.array([len(own[2]) for own in rest], np.int64)
+        offset = np.cumsum(size) - size
+        who, previous, token, begins = (np.concatenate(parts) for parts in zip(*rest, strict=True))
+        # With more to come, only windows that are full in every lane.
+        end = int(size[0]) if ahead is None else int(size[-1]) // window * window * (len(rest) == width)
+        for first in range(0, end, window):
+            alive = int((size > first).sum())
+            time = np.arange(first, first + window)[:, None]
+            live = time < size[:alive]
+            at = np.where(live, time + offset[:alive], 0)
+            yield np.where(live, who[at], -1), previous[at], token[at], begins[at] & live, came[:alive]
+            came = np.arange(len(rest))
+        if end == 0:
+            rest = [rest[k] for k in np.argsort(came).tolist()]  # nothing ran: the lanes stay where they were
+        else:
+            rest = [[part[end:] for part in own] for own in rest]
+        group = ahead
+
+
+def _carried(h: np.ndarray, came: np.ndarray) -> np.ndarray:
+    """The states that the lanes of a window go on from; a lane that is new begins with a document, so with any."""
+    return np.concatenate([h, np.zeros((HIDDEN, max(0, int(came.max()) + 1 - h.shape[1])), np.float32)], axis=1)[:, came]
 
 
 def log_likelihoods(network: Network, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each document as a sequence of head words and their class for the rest."""
     out = np.zeros(len(docs))
-    h = np.zeros((0, HIDDEN), np.float32)
-    for who, previous, token, begins in lanes(docs):
-        h = h[: who.shape[1]] if len(h) else np.zeros((who.shape[1], HIDDEN), np.float32)
-        x = np.where(begins, HEAD, previous)  # a document begins as after a word past the head
-        states, _ = network.run(x, begins, h)
+    h = np.zeros((HIDDEN, 0), np.float32)
+    embedding = np.ascontiguousarray((network.w["E"] + network.w["b"]).T)
+    np.negative(embedding[: 2 * HIDDEN], out=embedding[: 2 * HIDDEN])
+    for who, x, token, begins, came in lanes([docs]):
+        steps, alive = x.shape
+        room = lambda times, features: np.empty((times, features, alive), np.float32)  # noqa: B023, E731
+        states, own = room(steps, HIDDEN), room(1, 3 * HIDDEN)[0]
+        given = (np.take(embedding, x[t], axis=1, out=own, mode="clip") for t in range(steps))  # noqa: B023
+        saved = room(1, HIDDEN), room(1, 2 * HIDDEN), room(1, HIDDEN), room(1, 3 * HIDDEN)
+        network.run(given, begins, _carried(h, came), states, saved)
         h = states[-1]
         live = who.reshape(-1) >= 0
-        log, _ = network.output(states.reshape(-1, HIDDEN)[live], token.reshape(-1)[live])
+        seen = np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, HIDDEN)
+        log, _ = network.output(seen[live], token.reshape(-1)[live])
         np.add.at(out, who.reshape(-1)[live], log)
     return out
 
 
-def train(network: Network, docs: list[np.ndarray], memory: dict) -> None:
-    h = np.zeros((0, HIDDEN), np.float32)
-    for who, previous, token, begins in lanes(docs, LEARNING_LANES, LEARNING_WINDOW):
-        h = h[: who.shape[1]] if len(h) else np.zeros((who.shape[1], HIDDEN), np.float32)
-        h = network.step(np.where(begins, HEAD, previous), begins, token, who >= 0, h, memory)
+def train(learner: Learner, groups: Iterable[list[np.ndarray]]) -> None:
+    h = np.zeros((HIDDEN, 0), np.float32)
+    for who, x, token, begins, came in lanes(groups, LEARNING_LANES, LEARNING_WINDOW):
+        h = learner.step(x, begins, token, who >= 0, _carried(h, came))
 
 
 def _flat(weights: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([weights[k].reshape(-1) for k in sorted(weights)]).astype(np.float64)
 
 
-def _unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def _unflat(values: np.ndarray, like: dict[str, np.ndarray], names: Sequence[str] = ()) -> dict[str, np.ndarray]:
+    """The parts of an array by name, those of a float32 array as views."""
     out, at = {}, 0
-    for k in sorted(like):
-        out[k] = values[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+    for k in names or sorted(like):
+        out[k] = values[at : at + like[k].size].reshape(like[k].shape).astype(np.float32, copy=False)
         at += like[k].size
     return out
 
@@ -297,22 +457,10 @@ def score(docs: DataFrame) -> DataFrame:
     columns are ignored. Words are counted by a 64-bit hash. If nothing is known (no training document), every token
     has the probability of a word past the head. An empty table gives no rows.
     """
-    table = C.gather(docs)
-    total = table.agg(F.sum("n_bytes")).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(total * 0.03) // BUCKET_KEYS))
-
-    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A chunk's words by bucket, with their counts."""
-        for batch in rows:
-            for row in range(batch.num_rows):
-                chunk, ids, at, data = C.opened(batch, row)
-                words = Words(ids, at, data, buckets)
-                counts = words.counts()
-                yield C.questions(chunk, words.bucket, lambda s: pack(words.keys[s], counts[s]))  # noqa: B023
-
-    asked = cut_lineage(table.mapInArrow(ask, "bucket int, chunk long, blob binary"))
-    counted = cut_lineage(C.answered(asked, _add))
-    known = C.with_answers(table, counted, "counts")
+    table = _by_words(docs, buckets)
+    asked = table.select("chunk", F.explode("words").alias("w")).select("w.bucket", "chunk", "w.blob")
 
     def sized(table_: pa.Table) -> pa.Table:
         """A bucket's tokens and distinct words and, by their sums over all chunks, its most frequent words."""
@@ -338,19 +486,22 @@ def score(docs: DataFrame) -> DataFrame:
         weights = network.w
 
         def learn(rows: Iterator[pa.RecordBatch], turn: int = turn, weights: dict = weights) -> Iterator[pa.RecordBatch]:
-            own, memory, seen = Network({k: v.copy() for k, v in weights.items()}), {k: np.full_like(v, 0.01) for k, v in weights.items()}, 0
-            for batch in rows:
-                for row in range(batch.num_rows):
-                    _, ids, at, data = C.opened(batch, row)
-                    take = _in_round(ids, turn)
-                    raw = data.tobytes()
-                    lower = [raw[a:b].translate(ASCII_LOWER).split() for a, b, t in zip(at[:-1].tolist(), at[1:].tolist(), take, strict=True) if t]
-                    words = list({END}.union(*lower))
-                    places = dict(zip(words, _places(_keys(words), head).tolist(), strict=True))
-                    texts = [np.array([places[w] for w in (*doc, END)], np.int64) for doc in lower]
-                    if texts:
-                        train(own, texts, memory)
-                        seen += sum(map(len, texts))
+            own, seen = Learner(weights), 0
+
+            def texts() -> Iterator[list[np.ndarray]]:
+                """The documents of the round in each chunk, as places in the head."""
+                nonlocal seen
+                for batch in rows:
+                    for row in range(batch.num_rows):
+                        ids, lengths, tokens = _opened(batch, row)
+                        places = _places(_by_bucket(batch, row, "words", "u8", "u4")[0], head)[tokens]
+                        ends = np.cumsum(lengths)
+                        found = [places[e - n : e] for e, n, t in zip(ends.tolist(), lengths.tolist(), _in_round(ids, turn), strict=True) if t]
+                        seen += sum(map(len, found))
+                        if found:
+                            yield found
+
+            train(own, texts())
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([(seen * _flat(own.w)).tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["w", "n"])
 
@@ -371,6 +522,11 @@ def score(docs: DataFrame) -> DataFrame:
             whole = sum(np.frombuffer(p.w, np.float64) for p in parts) / sum(p.n for p in parts)
             network = Network(_unflat(whole, weights))
 
+    def answer(blobs: list[bytes]) -> list[bytes]:
+        """One bucket of words: the sum of each over all chunks, and its place in the head."""
+        return [pack(n, _places(unpack(blob, "u8", "u4")[0], head).astype(np.uint16)) for n, blob in zip(_add(blobs), blobs, strict=True)]
+
+    known = C.with_answers(table.drop("words"), cut_lineage(C.answered(asked, answer)), "counts")
     final = network.w
     out = pa.schema(
         [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
@@ -394,17 +550,14 @@ def score(docs: DataFrame) -> DataFrame:
         held: list[tuple] = []
         for batch in rows:
             for row in range(batch.num_rows):
-                _, ids, at, data = C.opened(batch, row)
-                words = Words(ids, at, data, buckets)
-                c = words.answers(C.answers_of(batch, row, "counts"))
+                ids, lengths, tokens = _opened(batch, row)
+                c, head_of = _by_bucket(batch, row, "counts", "u8", "u2")
                 base = np.log10((c + 0.5) / (n_all + 0.5 * (v_all + 1)))
-                head_of = _places(words.keys, head)
                 # Inside the last class: the share of its counts, with half a count for each word and one for all unseen.
                 inside = np.where(head_of == HEAD, np.log10((c + 0.5) / (max(0, rest) + 0.5 * (max(0, rest_words) + 1))), 0.0)
-                place = {w: i for i, w in enumerate(words.words)}
-                where = [np.fromiter(map(place.__getitem__, doc), np.int64, len(doc)) for doc in words.docs]
+                where = np.split(tokens, np.cumsum(lengths)[:-1])
                 sums = [(int((c[p] > 0).sum()), float(base[p].sum()), float(inside[p].sum())) for p in where]
-                held.append((ids.tolist(), words.learns.tolist(), [head_of[p] for p in where], sums))
+                held.append((ids.tolist(), _learns(ids).tolist(), [head_of[p].astype(np.int64) for p in where], sums))
                 if len(held) == TOGETHER:
                     yield scored(held)
                     held = []
