@@ -206,3 +206,28 @@ def test_forest_on_a_given_table(spark):
     found = queries.QUERIES["op12_lsh_forest"](spark, SMALL).select("doc_id", "n_shingles", "component_id", "kept")
     assert sorted(map(tuple, found.collect()), key=str) == _near(pairs)
     assert found.where(F.col("kept") != (F.col("doc_id") == F.col("component_id"))).isEmpty()
+
+
+def test_a_bitmap_keeps_all_rows_of_the_keys_and_few_others(spark):
+    from tidemark.llm.common import likely
+
+    rows = spark.range(-5000, 45000).select((F.col("id") * 7919).alias("k"), F.col("id").cast("string").alias("text"))
+    keys = rows.where("text % 50 = 3").select(F.col("k").alias("key")).unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS key"))
+    kept = likely(rows, "k", keys)
+    assert kept.columns == rows.columns and "hashpartitioning(k" not in kept._jdf.queryExecution().executedPlan().toString()
+    wanted = {r.text for r in rows.join(keys, F.col("k") == F.col("key")).collect()}
+    found = [r.text for r in kept.collect()]
+    assert wanted and wanted <= set(found) and len(found) == len(set(found)) < len(wanted) + 1000
+    assert likely(rows, "k", keys.where("false")).count() == 0
+
+
+def test_texts_without_a_partner_do_not_move(spark, monkeypatch):
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    texts = [words(i) for i in range(60)] + [f"{words(0)} more", f"{words(1)} more"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen, likely = [], forest.likely
+    monkeypatch.setattr(forest, "likely", lambda rows, *given: seen.append(likely(rows, *given)) or seen[-1])
+    found = {r.doc_id: r.component_id for r in forest.near_duplicates(docs).collect()}
+    assert found == {**{i: i for i in range(60)}, 60: 0, 61: 1}
+    (moved,) = [x for x in seen if "text" in x.columns]
+    assert {r.doc_id for r in moved.collect()} >= {0, 1, 60, 61} and moved.count() < 10

@@ -84,6 +84,29 @@ def without(docs: DataFrame, rejected: DataFrame, key: Column) -> DataFrame:
     return joined.join(rejected, gone, "left_anti").drop("_key_of_row")
 
 
+#: Bits of one row of the bitmap of `likely`, and the fewest and most of them all: 128 KB to 32 MB, 16 for each key.
+_SEGMENT = 1 << 15
+_LEAST_BITS, _MOST_BITS, _BITS_PER_KEY = 20, 28, 16
+
+
+def likely(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """All `rows` whose `key`, a long, is in `keys` (one column, longs), and few others, without moving a row.
+
+    Every executor holds a bitmap of bounded size, one bit for each slot of hashes. With far more than 16 million keys
+    it fills up, so that more of the others stay; those are for a join to remove.
+    """
+    (name,) = keys.columns
+    bits = min(_MOST_BITS, max(_LEAST_BITS, (_BITS_PER_KEY * keys.count()).bit_length()))
+    slot = lambda column: F.xxhash64(column).bitwiseAND((1 << bits) - 1)
+    segment, place = (slot(name) / _SEGMENT).cast("int").alias("_segment"), slot(name) % _SEGMENT
+    bitmap = keys.groupBy(segment).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    mark = rows.withColumn("_slot", slot(key)).withColumn("_at", (F.col("_slot") / _SEGMENT).cast("int"))
+    found = mark.join(F.broadcast(bitmap), F.col("_at") == F.col("_segment"))
+    place = (F.col("_slot") % _SEGMENT).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, place % 8) == 1).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def runs(keys: np.ndarray) -> np.ndarray:
     """True where a run of equal neighbours begins."""
     new = np.ones(len(keys), bool)

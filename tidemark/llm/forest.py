@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ASCII_LOWER, own_columns, rebatch, runs, utf8, without
+from tidemark.llm.common import ASCII_LOWER, likely, own_columns, rebatch, runs, utf8, without
 from tidemark.llm.components import components
 from tidemark.session import cut_lineage
 
@@ -112,15 +112,16 @@ def regions(printed: DataFrame, chosen: DataFrame) -> DataFrame:
     Regions start at the least depth. Where one has more than REGION sets, the prefixes of all greater depths are counted
     at once, and a set takes the least depth whose prefix is shared by no more than REGION sets, or else the greatest.
     Sets with a common prefix see the same counts, so they choose alike. Counts are combined aggregates that are joined
-    back: no region is held as a whole.
+    back: no region is held as a whole. Most sets are alone in all their regions, and a bitmap keeps them from the joins.
     """
-    narrow = printed.select("row", "keys").join(chosen.select("row"), "row", "left_semi")
+    narrow = cut_lineage(printed.select("row", "keys").join(chosen.select("row"), "row", "left_semi"))
     entries = narrow.select("row", F.posexplode("keys").alias("tree", "region"))
     sizes = cut_lineage(entries.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    counted = cut_lineage(entries.join(sizes, "region"))
-    sketch = printed.select("row", "n", "sketch")
+    counted = cut_lineage(likely(entries, "region", sizes.select("region")).join(sizes, "region"))
+    sketch = likely(printed.select("row", "n", "sketch"), "row", counted.select("row").distinct())
     small = counted.where(F.col("size") <= REGION).select("region", "row")
-    large = counted.where(F.col("size") > REGION).join(sketch.select("row", "sketch"), "row")
+    large = cut_lineage(counted.where(F.col("size") > REGION))  # with its own size, often none
+    large = large.join(sketch.select("row", "sketch"), "row")
     prefix = lambda k: F.xxhash64("region", F.substring("sketch", F.col("tree") * DEPTH + LEAST_DEPTH + 1, k))
     depths = F.transform(F.sequence(F.lit(1), F.lit(DEPTH - LEAST_DEPTH)), lambda k: F.struct(k.alias("k"), prefix(k).alias("deeper")))
     deep = cut_lineage(large.select("row", "tree", F.explode(depths).alias("d")).select("row", "tree", "d.*"))
@@ -276,7 +277,7 @@ def _full_sets(docs: DataFrame, printed: DataFrame, pairs: DataFrame) -> DataFra
 
     ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
     named = cut_lineage(printed.select("row", F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).join(ends, "row", "left_semi"))
-    texts = docs.select("doc_id", "text", _text_key().alias("_key"))
+    texts = likely(docs.select("doc_id", "text", _text_key().alias("_key")), "_key", named.select("_k"))
     texts = texts.join(named, texts["doc_id"].eqNullSafe(named["_id"]) & (texts["_key"] == named["_k"]))
     return cut_lineage(texts.select("row", "text").dropDuplicates(["row"]).mapInArrow(run, "row long, hashes binary, brief binary"))
 
