@@ -469,6 +469,42 @@ def test_lanes_stay_full_until_the_last_group():
     assert windows < apart and windows <= full + -(-300 // 8)
 
 
+def test_scoring_goes_on_over_chunks():
+    """Lanes are filled over all chunks of a task, whatever their documents: one tail, and the same probabilities."""
+    dice = np.random.default_rng(5)
+    network = language_model.Network.fresh(dice.integers(1, 50, language_model.HEAD + 1).astype(float))
+    sizes = [[700, 3, *dice.integers(1, 90, 600)], [1], [900, *dice.integers(1, 90, 700)], [2, 650]]
+    groups = [[dice.integers(0, language_model.HEAD + 1, n) for n in own] for own in sizes]
+    docs = [doc for group in groups for doc in group]
+    found, tokens, windows = np.zeros(len(docs)), np.zeros(len(docs), int), 0
+    for who, log in language_model._told(network, groups):
+        np.add.at(found, who, log)
+        np.add.at(tokens, who, 1)
+        windows += 1
+    assert tokens.tolist() == [*map(len, docs)]
+    assert found == pytest.approx(language_model.log_likelihoods(network, docs), rel=1e-5)
+    assert windows < sum(1 for group in groups for _ in language_model._told(network, [group]))
+
+
+def test_words_of_a_chunk_as_numbers():
+    texts = ["A\u00a0b  c", "", "C", "d\x1fe\x00 \t\n\v\f\r\u00c4 a\x85", " ", "C c", "\u2003"]
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    distinct, words, per_doc = language_model._split(at, data)
+    split = [t.lower().split() for t in raw]  # bytes: only A-Z changes, and only ASCII spaces part words
+    assert per_doc.tolist() == [*map(len, split)]
+    assert [distinct[i] for i in words] == [w for own in split for w in own] and len(distinct) == len({*distinct})
+    ids = np.arange(len(texts))
+    whole = language_model.Words(ids, at, data, 1)
+    known = dict(zip(whole.keys.tolist(), range(len(whole.keys)), strict=True))
+    keys = [language_model._keys([*own, language_model.END]).tolist() for own in split]
+    assert whole.lengths.tolist() == [*map(len, keys)] and whole.tokens.tolist() == [known[k] for own in keys for k in own]
+    learned = [k for own, learns in zip(keys, language_model._learns(ids), strict=True) if learns for k in own]
+    assert whole.counts.tolist() == [learned.count(k) for k in whole.keys.tolist()]
+    empty = language_model.Words(np.arange(2), np.zeros(3, np.int64), data[:0], 1)
+    assert empty.lengths.tolist() == [1, 1] and empty.tokens.tolist() == [0, 0]
+
+
 def test_gradients_against_finite_differences(monkeypatch):
     dice = np.random.default_rng(4)
     weights = language_model.Network.fresh(dice.integers(1, 50, language_model.HEAD + 1).astype(float)).w

@@ -14,9 +14,8 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain, count, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import chunks as C
-from tidemark.llm.common import ASCII_LOWER, pack, runs, unpack
+from tidemark.llm.common import ASCII_LOWER, pack, runs, unpack, utf8
 from tidemark.session import cut_lineage
 
 HELD_OUT, FOLDS = 1, 5
@@ -33,10 +32,9 @@ CLASSES, PER_CLASS, HIDDEN, LANES, LEARNING_LANES = 24, 24, 24, 512, 128
 HEAD = CLASSES * PER_CLASS
 #: Tokens between truncations while learning; while scoring, windows only bound the memory, as the state goes on.
 LEARNING_WINDOW, WINDOW = 16, 64
-#: Chunks that a task scores side by side.
-TOGETHER = 4
 ROUNDS, RATE = 2, 0.05
 END = b"\n"  # no word contains it
+IN_WORD = bytes(b not in b" \t\n\v\f\r" for b in range(256))
 BUCKET_KEYS = 250_000
 
 
@@ -73,17 +71,36 @@ def _places(keys: np.ndarray, head: np.ndarray) -> np.ndarray:
     return np.where(head[at] == keys, at, HEAD)
 
 
+def _split(at: np.ndarray, data: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct lower-cased words, each word of the documents by its place among them, and the words of each document."""
+    lower = data.tobytes().translate(ASCII_LOWER)
+    lower, inside = np.frombuffer(lower, np.uint8), np.frombuffer(lower.translate(IN_WORD), bool)
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = at[:-1][at[:-1] < at[1:]]
+    begins[first] = inside[first]  # a document ends a word too
+    letters = lower[inside]
+    offsets = np.append(np.flatnonzero(begins[inside]), len(letters)).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    coded = words.dictionary_encode()
+    each, ends = utf8(coded.dictionary)
+    each = each.tobytes()
+    per_doc = np.diff(np.searchsorted(np.flatnonzero(begins), at))
+    return [each[a:b] for a, b in pairwise(ends.tolist())], coded.indices.to_numpy(), per_doc
+
+
 class Words:
     """A chunk as numbers: its distinct tokens in the order of their hashes, their counts in training documents, and each
     token of each document by its place in that order."""
 
     def __init__(self, ids: np.ndarray, at: np.ndarray, data: np.ndarray, buckets: int):
-        lower = data.tobytes().translate(ASCII_LOWER)
-        docs = [[*lower[a:b].split(), END] for a, b in pairwise(at.tolist())]
-        self.lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-        number: defaultdict[bytes, int] = defaultdict(count().__next__)  # a new word gets the next number
-        tokens = np.fromiter(map(number.__getitem__, chain.from_iterable(docs)), np.int64, int(self.lengths.sum()))
-        keys = _keys(list(number))
+        distinct, words, per_doc = _split(at, data)
+        self.lengths = per_doc + 1
+        tokens = np.full(len(words) + len(per_doc), len(distinct), np.int64)  # the end's number, after every document
+        inside = np.ones(len(tokens), bool)
+        inside[np.cumsum(self.lengths) - 1] = False
+        tokens[inside] = words
+        keys = _keys([*distinct, END])
         order = np.argsort(keys, kind="stable")
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
@@ -114,6 +131,11 @@ def _by_words(docs: DataFrame, buckets: int) -> DataFrame:
     return cut_lineage(docs.select("doc_id", "text").mapInArrow(run, WORDS_DDL))
 
 
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum over each document's tokens; no document is without one."""
+    return np.array([part.sum() for part in np.split(values, ends[:-1])])
+
+
 def _opened(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids, lengths and tokens of a chunk."""
     get = lambda name: batch.column(batch.schema.get_field_index(name))[row].as_py()
@@ -165,59 +187,63 @@ class Network:
         given: for each time the embedding of the token before, the gates' part negated; start: a document begins here.
         saved: room for the state before, both gates, the new value and the recurrent part, of all times or of one.
         """
-        gates, recurrent, keep = 2 * HIDDEN, self.w["U"].T, ~start[:, None, :]
-        one = len(saved[0]) == 1
-        for t, own in enumerate(given):
-            before, zr, n, rec = (room[0 if one else t] for room in saved)
-            np.multiply(h, keep[t], out=before)
-            np.matmul(recurrent, before, out=rec)
-            np.subtract(own[:gates], rec[:gates], out=zr)
-            np.exp(zr, out=zr)
-            zr += 1.0
-            np.reciprocal(zr, out=zr)
-            np.multiply(zr[HIDDEN:], rec[gates:], out=n)
-            n += own[gates:]
-            np.tanh(n, out=n)
-            h = states[t]
-            np.subtract(before, n, out=h)
-            h *= zr[:HIDDEN]
-            h += n
-
-    def output(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, tuple]:
+        gates, recurrent, keep = 2 * HIDDEN, self.w["U"].T, (~start[:, None, :]).astype(np.float32)
+        before, zr, n, rec = saved
+        rooms = before, zr, zr[:, :HIDDEN], zr[:, HIDDEN:], n, rec, rec[:, :gates], rec[:, gates:]
+        rooms = zip(*([room[0]] * len(states) if len(room) == 1 else room for room in rooms), strict=True)
+        for own, stays, (before, zr, z, r, n, rec, to_gates, to_new), new in zip(given, keep, rooms, states, strict=True):
+            np.multiply(h, stays, before)
+            np.matmul(recurrent, before, rec)
+            np.subtract(own[:gates], to_gates, zr)
+            np.exp(zr, zr)
+            np.add(zr, 1.0, zr)
+            np.reciprocal(zr, zr)
+            np.multiply(r, to_new, n)
+            np.add(n, own[gates:], n)
+            np.tanh(n, n)
+            np.subtract(before, n, new)
+            np.multiply(new, z, new)
+            np.add(new, n, new)
+            h = new
+
+    def output(self, h: np.ndarray, y: np.ndarray, learns: bool = True) -> tuple[np.ndarray, tuple]:
         """Natural log probability of each token given its state; words past the head count as their class.
 
-        Tokens are taken by class, so that each class is one stretch; h: (token, feature).
+        Tokens are taken by class, so that each class is one stretch; h: (token, feature). What a learner goes on with
+        is told besides, its probabilities only if it learns.
         """
         w = self.w
-        cls = np.where(y < HEAD, y // PER_CLASS, CLASSES)
-        order = np.argsort(cls, kind="stable")
-        h, cls = h[order], cls[order]
+        cls = np.minimum(y, HEAD) // PER_CLASS
+        order = np.argsort(cls.astype(np.int16), kind="stable")  # small numbers are sorted by their digits
+        h, cls = np.take(h, order, axis=0), cls[order]
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
         inner = cuts[CLASSES]
         p = np.matmul(w["C"].T, h.T)
         p += w["c"][:, None]
         p -= p.max(axis=0)
-        own = p[cls, np.arange(len(y))]
+        own = np.take(p.reshape(-1), cls * len(y) + np.arange(len(y)))
         np.exp(p, out=p)
         total = p.sum(axis=0)
         log = own - np.log(total)
-        p /= total
+        if learns:
+            p /= total
         word = y[order[:inner]] - cls[:inner] * PER_CLASS
-        row = np.arange(inner)
+        at = np.arange(inner) * PER_CLASS + word
         q = np.empty((inner, PER_CLASS), p.dtype)
         parts = [(k, slice(s, e)) for k, (s, e) in enumerate(pairwise(cuts)) if e > s]
         for k, part in parts:
             np.matmul(h[part], w["V"][k], out=q[part])
-        q += w["v"][cls[:inner]]
+        q += np.take(w["v"], cls[:inner], axis=0)
         q -= q.max(axis=1, keepdims=True)
-        own = q[row, word]
+        own = np.take(q.reshape(-1), at)
         np.exp(q, out=q)
         total = q.sum(axis=1, keepdims=True)
         log[:inner] += own - np.log(total[:, 0])
-        q /= total
+        if learns:
+            q /= total
         told = np.empty_like(log)
         told[order] = log
-        return told, (order, h, cls, p, word, q, parts)
+        return told, (order, h, cls, p, at, q, parts)
 
 
 #: Weights that every window changes as a whole; of the embedding only the rows that it reads.
@@ -263,26 +289,33 @@ class Learner(Network):
             return last
         seen = rows("seen")
         seen.reshape(steps, lanes, HIDDEN)[:] = states.transpose(0, 2, 1)
-        _, (order, flat, cls, p, word, q, parts) = self.output(seen[where], y.reshape(-1)[where])
+        full = len(where) == len(seen)
+        h, y = (seen, y.reshape(-1)) if full else (np.take(seen, where, axis=0), y.reshape(-1)[where])
+        _, (order, flat, cls, p, word, q, parts) = self.output(h, y)
         scale = np.float32(1.0 / lanes)
         self.grad[:] = 0
-        p[cls, np.arange(len(cls))] -= 1
+        p.reshape(-1)[cls * len(cls) + np.arange(len(cls))] -= 1
         p *= scale
         np.matmul(flat.T, p.T, out=g["C"])
         p.sum(axis=1, out=g["c"])
         back = np.matmul(p.T, w["C"].T)
-        q[np.arange(len(word)), word] -= 1
+        q.reshape(-1)[word] -= 1
         q *= scale
         inner = np.empty((len(word), HIDDEN), np.float32)
         for k, part in parts:
-            np.matmul(flat[part].T, q[part], out=g["V"][k])
-            q[part].sum(axis=0, out=g["v"][k])
-            np.matmul(q[part], w["V"][k].T, out=inner[part])
+            own = q[part]
+            np.matmul(flat[part].T, own, out=g["V"][k])
+            np.add.reduce(own, axis=0, out=g["v"][k])
+            np.matmul(own, w["V"][k].T, out=inner[part])
         back[: len(word)] += inner
         into = rows("into")
-        if len(where) < len(into):
+        if full:
+            place = np.empty_like(order)
+            place[order] = where
+            np.take(back, place, axis=0, out=into, mode="clip")
+        else:
             into[:] = 0
-        into[where[order]] = back
+            into[where[order]] = back
         carry = room("carry")
         carry[:] = into.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1)
         # All that the gates contribute to the gradient but the gradient of the state itself, for the whole window.
@@ -300,17 +333,16 @@ class Learner(Network):
         np.multiply(dn, r, out=to_n)
         np.multiply(to_n, rec[:, 2 * HIDDEN :], out=to_r)
         to_r *= less[:, HIDDEN:]
-        keep = ~start[:, None, :]
+        keep = (~start[:, None, :]).astype(np.float32)
         carried, part = np.zeros((HIDDEN, lanes), np.float32), np.empty((HIDDEN, lanes), np.float32)
-        for t in range(steps - 1, -1, -1):
-            d, own = carry[t], through[t]
-            d += carried
-            gates = own.reshape(3, HIDDEN, lanes)
-            gates *= d
-            np.matmul(w["U"], own, out=carried)
-            np.multiply(d, z[t], out=part)
-            carried += part
-            carried *= keep[t]
+        backwards = (a[::-1] for a in (carry, through, through.reshape(steps, 3, HIDDEN, lanes), z, keep))
+        for d, own, gates, stays, goes_on in zip(*backwards, strict=True):
+            np.add(d, carried, d)
+            np.multiply(gates, d, gates)
+            np.matmul(w["U"], own, carried)
+            np.multiply(d, stays, part)
+            np.add(carried, part, carried)
+            np.multiply(carried, goes_on, carried)
         np.matmul(before, through.transpose(0, 2, 1)).sum(axis=0, out=g["U"])
         np.multiply(dn, carry, out=to_n)  # the embedding's part of the new value is not behind the reset gate
         pre = rows("embedded", 3 * HIDDEN)
@@ -331,7 +363,8 @@ class Learner(Network):
         """An Adagrad update; `embedded` is the gradient of the embedding's `rows`, that of all others is zero."""
         own = self.embedding_memory[rows]
         for whole, grad, memory in ((self.flat, self.grad, self.memory), (None, embedded, own)):
-            np.clip(grad, -1, 1, out=grad)
+            np.minimum(grad, 1, out=grad)
+            np.maximum(grad, -1, out=grad)
             memory += grad * grad
             root = memory + np.float32(1e-6)
             np.sqrt(root, out=root)
@@ -395,7 +428,9 @@ def lanes(groups: Iterable[list[np.ndarray]], width: int = LANES, window: int =
             time = np.arange(first, first + window)[:, None]
             live = time < size[:alive]
             at = np.where(live, time + offset[:alive], 0)
-            yield np.where(live, who[at], -1), previous[at], token[at], begins[at] & live, came[:alive]
+            own = np.take(who, at)
+            own[~live] = -1
+            yield own, np.take(previous, at), np.take(token, at), np.take(begins, at) & live, came[:alive]
             came = np.arange(len(rest))
         if end == 0:
             rest = [rest[k] for k in np.argsort(came).tolist()]  # nothing ran: the lanes stay where they were
@@ -409,24 +444,32 @@ def _carried(h: np.ndarray, came: np.ndarray) -> np.ndarray:
     return np.concatenate([h, np.zeros((HIDDEN, max(0, int(came.max()) + 1 - h.shape[1])), np.float32)], axis=1)[:, came]
 
 
-def log_likelihoods(network: Network, docs: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each document as a sequence of head words and their class for the rest."""
-    out = np.zeros(len(docs))
+def _told(network: Network, groups: Iterable[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The number of the document, over all groups, and the natural log probability of each token, window by window."""
     h = np.zeros((HIDDEN, 0), np.float32)
     embedding = np.ascontiguousarray((network.w["E"] + network.w["b"]).T)
     np.negative(embedding[: 2 * HIDDEN], out=embedding[: 2 * HIDDEN])
-    for who, x, token, begins, came in lanes([docs]):
+    for who, x, token, begins, came in lanes(groups):
         steps, alive = x.shape
         room = lambda times, features: np.empty((times, features, alive), np.float32)  # noqa: B023, E731
         states, own = room(steps, HIDDEN), room(1, 3 * HIDDEN)[0]
-        given = (np.take(embedding, x[t], axis=1, out=own, mode="clip") for t in range(steps))  # noqa: B023
+        given = (np.take(embedding, at, axis=1, out=own, mode="clip") for at in x)  # noqa: B023
         saved = room(1, HIDDEN), room(1, 2 * HIDDEN), room(1, HIDDEN), room(1, 3 * HIDDEN)
         network.run(given, begins, _carried(h, came), states, saved)
         h = states[-1]
-        live = who.reshape(-1) >= 0
         seen = np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, HIDDEN)
-        log, _ = network.output(seen[live], token.reshape(-1)[live])
-        np.add.at(out, who.reshape(-1)[live], log)
+        who, token = who.reshape(-1), token.reshape(-1)
+        if (who < 0).any():
+            live = np.flatnonzero(who >= 0)
+            seen, token, who = np.take(seen, live, axis=0), token[live], who[live]
+        yield who, network.output(seen, token, learns=False)[0].astype(np.float64)
+
+
+def log_likelihoods(network: Network, docs: list[np.ndarray]) -> np.ndarray:
+    """Natural log probability of each document as a sequence of head words and their class for the rest."""
+    out = np.zeros(len(docs))
+    for who, log in _told(network, [docs]):
+        np.add.at(out, who, log)
     return out
 
 
@@ -534,35 +577,33 @@ def score(docs: DataFrame) -> DataFrame:
     )
 
     def judge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(final)
+        parts, log = [], np.zeros(0)
 
-        def scored(held: list[tuple]) -> pa.RecordBatch:
-            ids, learns, heads, sums = (list(chain.from_iterable(c)) for c in zip(*held, strict=True))
-            log = log_likelihoods(own, heads) / np.log(10)
-            known_, base, inside = zip(*sums, strict=True)
-            ids = np.array(ids, np.int64)
+        def texts() -> Iterator[list[np.ndarray]]:
+            """The documents of each chunk, as places in the head."""
+            nonlocal log
+            for batch in rows:
+                for row in range(batch.num_rows):
+                    ids, lengths, tokens = _opened(batch, row)
+                    c, head_of = _by_bucket(batch, row, "counts", "u8", "u2")
+                    base = np.log10((c + 0.5) / (n_all + 0.5 * (v_all + 1)))
+                    # Inside the last class: the share of its counts, with half a count for each word and one for all unseen.
+                    inside = np.where(head_of == HEAD, np.log10((c + 0.5) / (max(0, rest) + 0.5 * (max(0, rest_words) + 1))), 0.0)
+                    ends = np.cumsum(lengths)
+                    parts.append((ids, lengths, *(_sums(values[tokens], ends) for values in (c > 0, base, inside))))
+                    log = np.append(log, np.zeros(len(ids)))
+                    yield np.split(head_of.astype(np.int64)[tokens], ends[:-1])
+
+        # Lanes go on from chunk to chunk, so a task has one tail of long documents; of a document only its sums are kept.
+        for who, of_token in _told(Network(final), texts()):
+            np.add.at(log, who, of_token)
+        if parts:
+            ids, lengths, known_, base, inside = (np.concatenate(c) for c in zip(*parts, strict=True))
             columns = [
-                pa.array(ids, mask=ids == C.MISSING), pa.array([not x for x in learns]), pa.array([len(x) for x in heads]), pa.array(known_),
-                pa.array([n_all] * len(ids)), pa.array(base), pa.array(log + np.array(inside)),
+                pa.array(ids, mask=ids == C.MISSING), pa.array(~_learns(ids)), pa.array(lengths), pa.array(known_),
+                pa.array(np.full(len(ids), n_all)), pa.array(base), pa.array(log / np.log(10) + inside),
             ]
-            return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, out, strict=True)], schema=out)
-
-        held: list[tuple] = []
-        for batch in rows:
-            for row in range(batch.num_rows):
-                ids, lengths, tokens = _opened(batch, row)
-                c, head_of = _by_bucket(batch, row, "counts", "u8", "u2")
-                base = np.log10((c + 0.5) / (n_all + 0.5 * (v_all + 1)))
-                # Inside the last class: the share of its counts, with half a count for each word and one for all unseen.
-                inside = np.where(head_of == HEAD, np.log10((c + 0.5) / (max(0, rest) + 0.5 * (max(0, rest_words) + 1))), 0.0)
-                where = np.split(tokens, np.cumsum(lengths)[:-1])
-                sums = [(int((c[p] > 0).sum()), float(base[p].sum()), float(inside[p].sum())) for p in where]
-                held.append((ids.tolist(), _learns(ids).tolist(), [head_of[p].astype(np.int64) for p in where], sums))
-                if len(held) == TOGETHER:
-                    yield scored(held)
-                    held = []
-        if held:
-            yield scored(held)
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, out, strict=True)], schema=out)
 
     return known.mapInArrow(
         judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
