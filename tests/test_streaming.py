@@ -2,12 +2,14 @@
 
 import os
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidemark.config import DAY_MS, BreakerSettings, Registry, Rule, Source
 from tidemark.operators.requestlog import breaker_replay, period_counts
 from tidemark.operators.rules import fired, replay_alerts, window_low
-from tidemark.streaming import batches
+from tidemark.streaming import batches, stateful
 from tidemark.streaming.batches import latest_counts, stream_ingest, stream_period_counts, stream_window_low
 from tidemark.streaming.stateful import stream_breaker, stream_cooldowns
 
@@ -224,3 +226,66 @@ def test_cooldown_state_comes_with_the_rows(spark, tmp_path):
     firings = spark.readStream.schema(stateful.KEPT).parquet(str(tmp_path))
     plan = stream_cooldowns(firings, [RULE])._jdf.queryExecution().analyzed().toString()
     assert "FlatMapGroupsInPandasWithState" in plan  # no server that is asked for each key
+
+
+def test_cooldowns_of_many_listings_share_groups(spark, tmp_path):
+    rows = spark.range(15_000).selectExpr(
+        "'s' AS source_id", "concat('l', id % 5000) AS listing_id", "'low' AS rule_id", "(id div 5000) * 12 * 86400000L + id AS at_ms",
+        "string(id) AS obs_id", "id AS amount_minor_units",
+    )
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    rows.coalesce(2).write.parquet(source)
+    kept = stream_cooldowns(spark.readStream.schema(rows.schema).parquet(source), [RULE])
+    _drain(kept.writeStream.format("parquet").option("path", out), checkpoint)
+    columns = ("listing_id", "at_ms", "obs_id")
+    assert _rows(spark.read.parquet(out), *columns) == _rows(rows.where("at_ms div 1036800000 <> 1"), *columns)
+    # A group costs milliseconds each time it is called for, so 5,000 listings are fewer groups.
+    assert 2_000 < spark.read.format("statestore").load(checkpoint).count() <= stateful.BUCKETS < 5_000
+
+
+def test_listings_of_a_bucket_do_not_touch_each_other(spark, tmp_path):
+    big, day = (1 << 53) + 1, DAY_MS
+    # Two batches; missing numbers and names, and an amount that no float holds, in whatever bucket.
+    first = [("s", "a", "low", 0, "1", big), ("s", "a", "low", 0, "0", None), ("s", None, "low", 5, "2", None), (None, "s", "low", 7, "9", 3)]
+    first += [("s", f"l{i}", "low", i * day, f"x{i}", big + i if i % 2 else None) for i in range(20)] + [("s", "a", "low", None, "7", 1)]
+    second = [("s", "a", "low", 19 * day, "3", 1), ("s", "a", "low", 20 * day, "5", 2), ("s", "a", "low", 20 * day, "4", 1)]
+    second += [("s", None, "low", 5 + 20 * day, "6", big), (None, "s", "low", 6 + 20 * day, "8", 1), ("s", "a", "other", 1, "1", 1)]
+    rules = [RULE, Rule("other", 30 * DAY_MS, 3, 10, DAY_MS)]
+    want = sorted([r for r in first if r[4] not in ("0", "7")] + [second[2], second[3], second[5]], key=str)
+    for buckets in (1, 3, 4096):
+        source, out, checkpoint = (str(tmp_path / f"{n}{buckets}") for n in ("in", "out", "cp"))
+        for part in (first, second):
+            spark.createDataFrame(part, stateful.KEPT).coalesce(1).write.mode("append").parquet(source)
+            kept = stream_cooldowns(_stream(spark, source, stateful.KEPT), rules, buckets=buckets)
+            _drain(kept.writeStream.format("parquet").option("path", out), checkpoint)
+        got = spark.read.parquet(out)
+        assert got.schema == stateful.KEPT
+        assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_a_checkpoint_belongs_to_one_number_of_buckets(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for at, buckets in ((0, 1), (1, 2)):
+        rows = spark.range(8).selectExpr(
+            "'s' AS source_id", "string(id) AS listing_id", "'low' AS rule_id", f"{at}L AS at_ms", "'o' AS obs_id", "id AS amount_minor_units"
+        )
+        rows.coalesce(1).write.mode("append").parquet(source)
+        kept = stream_cooldowns(_stream(spark, source, rows.schema), [RULE], buckets=buckets)
+        if buckets == 1:
+            _drain(kept.writeStream.format("parquet").option("path", out), checkpoint)
+        else:
+            with pytest.raises(StreamingQueryException, match="the checkpoint has 1 buckets, not 2"):
+                _drain(kept.writeStream.format("parquet").option("path", out), checkpoint)
+
+
+def test_cooldowns_go_on_from_a_state_per_listing(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for day in (0, 12, 24):
+        rows = spark.range(3).selectExpr(
+            "'s' AS source_id", "string(id) AS listing_id", "'low' AS rule_id", f"{day * DAY_MS}L AS at_ms", "'o' AS obs_id", "id AS amount_minor_units"
+        )
+        rows.coalesce(1).write.mode("append").parquet(source)
+        kept = stream_cooldowns(_stream(spark, source, rows.schema), [RULE], buckets=None)
+        _drain(kept.writeStream.format("parquet").option("path", out), checkpoint)
+    assert _rows(spark.read.parquet(out), "at_ms", "listing_id") == [(day * DAY_MS, str(i)) for day in (0, 24) for i in range(3)]
+    assert spark.read.format("statestore").load(checkpoint).count() == 3

@@ -2,8 +2,9 @@
 
 State lives in the checkpoint and survives a restart. What is held per key is
 small by definition: one instant for a cooldown, the outcomes of one window, by
-bucket of time, for a breaker. A key's rows of one micro-batch are processed in time order, so the
-trigger bounds what a task holds.
+bucket of time, for a breaker. Cooldowns of many listings share a group, as a call
+costs more than a listing. A key's rows of one micro-batch are processed in time
+order, so the trigger bounds what a task holds.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,8 +26,15 @@ from tidemark.config import BreakerSettings, Rule
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Into how many groups a stream's listings and rules are dealt by hash; a checkpoint belongs to one number.
+BUCKETS = 4096
+
 _INSTANT = T.StructType().add("at_ms", T.LongType())
 _BUCKET = T.StructType().add("bucket", T.LongType())
+_LASTS = (
+    T.StructType().add("source_id", T.ArrayType(T.StringType())).add("listing_id", T.ArrayType(T.StringType()))
+    .add("rule_id", T.ArrayType(T.StringType())).add("at_ms", T.ArrayType(T.LongType())).add("buckets", T.LongType())
+)
 _OUTCOMES = T.StructType().add("at_ms", T.BinaryType()).add("failed", T.BinaryType())
 _SUMS = (
     T.StructType().add("newest_ms", T.LongType()).add("oldest", T.LongType()).add("n", T.LongType()).add("bad", T.LongType())
@@ -36,6 +45,8 @@ KEPT = (
     T.StructType().add("source_id", T.StringType()).add("listing_id", T.StringType()).add("rule_id", T.StringType())
     .add("at_ms", T.LongType()).add("obs_id", T.StringType()).add("amount_minor_units", T.LongType())
 )
+# Numbers as text: beside a null, pandas would make floats of all that come with it.
+_TOLD = T.StructType([T.StructField(name, T.StringType()) for name in KEPT.names])
 PAUSES = (
     T.StructType().add("source_id", T.StringType()).add("tripped_ms", T.LongType()).add("paused_until_ms", T.LongType())
     .add("failures", T.LongType()).add("outcomes", T.LongType())
@@ -71,6 +82,44 @@ def _cooldown(cooldown_ms: dict[str, int]) -> Callable[[tuple, Iterator[pd.DataF
     return judge
 
 
+def _cooldowns(
+    cooldown_ms: dict[str, int], buckets: int
+) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The same for one of `buckets`: its listings and rules in one call, whose state holds the last instant of each."""
+
+    def judge(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        firings = pd.concat(list(rows), ignore_index=True)
+        sources, listings, rules, instants, ids, amounts = (
+            [None if gone else cell for cell, gone in zip(firings[name].tolist(), firings[name].isna().tolist(), strict=True)] for name in _TOLD.names
+        )
+        ats, amounts = ([None if cell is None else int(cell) for cell in cells] for cells in (instants, amounts))
+        turns = [
+            (at is None, at or 0, amount is None, amount or 0, obs is None, obs or "", place)
+            for place, (at, amount, obs) in enumerate(zip(ats, amounts, ids, strict=True))
+        ]
+        keys = list(zip(sources, listings, rules, strict=True))
+        lasts: dict[tuple, int] = {}
+        if state.exists:
+            *held, at_ms, dealt = state.get
+            if dealt != buckets:
+                raise ValueError(f"the checkpoint has {dealt} buckets, not {buckets}")
+            lasts = dict(zip(zip(*held, strict=True), at_ms, strict=True))
+        kept = []
+        for *_, place in sorted(turns):
+            at, own = ats[place], keys[place]
+            last = lasts.get(own)
+            if at is None and last is None:
+                raise ValueError(f"a firing without an instant: {own}")
+            if last is None or (at is not None and at >= last + cooldown_ms[own[2]]):
+                kept.append(place)
+                lasts[own] = at
+        if kept:
+            state.update((*map(list, zip(*lasts, strict=True)), list(lasts.values()), buckets))
+            yield firings.iloc[kept][_TOLD.names]
+
+    return judge
+
+
 class BreakerState(StatefulProcessor):
     """Pauses a source when enough outcomes of its window failed; the pause drops what falls into it.
 
@@ -144,13 +193,22 @@ class BreakerState(StatefulProcessor):
         pass
 
 
-def stream_cooldowns(firings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """The firings of a stream that a per-listing, per-rule cooldown lets through."""
+def stream_cooldowns(firings: DataFrame, rules: Sequence[Rule], buckets: int | None = BUCKETS) -> DataFrame:
+    """The firings of a stream that a per-listing, per-rule cooldown lets through.
+
+    A group is called for once a micro-batch, which takes milliseconds, so its state covers the listings of one of
+    `buckets`; a batch writes the buckets that its firings fall into. None keeps a state per listing and rule, which a
+    checkpoint begun that way needs, and which writes less where batches are small and listings many.
+    """
     firings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    judge = _cooldown({rule.rule_id: rule.cooldown_ms for rule in rules})
-    return firings.select(*KEPT.names).groupBy("source_id", "listing_id", "rule_id").applyInPandasWithState(
-        judge, outputStructType=KEPT, stateStructType=_INSTANT, outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout
-    )
+    cooldown_ms, keys = {rule.rule_id: rule.cooldown_ms for rule in rules}, KEPT.names[:3]
+    told = {"outputMode": "append", "timeoutConf": GroupStateTimeout.NoTimeout}
+    if buckets is None:
+        return firings.select(*KEPT.names).groupBy(*keys).applyInPandasWithState(_cooldown(cooldown_ms), KEPT, _INSTANT, **told)
+    plain = firings.select(*[F.col(field.name).cast(field.dataType).cast("string").alias(field.name) for field in KEPT])
+    dealt = plain.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("bucket")
+    kept = dealt.applyInPandasWithState(_cooldowns(cooldown_ms, buckets), _TOLD, _LASTS, **told)
+    return kept.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in KEPT])
 
 
 def stream_breaker(outcomes: DataFrame, settings: BreakerSettings) -> DataFrame:
